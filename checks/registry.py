@@ -42,8 +42,12 @@ def _people(plan: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
 # -- gold tables and reports ----------------------------------------------------------------------
 
 
+_INPUTS = {"feed": views.machine_feed, "work_orders": views.work_orders}
+
+
 def _gold(name: str) -> Query:
-    return _both(lambda feed, wo: gold.GOLD_TABLES[name](feed, wo, AS_OF))
+    inputs, plan = gold.GOLD_TABLES[name]
+    return lambda spark, sf: plan(*[_INPUTS[i](spark, sf) for i in inputs], AS_OF)
 
 
 def _gold_roundtrip(name: str) -> Query:

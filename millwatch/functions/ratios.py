@@ -1,46 +1,42 @@
-"""Exact rounding, half away from zero, carried out in integers."""
+"""Exact rounding, half away from zero, carried out in integers.
+
+Arguments are SQL expressions over the columns at hand.
+"""
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _whole(value: Column) -> Column:
-    return value.cast("decimal(38,0)")
+def _rounded(numerator: str, denominator: str | int, places: int) -> str:
+    n, d = (f"cast({x} as decimal(38,0))" for x in (numerator, denominator))
+    size = f"((abs({n}) * {2 * 10 ** places} + abs({d})) div nullif(abs({d}) * 2, 0))"
+    return f"if(({n} < 0) <> ({d} < 0), -{size}, {size})"
 
 
-def scaled_ratio(numerator: Column, denominator: Column, places: int = 2) -> Column:
+def scaled_ratio(numerator: str, denominator: str | int, places: int = 2) -> Column:
     """``numerator / denominator`` as a whole number of 10^-places; NULL over zero."""
-    n, d = _whole(numerator), _whole(denominator)
-    scale = F.lit(2 * 10 ** places).cast("decimal(8,0)")
-    size = F.call_function(
-        "div", _whole(F.abs(n) * scale) + F.abs(d), F.nullif(_whole(F.abs(d) * F.lit(2)), F.lit(0).cast("decimal(38,0)"))
-    )
-    return F.when((n < 0) != (d < 0), -size).otherwise(size)
+    return F.expr(_rounded(numerator, denominator, places))
 
 
-def ratio(numerator: Column, denominator: Column, places: int = 2) -> Column:
+def ratio(numerator: str, denominator: str | int, places: int = 2) -> Column:
     """``numerator / denominator`` rounded to ``places`` digits, as a double."""
-    return scaled_ratio(numerator, denominator, places).cast("double") / F.lit(float(10 ** places))
+    return F.expr(f"{_rounded(numerator, denominator, places)} / {10 ** places}D")
 
 
-def percent(part: Column, total: Column) -> Column:
-    return ratio(_whole(part) * F.lit(100).cast("decimal(3,0)"), total)
+def percent(part: str, total: str) -> Column:
+    return ratio(f"(cast({part} as decimal(38,0)) * 100)", total)
 
 
-def mean_hours(total_micros: Column, count: Column) -> Column:
+def mean_hours(total_micros: str, count: str) -> Column:
     """Average of ``count`` durations, in hours, two digits; NULL when there are none."""
-    return ratio(total_micros, _whole(count) * F.lit(3_600_000_000).cast("decimal(10,0)"))
+    return ratio(total_micros, f"(cast({count} as decimal(38,0)) * 3600000000)")
 
 
-def mean_of_cents(column: Column) -> Column:
+def mean_of_cents(column: str) -> Column:
     """Average of a two-digit double, summed exactly in hundredths."""
-    return (F.sum(cents(column)) / F.count(column)) / F.lit(100.0)
+    return F.expr(f"sum(cast(round({column} * 100D) as bigint)) / count({column}) / 100D")
 
 
-def sum_of_cents(column: Column) -> Column:
+def sum_of_cents(column: str) -> Column:
     """Sum of a two-digit double, exact in hundredths."""
-    return F.sum(cents(column)) / F.lit(100.0)
-
-
-def cents(column: Column) -> Column:
-    return F.round(column * F.lit(100.0)).cast("bigint")
+    return F.expr(f"sum(cast(round({column} * 100D) as bigint)) / 100D")

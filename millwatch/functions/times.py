@@ -40,21 +40,17 @@ def micros_between(start: Column, end: Column) -> Column:
     return micros(end) - micros(start)
 
 
-def sum_micros(duration: Column) -> Column:
-    """Exact sum of durations: seconds and remainders add up apart, in longs, so that
-    neither overflows at trillions of rows, and meet in a decimal afterwards."""
-    seconds = F.call_function("div", duration, F.lit(MICROS_PER_SECOND))
-    rest = duration % F.lit(MICROS_PER_SECOND)
-    whole = F.sum(seconds).cast("decimal(38,0)") * F.lit(MICROS_PER_SECOND).cast("decimal(7,0)")
-    return (whole + F.sum(rest).cast("decimal(38,0)")).cast("decimal(38,0)")
+def sum_micros(duration: str) -> Column:
+    """Exact sum of durations, given as an SQL expression.
+
+    Seconds and remainders add up apart, in longs, so that neither overflows at
+    trillions of rows, and meet in a decimal afterwards.
+    """
+    seconds, rest = f"sum(({duration}) div {MICROS_PER_SECOND})", f"sum(({duration}) % {MICROS_PER_SECOND})"
+    return F.expr(f"cast(cast({seconds} as decimal(30,0)) * {MICROS_PER_SECOND} + {rest} as decimal(38,0))")
 
 
 def iso_text(column: Column, offset: str = "") -> Column:
     """ISO text; the fraction appears, with six digits, only when there is one."""
-    whole = F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss")
-    fraction = F.date_format(column, "SSSSSS")
-    return F.when(
-        column.isNotNull(),
-        F.concat(whole, F.when(fraction != "000000", F.concat(F.lit("."), fraction)).otherwise(F.lit("")),
-                 F.lit(offset)),
-    )
+    text = F.replace(F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit(".000000"), F.lit(""))
+    return F.concat(text, F.lit(offset)) if offset else text

@@ -99,29 +99,28 @@ def envelope_json(envelopes: DataFrame, table: str = fv.FEED_TABLE) -> DataFrame
 
 
 def parse_envelopes(messages: DataFrame) -> DataFrame:
-    """``messages`` with the parsed ``envelope``; NULL where ``value`` is not an envelope."""
-    lenient = {"mode": "PERMISSIVE"}
-    parsed = F.from_json("value", schemas.ENVELOPE, lenient)
-    named = F.coalesce(parsed["new_data"]["machine_name"], F.lit("")) != ""
-    known = parsed["operation"].isNotNull() | named
-    return messages.withColumn("envelope", F.when(known, parsed))
+    """``value`` and the envelope columns; all of them NULL where ``value`` is not an envelope.
 
+    The generator parses each message once, however many conditions look at its fields.
+    """
+    return messages.select("value", F.inline(F.array(F.from_json("value", schemas.ENVELOPE))))
 
-def readings_of(messages: DataFrame) -> DataFrame:
-    """The machine rows of the messages that carry one; DELETEs and nameless messages do not."""
-    new = F.col("envelope.new_data")
-    return (
-        parse_envelopes(messages)
-        .filter(F.coalesce(new["machine_name"], F.lit("")) != "")
-        .select(new["machine_id"].alias("machine_id"), new["machine_name"].alias("machine_name"),
-                new["status"].alias("status"), new["type"].alias("type"),
-                F.to_timestamp_ntz(new["datetime"]).alias("datetime"))
+
+def _named() -> Column:
+    return F.coalesce(F.col("new_data.machine_name"), F.lit("")) != ""
+
+
+def readings_of(envelopes: DataFrame) -> DataFrame:
+    """The machine rows of the envelopes that carry one; DELETEs and nameless rows do not."""
+    return envelopes.filter(_named()).select(
+        *[F.col(f"new_data.{f}").alias(f) for f in _FIELDS if f != "datetime"],
+        F.to_timestamp_ntz(F.col("new_data.datetime")).alias("datetime"),
     )
 
 
-def dead_letters(messages: DataFrame) -> DataFrame:
+def dead_letters(envelopes: DataFrame) -> DataFrame:
     """Messages that cannot be read as an envelope."""
-    return parse_envelopes(messages).filter(F.col("envelope").isNull()).drop("envelope")
+    return envelopes.filter(F.col("operation").isNull() & ~_named()).select("value")
 
 
 def fold_latest(snapshot: DataFrame, readings: DataFrame) -> DataFrame:

@@ -5,9 +5,8 @@ machine with very many rows is cut into time pieces of about ``heavy_rows``
 rows, a piece that still holds too many is cut again, and the window runs
 inside the pieces.  Only the two ends of each piece travel on: one row per
 piece is enough to close the gaps between them.  Results equal the plain
-window on the whole machine.
-
-Readings of one machine at one and the same microsecond are never separated.
+window on the whole machine.  Readings of one machine at one and the same
+microsecond are never separated.
 
 Cost: the rows are shuffled once.  The list of heavy machines comes from a
 map-side combined count.  It is broadcast because it is bounded: at most
@@ -24,6 +23,10 @@ from millwatch.functions.times import micros
 HEAVY_ROWS = 4_000_000
 MAX_HEAVY = 100_000
 
+# Most pieces of a machine and slices of a piece: together they fill 31 bits.
+MAX_PIECES = 2 ** 19 - 1
+MAX_SLICES = 2 ** 12 - 1
+
 # A NULL key is a group of its own; stored text cannot contain this character.
 NO_KEY = "\u0000"
 
@@ -34,17 +37,17 @@ def _position(rows: DataFrame, column: str) -> Column:
     return micros(F.col(column)) if timed else F.col(column).cast("bigint")
 
 
-def _cut(rows: DataFrame, keys: list[str], name: str, heavy_rows: int, max_heavy: int) -> DataFrame:
+def _cut(rows: DataFrame, keys: list[str], name: str, heavy_rows: int, max_heavy: int, most: int) -> DataFrame:
     """Add ``name``: the number of the equal-width piece, NULL where the group is not heavy."""
     counted = rows if len(keys) == 1 else rows.filter(F.col(keys[-1]).isNotNull())
+    pieces = F.least(F.ceil(F.col("_n") / F.lit(heavy_rows)), F.lit(most))
     heavy = (
         counted.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_lo"), F.max("_pos").alias("_hi"))
         .filter((F.col("_n") > heavy_rows) & (F.col("_hi") > F.col("_lo")))
         .orderBy(F.col("_n").desc(), *keys)
         .limit(max_heavy)
-        .select(*keys, "_lo",
-                ((F.col("_hi") - F.col("_lo") + 1) / F.ceil(F.col("_n") / F.lit(heavy_rows))).alias("_width"))
+        .select(*keys, "_lo", ((F.col("_hi") - F.col("_lo") + 1) / pieces).alias("_width"))
     )
     return (
         rows.join(F.broadcast(heavy), keys, "left")
@@ -53,6 +56,25 @@ def _cut(rows: DataFrame, keys: list[str], name: str, heavy_rows: int, max_heavy
     )
 
 
+def _placed(rows: DataFrame, key: str, column: str, heavy_rows: int, max_heavy: int) -> DataFrame:
+    """``rows`` with ``_part``: which piece of which key a row belongs to.
+
+    The upper half is a hash of the key, so that sorting tells machines apart by
+    one number instead of by names with a common beginning; the lower half is 0
+    for a whole machine and counts up with time along a heavy one.
+    """
+    rows = rows.filter(F.col(column).isNotNull()) \
+        .withColumn("_pos", _position(rows, column)) \
+        .withColumn(key, F.coalesce(F.col(key), F.lit(NO_KEY)))
+    rows = _cut(rows, [key], "_piece", heavy_rows, max_heavy, MAX_PIECES)
+    rows = _cut(rows, [key, "_piece"], "_slice", heavy_rows, max_heavy, MAX_SLICES)
+    along = F.when(F.col("_piece").isNull(), F.lit(0).cast("bigint")) \
+        .otherwise((F.col("_piece") + 1) * (MAX_SLICES + 1) + F.coalesce("_slice", F.lit(0)))
+    high = F.shiftleft(F.hash(key).cast("bigint"), 32)
+    return rows.withColumn("_cut", F.col("_piece").isNotNull()).withColumn("_part", high.bitwiseOR(along)) \
+        .drop("_pos", "_piece", "_slice")
+
+
 def with_neighbours(
     rows: DataFrame,
     key: str,
@@ -66,55 +88,47 @@ def with_neighbours(
 
     ``order[0]`` is a time or a whole number; rows without it are left out.
     """
-    lead_column, ties = order[0], list(order[1:])
-    carried = list(dict.fromkeys([lead_column, *ties, *before, *after]))
-    plain = rows.columns
-
-    placed = (
-        rows.filter(F.col(lead_column).isNotNull())
-        .withColumn("_key", F.coalesce(F.col(key), F.lit(NO_KEY)))
-        .withColumn("_pos", _position(rows, lead_column))
-    )
-    placed = _cut(placed, ["_key"], "_piece", heavy_rows, max_heavy)
-    placed = _cut(placed, ["_key", "_piece"], "_slice", heavy_rows, max_heavy)
-    placed = placed.withColumn("_piece", F.coalesce("_piece", F.lit(-1))) \
-                   .withColumn("_slice", F.coalesce("_slice", F.lit(0)))
-    group = ["_key", "_piece", "_slice"]
+    column = order[0]
+    before, after = list(before), list(after)
+    placed = _placed(rows, key, column, heavy_rows, max_heavy)
+    group = ["_part", key]
 
     inside = Window.partitionBy(*group).orderBy(*order)
     looked = placed.select(
-        *plain, *group,
-        F.lag("_pos").over(inside).alias("_prev_pos"), F.lead("_pos").over(inside).alias("_next_pos"),
-        *[F.lag(c).over(inside).alias(f"_prev_{c}") for c in before],
-        *[F.lead(c).over(inside).alias(f"_next_{c}") for c in after],
+        *rows.columns, "_part",
+        *[F.lag(c).over(inside).alias(f"_prev_{c}") for c in dict.fromkeys([column, *before]) if before],
+        *[F.lead(c).over(inside).alias(f"_next_{c}") for c in dict.fromkeys([column, *after]) if after],
     )
+    ends = _piece_ends(placed, group, [*dict.fromkeys([*order, *before, *after])], column)
+    joined = looked.join(ends, group, "left")
+
+    # only the first row of a piece has no row before it there, only the last none after it
+    def closed(side: str, edge: str, c: str) -> Column:
+        return F.when(F.col(f"_{side}_{column}").isNull(), F.col(f"{edge}.{c}")).otherwise(F.col(f"_{side}_{c}"))
 
-    joined = looked.join(_piece_ends(placed, group, ties, carried, lead_column), group, "left")
     return joined.select(
-        *plain,
-        *[F.when(F.col("_prev_pos").isNull(), F.col(f"_before.{c}")).otherwise(F.col(f"_prev_{c}"))
-          .alias(f"prev_{c}") for c in before],
-        *[F.when(F.col("_next_pos").isNull(), F.col(f"_after.{c}")).otherwise(F.col(f"_next_{c}"))
-          .alias(f"next_{c}") for c in after],
+        *[F.nullif(F.col(c), F.lit(NO_KEY)).alias(c) if c == key else c for c in rows.columns],
+        *[closed("prev", "_before", c).alias(f"prev_{c}") for c in before],
+        *[closed("next", "_after", c).alias(f"next_{c}") for c in after],
     )
 
 
-def _piece_ends(placed: DataFrame, group: list[str], ties: list[str], carried: list[str], lead_column: str) -> DataFrame:
+def _piece_ends(placed: DataFrame, group: list[str], carried: list[str], column: str) -> DataFrame:
     """For each piece of a heavy machine, the last reading before it and the first after it.
 
     The text columns are grouping keys of a first aggregate, so that its buffers
     hold numbers only and it stays a hash aggregate.
     """
-    payload = [c for c in dict.fromkeys([*ties, *carried]) if c != lead_column]
+    payload = [c for c in carried if c != column]
     ends = (
-        placed.filter(F.col("_piece") >= 0)
+        placed.filter("_cut")
         .groupBy(*group, *payload)
-        .agg(F.min(lead_column).alias("_first"), F.max(lead_column).alias("_last"))
+        .agg(F.min(column).alias("_first"), F.max(column).alias("_last"))
         .groupBy(*group)
-        .agg(F.min(F.struct(F.col("_first").alias(lead_column), *payload)).alias("_opening"),
-             F.max(F.struct(F.col("_last").alias(lead_column), *payload)).alias("_closing"))
+        .agg(F.min(F.struct(F.col("_first").alias(column), *payload)).alias("_opening"),
+             F.max(F.struct(F.col("_last").alias(column), *payload)).alias("_closing"))
     )
-    along = Window.partitionBy("_key").orderBy("_piece", "_slice")
+    along = Window.partitionBy(group[1]).orderBy(group[0])
     return ends.select(
         *group,
         F.lag("_closing").over(along).alias("_before"),

@@ -7,16 +7,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millwatch.plans import kpi, machine, orders
 
-# Gold table -> plan over (feed, work orders, as_of).
-GOLD_TABLES: dict[str, Callable[[DataFrame, DataFrame, datetime], DataFrame]] = {
-    "current_machine_status": lambda feed, wo, t: machine.current_machine_status(feed, t),
-    "machine_uptime_7days": lambda feed, wo, t: machine.machine_uptime(feed, t),
-    "problematic_machines_30days": lambda feed, wo, t: machine.problematic_machines(feed, t),
-    "hourly_status_patterns": lambda feed, wo, t: machine.hourly_status_patterns(feed, t),
-    "work_order_status_summary": lambda feed, wo, t: orders.work_order_status_summary(wo, t),
-    "work_order_trends_30days": lambda feed, wo, t: orders.work_order_trends(wo, t),
-    "machine_status_changes_7days": lambda feed, wo, t: machine.machine_status_changes(feed, t),
-    "executive_kpis": lambda feed, wo, t: kpi.executive_kpis(feed, wo, t),
+# Gold table -> the inputs its plan takes before ``as_of``, and the plan.
+GOLD_TABLES: dict[str, tuple[tuple[str, ...], Callable[..., DataFrame]]] = {
+    "current_machine_status": (("feed",), machine.current_machine_status),
+    "machine_uptime_7days": (("feed",), machine.machine_uptime),
+    "problematic_machines_30days": (("feed",), machine.problematic_machines),
+    "hourly_status_patterns": (("feed",), machine.hourly_status_patterns),
+    "work_order_status_summary": (("work_orders",), orders.work_order_status_summary),
+    "work_order_trends_30days": (("work_orders",), orders.work_order_trends),
+    "machine_status_changes_7days": (("feed",), machine.machine_status_changes),
+    "executive_kpis": (("feed", "work_orders"), kpi.executive_kpis),
 }
 
 
@@ -47,5 +47,7 @@ def refresh_gold(spark: SparkSession, feed: DataFrame, work_orders: DataFrame, a
         "hourly_status_patterns": machine.hourly_status_patterns(readings, as_of),
         "executive_kpis": kpi.executive_kpis(readings, work_orders, as_of),
     }
-    for name, plan in GOLD_TABLES.items():
-        write_gold(from_transitions.get(name) or plan(feed, work_orders, as_of), root, name)
+    tables = {"feed": feed, "work_orders": work_orders}
+    for name, (inputs, plan) in GOLD_TABLES.items():
+        table = from_transitions.get(name) or plan(*[tables[i] for i in inputs], as_of)
+        write_gold(table, root, name)

@@ -7,15 +7,12 @@ from pyspark.sql import functions as F
 
 from millwatch import fixed_values as fv
 from millwatch.functions.machines import line_of
+from millwatch.functions.orders import CRITICAL, DONE, UNFINISHED, count_where, taken_where, with_taken
 from millwatch.functions.ratios import mean_hours, percent, ratio, scaled_ratio
-from millwatch.functions.times import MICROS_PER_HOUR, at, day_start, micros_between, since, sum_micros
+from millwatch.functions.times import MICROS_PER_HOUR, at, day_start, micros_between, since
 from millwatch.operators.latest import latest_readings
 
 
-def _taken() -> Column:
-    return micros_between(F.col("timestamp"), F.col("created_at"))
-
-
 def estimated_oee(feed: DataFrame, orders: DataFrame, as_of: datetime, days: int = 7) -> DataFrame:
     """Availability, recent orders and estimated effectiveness per machine.
 
@@ -24,31 +21,24 @@ def estimated_oee(feed: DataFrame, orders: DataFrame, as_of: datetime, days: int
     machines = (
         since(feed, "datetime", as_of, days)
         .groupBy("machine_name", "type")
-        .agg(F.count_if(F.col("status") == "operational").alias("up"), F.count(F.lit(1)).alias("readings"))
+        .agg(count_where("status = 'operational'", "up"), F.count(F.lit(1)).alias("readings"))
     )
-    done = F.col("status") == "completed"
     impact = (
-        since(orders, "created_at", as_of, days)
-        .withColumn("taken", _taken())
+        with_taken(since(orders, "created_at", as_of, days))
         .groupBy("machine_id")
-        .agg(
-            F.count(F.lit(1)).alias("orders"),
-            F.count_if(F.col("priority").isin("high", "critical")).alias("urgent"),
-            sum_micros(F.when(done, F.col("taken"))).alias("taken"),
-            F.count_if(done & F.col("taken").isNotNull()).alias("timed"),
-        )
+        .agg(F.count(F.lit(1)).alias("orders"), count_where("priority in ('high', 'critical')", "urgent"),
+             *taken_where(DONE))
     )
-    none = F.lit(0).cast("bigint")
-    wide = F.lit(fv.OEE_FACTOR_PER_10000).cast("decimal(38,0)")
     return (
         machines.join(impact, machines["machine_name"] == impact["machine_id"], "left")
         .select(
             line_of(F.col("machine_name")).alias("production_line"), "machine_name", "type",
-            percent(F.col("up"), F.col("readings")).alias("availability_percent"),
-            F.coalesce("orders", none).alias("work_orders_7days"),
-            F.coalesce("urgent", none).alias("priority_orders_7days"),
-            F.coalesce(mean_hours(F.col("taken"), F.col("timed")), F.lit(0.0)).alias("avg_resolution_hours"),
-            ratio(F.col("up") * wide, F.col("readings").cast("decimal(38,0)") * 10000).alias("estimated_oee_percent"),
+            percent("up", "readings").alias("availability_percent"),
+            F.expr("coalesce(orders, 0L)").alias("work_orders_7days"),
+            F.expr("coalesce(urgent, 0L)").alias("priority_orders_7days"),
+            F.coalesce(mean_hours("total", "timed"), F.lit(0.0)).alias("avg_resolution_hours"),
+            ratio(f"(cast(up as decimal(38,0)) * {fv.OEE_FACTOR_PER_10000})", "(cast(readings as decimal(38,0)) * 10000)")
+            .alias("estimated_oee_percent"),
         )
         .orderBy(F.col("estimated_oee_percent").desc_nulls_first(), "production_line",
                  F.col("machine_name").asc_nulls_last(), "type")
@@ -58,32 +48,18 @@ def estimated_oee(feed: DataFrame, orders: DataFrame, as_of: datetime, days: int
 # -- alerts -----------------------------------------------------------------------------------
 
 
-def _age(as_of: datetime) -> Column:
-    return micros_between(F.col("timestamp"), at(as_of))
-
-
-def _order_alerts(as_of: datetime) -> dict[str, tuple[Column, Column]]:
-    """Alert -> (condition, item text).  ``concat_ws`` leaves NULL parts out."""
-    age = _age(as_of)
-    tenths = scaled_ratio(age, F.lit(MICROS_PER_HOUR), 1)
-    hours_old = F.concat(
-        F.when(tenths < 0, "-").otherwise(""), F.call_function("div", F.abs(tenths), F.lit(10)).cast("string"),
-        F.lit("."), (F.abs(tenths) % 10).cast("string"), F.lit("h old"),
-    )
-    unfinished = F.col("status").isin(*fv.UNFINISHED)
+def _aged(orders: DataFrame, as_of: datetime) -> DataFrame:
+    """Unfinished orders with their ``age``: the only ones that raise alerts."""
+    return orders.filter(UNFINISHED).withColumn("age", micros_between(F.col("timestamp"), at(as_of)))
 
-    def text(last: Column) -> Column:
-        return F.concat_ws("", F.col("id"), F.lit(" ("), F.col("machine_id"), F.lit(" - "), last, F.lit(")"))
 
-    return {
-        fv.ALERT_CRITICAL: (unfinished & (F.col("priority") == "critical"), text(hours_old)),
-        fv.ALERT_OVERDUE: (
-            unfinished & (F.col("priority") == "high") & (age > fv.OVERDUE_HOURS * MICROS_PER_HOUR),
-            text(F.col("assignee"))),
-        fv.ALERT_UNASSIGNED: (
-            F.col("assignee").isNull() & (F.col("status") == "open") & (age > fv.UNASSIGNED_HOURS * MICROS_PER_HOUR),
-            text(F.col("priority"))),
-    }
+# Alert -> (condition on an aged order, last part of its text)
+_ORDER_ALERTS = {
+    fv.ALERT_CRITICAL: (CRITICAL, "hours_old"),
+    fv.ALERT_OVERDUE: (f"priority = 'high' and age > {fv.OVERDUE_HOURS * MICROS_PER_HOUR}", "assignee"),
+    fv.ALERT_UNASSIGNED: (
+        f"assignee is null and status = 'open' and age > {fv.UNASSIGNED_HOURS * MICROS_PER_HOUR}", "priority"),
+}
 
 
 def machines_down(feed: DataFrame, as_of: datetime) -> DataFrame:
@@ -108,16 +84,21 @@ def machines_down(feed: DataFrame, as_of: datetime) -> DataFrame:
 
 
 def exception_items(orders: DataFrame, feed: DataFrame, as_of: datetime) -> DataFrame:
-    """Every alert item as a row: ``alert_type, item, detail``.  One scan of the orders covers three alerts."""
-    alerts = _order_alerts(as_of)
-    raised = F.array(*[
-        F.when(condition, F.struct(F.lit(alert).alias("alert_type"), F.col("id").alias("item"), detail.alias("detail")))
-        for alert, (condition, detail) in alerts.items()
-    ])
+    """Every alert item as a row: ``alert_type, item, detail``.  One scan of the orders covers three alerts.
+
+    ``concat_ws`` leaves NULL parts out of a text.
+    """
+    raised = ", ".join(
+        f"if({condition}, named_struct('alert_type', '{alert}', 'item', id, "
+        f"'detail', concat_ws('', id, ' (', machine_id, ' - ', {last}, ')')), null)"
+        for alert, (condition, last) in _ORDER_ALERTS.items()
+    )
+    hours_old = "concat(if(tenths < 0, '-', ''), abs(tenths) div 10, '.', abs(tenths) % 10, 'h old')"
     from_orders = (
-        orders.filter(F.col("status").isin(*fv.UNFINISHED))
-        .select(F.explode(F.filter(raised, lambda r: r.isNotNull())).alias("r"))
-        .select("r.*")
+        _aged(orders, as_of)
+        .withColumn("tenths", scaled_ratio("age", MICROS_PER_HOUR, 1))
+        .withColumn("hours_old", F.expr(f"if({CRITICAL}, {hours_old}, null)"))
+        .select(F.inline(F.expr(f"array_compact(array({raised}))")))
     )
     from_machines = machines_down(feed, as_of).select(
         F.lit(fv.ALERT_DOWN).alias("alert_type"), F.col("machine_name").alias("item"),
@@ -127,15 +108,10 @@ def exception_items(orders: DataFrame, feed: DataFrame, as_of: datetime) -> Data
 
 def _alert_counts(orders: DataFrame, feed: DataFrame, as_of: datetime) -> DataFrame:
     """Always four rows: one per alert, with its count."""
-    alerts = _order_alerts(as_of)
-    counted = (
-        orders.filter(F.col("status").isin(*fv.UNFINISHED))
-        .agg(*[F.count_if(condition).alias(alert) for alert, (condition, _) in alerts.items()])
-        .select(F.explode(F.array(*[
-            F.struct(F.lit(alert).alias("alert_type"), F.col(alert).alias("count")) for alert in alerts
-        ])).alias("r"))
-        .select("r.*")
-    )
+    counts = [count_where(condition, f"n{i}") for i, (condition, _) in enumerate(_ORDER_ALERTS.values())]
+    stacked = ", ".join(f"'{alert}', n{i}" for i, alert in enumerate(_ORDER_ALERTS))
+    counted = _aged(orders, as_of).agg(*counts) \
+        .select(F.expr(f"stack({len(_ORDER_ALERTS)}, {stacked}) as (alert_type, count)"))
     down = machines_down(feed, as_of).agg(F.count(F.lit(1)).alias("count")) \
         .select(F.lit(fv.ALERT_DOWN).alias("alert_type"), "count")
     return counted.unionByName(down)
@@ -179,20 +155,14 @@ def executive_kpis(feed: DataFrame, orders: DataFrame, as_of: datetime) -> DataF
     """Five KPIs from one scan of each table.  Uptime without any reading is NULL."""
     machines = latest_readings(since(feed, "datetime", as_of, 1)).agg(
         F.count("machine_name").alias("machines"), F.count(F.lit(1)).alias("seen"),
-        F.count_if(F.col("status") == "operational").alias("up"),
-    ).select(F.explode(F.array(
-        _kpi(fv.KPI_MACHINES, F.col("machines")), _kpi(fv.KPI_UPTIME, percent(F.col("up"), F.col("seen"))),
-    )).alias("r"))
-
-    unfinished = F.col("status").isin(*fv.UNFINISHED)
-    recent = (F.col("status") == "completed") & (F.col("created_at") >= at(day_start(as_of, 7)))
-    work = orders.withColumn("taken", _taken()).agg(
-        F.count_if(unfinished).alias("open"),
-        F.count_if(unfinished & (F.col("priority") == "critical")).alias("critical"),
-        sum_micros(F.when(recent, F.col("taken"))).alias("taken"),
-        F.count_if(recent & F.col("taken").isNotNull()).alias("timed"),
-    ).select(F.explode(F.array(
+        count_where("status = 'operational'", "up"),
+    ).select(F.inline(F.array(_kpi(fv.KPI_MACHINES, F.col("machines")), _kpi(fv.KPI_UPTIME, percent("up", "seen")))))
+
+    recent = f"{DONE} and created_at >= timestamp_ntz'{day_start(as_of, 7)}'"
+    work = with_taken(orders).agg(
+        count_where(UNFINISHED, "open"), count_where(f"{UNFINISHED} and {CRITICAL}", "critical"), *taken_where(recent),
+    ).select(F.inline(F.array(
         _kpi(fv.KPI_OPEN, F.col("open")), _kpi(fv.KPI_CRITICAL, F.col("critical")),
-        _kpi(fv.KPI_RESOLUTION, mean_hours(F.col("taken"), F.col("timed"))),
-    )).alias("r"))
-    return machines.unionByName(work).select("r.*", at(as_of).alias("last_updated"))
+        _kpi(fv.KPI_RESOLUTION, mean_hours("total", "timed")),
+    )))
+    return machines.unionByName(work).select("*", at(as_of).alias("last_updated"))

@@ -2,7 +2,7 @@
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millwatch.functions.machines import line_of
@@ -29,10 +29,9 @@ def current_machine_status(feed: DataFrame, as_of: datetime) -> DataFrame:
         .groupBy(_line(), F.col("type").alias("equipment_type"), "status")
         .agg(F.count(F.lit(1)).alias("machine_count"))
     )
-    total = F.sum("machine_count").over(Window.partitionBy())
     return counted.select(
         "production_line", "equipment_type", "status", "machine_count",
-        percent(F.col("machine_count"), total).alias("percentage"),
+        percent("machine_count", "sum(machine_count) over ()").alias("percentage"),
         at(as_of).alias("last_updated"),
     )
 
@@ -63,18 +62,16 @@ def machine_uptime(feed: DataFrame, as_of: datetime, days: int = 7, heavy_rows:
 
 def uptime_from_transitions(readings: DataFrame, as_of: datetime, days: int = 7) -> DataFrame:
     lasted = micros_between(F.col("datetime"), F.coalesce(F.col("next_datetime"), at(as_of)))
-    up = F.when(F.col("status") == "operational", F.col("lasted")).otherwise(F.lit(0).cast("bigint"))
-    total, running = F.col("total"), F.col("running")
     return (
         since(readings, "datetime", as_of, days)
         .select("machine_name", "type", "status", lasted.alias("lasted"))
         .groupBy("machine_name", "type")
-        .agg(sum_micros(up).alias("running"), sum_micros(F.col("lasted")).alias("total"))
+        .agg(sum_micros("if(status = 'operational', lasted, 0)").alias("running"), sum_micros("lasted").alias("total"))
         .select(
             _line(), "machine_name", "type",
-            percent(running, total).alias("uptime_percentage"),
-            ratio(running, F.lit(MICROS_PER_HOUR)).alias("operational_hours"),
-            ratio(total - running, F.lit(MICROS_PER_HOUR)).alias("downtime_hours"),
+            percent("running", "total").alias("uptime_percentage"),
+            ratio("running", MICROS_PER_HOUR).alias("operational_hours"),
+            ratio("(total - running)", MICROS_PER_HOUR).alias("downtime_hours"),
             at(as_of).alias("last_updated"),
         )
     )
@@ -117,12 +114,11 @@ def hourly_status_patterns(feed: DataFrame, as_of: datetime, days: int = 30) ->
             F.count(F.lit(1)).alias("total_readings"),
         )
     )
-    total = F.col("total_readings")
     return counts.select(
         "*",
-        percent(F.col("down_count"), total).alias("downtime_percentage"),
-        percent(F.col("operational_count"), total).alias("uptime_percentage"),
-        percent(F.col("warning_count"), total).alias("warning_percentage"),
+        percent("down_count", "total_readings").alias("downtime_percentage"),
+        percent("operational_count", "total_readings").alias("uptime_percentage"),
+        percent("warning_count", "total_readings").alias("warning_percentage"),
         at(as_of).alias("last_updated"),
     )
 
@@ -149,7 +145,7 @@ def line_efficiency(feed: DataFrame, as_of: datetime, days: int = 7) -> DataFram
         )
         .select(
             "production_line", "total_machines",
-            percent(F.col("operational_readings"), F.col("total_readings")).alias("efficiency_percentage"),
+            percent("operational_readings", "total_readings").alias("efficiency_percentage"),
             "operational_readings", "down_readings", "total_readings",
         )
         .orderBy(F.col("efficiency_percentage").desc_nulls_first(), "production_line")

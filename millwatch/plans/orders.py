@@ -7,27 +7,9 @@ from pyspark.sql import functions as F
 
 from millwatch import fixed_values as fv
 from millwatch.functions.machines import line_of
+from millwatch.functions.orders import CRITICAL, DONE, UNFINISHED, count_where, taken_where, with_taken
 from millwatch.functions.ratios import mean_hours, percent, ratio
-from millwatch.functions.times import (
-    MICROS_PER_HOUR, at, day_start, iso_text, micros_between, since, sum_micros,
-)
-
-
-def _taken() -> Column:
-    """Time from the report to the stored order: what the reports call resolution time."""
-    return micros_between(F.col("timestamp"), F.col("created_at"))
-
-
-def _is(column: str, *values: str) -> Column:
-    return F.col(column).isin(*values)
-
-
-def _count(condition: Column) -> Column:
-    return F.count_if(condition)
-
-
-def _sum_taken(condition: Column) -> Column:
-    return sum_micros(F.when(condition, F.col("taken")))
+from millwatch.functions.times import MICROS_PER_HOUR, at, day_start, iso_text, micros_between, since, sum_micros
 
 
 # -- lists ------------------------------------------------------------------------------------
@@ -54,7 +36,7 @@ def work_order_status_counts(orders: DataFrame) -> DataFrame:
     """One row: open, in progress and completed counts, and the total (cancelled included)."""
     status = F.lower(F.replace(F.col("status"), F.lit(" "), F.lit("_")))
     return orders.agg(
-        *[_count(status == s).alias(s) for s in ("open", "in_progress", "completed")],
+        *[F.count_if(status == s).alias(s) for s in ("open", "in_progress", "completed")],
         F.count(F.lit(1)).alias("total"),
     )
 
@@ -100,22 +82,20 @@ def work_order_display(orders: DataFrame, width: int = 60, pattern: str = "yyyy-
 
 
 def work_order_status_summary(orders: DataFrame, as_of: datetime) -> DataFrame:
-    settled = _is("status", "completed", "cancelled")
     counted = (
-        orders.withColumn("taken", _taken())
+        with_taken(orders)
         .groupBy("status")
         .agg(
             F.count(F.lit(1)).alias("order_count"),
-            _sum_taken(settled).alias("total"), _count(settled & F.col("taken").isNotNull()).alias("timed"),
-            _count(_is("priority", "critical")).alias("critical_count"),
-            _count(F.col("assignee").isNull()).alias("unassigned_count"),
+            *taken_where("status in ('completed', 'cancelled')"),
+            count_where(CRITICAL, "critical_count"),
+            count_where("assignee is null", "unassigned_count"),
         )
     )
-    everything = F.sum("order_count").over(Window.partitionBy())
     return counted.select(
         "status", "order_count",
-        percent(F.col("order_count"), everything).alias("percentage"),
-        mean_hours(F.col("total"), F.col("timed")).alias("avg_resolution_hours"),
+        percent("order_count", "sum(order_count) over ()").alias("percentage"),
+        mean_hours("total", "timed").alias("avg_resolution_hours"),
         "critical_count", "unassigned_count",
         at(as_of).alias("last_updated"),
     )
@@ -136,30 +116,28 @@ def work_order_trends(orders: DataFrame, as_of: datetime, days: int = 30) -> Dat
         "order_date", "daily_count",
         F.sum("daily_count").over(week).alias("total"), F.count(F.lit(1)).over(week).alias("seen"),
     )
-    volume = F.col("daily_count") * F.col("seen") * 5
+    # 1.2 and 0.8 times the unrounded average, in whole numbers
     return windowed.select(
         "order_date", "daily_count",
-        ratio(F.col("total"), F.col("seen")).alias("seven_day_moving_avg"),
-        F.when(volume > F.col("total") * 6, "High").when(volume < F.col("total") * 4, "Low")
-         .otherwise("Normal").alias("volume_indicator"),
+        ratio("total", "seen").alias("seven_day_moving_avg"),
+        F.expr("case when 5 * daily_count * seen > 6 * total then 'High' "
+               "when 5 * daily_count * seen < 4 * total then 'Low' else 'Normal' end").alias("volume_indicator"),
         at(as_of).alias("last_updated"),
     )
 
 
 def priority_analysis(orders: DataFrame, as_of: datetime) -> DataFrame:
     """Orders by priority, most severe first."""
-    done, unfinished = _is("status", "completed"), _is("status", *fv.UNFINISHED)
     counted = (
-        orders.withColumn("taken", _taken())
+        with_taken(orders)
         .groupBy("priority")
         .agg(
             F.count(F.lit(1)).alias("total_orders"),
-            _count(_is("status", "open")).alias("open_orders"),
-            _count(_is("status", "in_progress")).alias("in_progress_orders"),
-            _count(done).alias("completed_orders"),
-            _sum_taken(done).alias("total"),
-            _count(done & F.col("taken").isNotNull()).alias("timed"),
-            F.min(F.when(unfinished, F.col("timestamp"))).alias("oldest"),
+            count_where("status = 'open'", "open_orders"),
+            count_where("status = 'in_progress'", "in_progress_orders"),
+            count_where(DONE, "completed_orders"),
+            *taken_where(DONE),
+            F.expr(f"min(if({UNFINISHED}, timestamp, null))").alias("oldest"),
         )
     )
     rank = F.array_position(F.array(*map(F.lit, fv.PRIORITY_REPORT_ORDER)), F.col("priority"))
@@ -167,7 +145,7 @@ def priority_analysis(orders: DataFrame, as_of: datetime) -> DataFrame:
         counted.orderBy(F.nullif(rank, F.lit(0).cast("bigint")).asc_nulls_last(), "priority")
         .select(
             "priority", "total_orders", "open_orders", "in_progress_orders", "completed_orders",
-            mean_hours(F.col("total"), F.col("timed")).alias("avg_resolution_hours"),
+            mean_hours("total", "timed").alias("avg_resolution_hours"),
             (micros_between(F.col("oldest"), at(as_of)) / F.lit(float(MICROS_PER_HOUR))).alias("oldest_open_hours"),
         )
     )
@@ -175,17 +153,15 @@ def priority_analysis(orders: DataFrame, as_of: datetime) -> DataFrame:
 
 def machine_order_frequency(orders: DataFrame, as_of: datetime, top: int = 20) -> DataFrame:
     """The ``top`` machines by number of orders."""
-    done = _is("status", "completed")
     today = F.lit(as_of.date())
     return (
-        orders.withColumn("taken", _taken())
+        with_taken(orders)
         .groupBy("machine_id")
         .agg(
             F.count(F.lit(1)).alias("total_orders"),
-            _count(_is("status", "open")).alias("open_orders"),
-            _count(_is("priority", "critical")).alias("critical_orders"),
-            _sum_taken(done).alias("total"),
-            _count(done & F.col("taken").isNotNull()).alias("timed"),
+            count_where("status = 'open'", "open_orders"),
+            count_where(CRITICAL, "critical_orders"),
+            *taken_where(DONE),
             F.min("created_at").alias("first"), F.max("created_at").alias("last"),
         )
         .orderBy(F.col("total_orders").desc(), F.col("critical_orders").desc(), "machine_id")
@@ -193,7 +169,7 @@ def machine_order_frequency(orders: DataFrame, as_of: datetime, top: int = 20) -
         .select(
             line_of(F.col("machine_id")).alias("production_line"), "machine_id",
             "total_orders", "open_orders", "critical_orders",
-            mean_hours(F.col("total"), F.col("timed")).alias("avg_resolution_hours"),
+            mean_hours("total", "timed").alias("avg_resolution_hours"),
             F.datediff(today, F.to_date("first")).alias("days_since_first_order"),
             F.datediff(today, F.to_date("last")).alias("days_since_last_order"),
         )
@@ -206,16 +182,13 @@ def work_order_aging(orders: DataFrame, as_of: datetime) -> DataFrame:
     Machine and priority are grouping keys of the first step: a MIN over text
     would force a sort of all rows, over numbers it is a hash aggregate.
     """
-    limit_hours, label = zip(*fv.AGE_BUCKETS)
-    bucket = F.when(F.col("age") < limit_hours[0] * MICROS_PER_HOUR, label[0])
-    for hours, name in fv.AGE_BUCKETS[1:]:
-        bucket = bucket.when(F.col("age") < hours * MICROS_PER_HOUR, name)
+    limits = " ".join(f"when age < {hours * MICROS_PER_HOUR} then '{name}'" for hours, name in fv.AGE_BUCKETS)
     fine = (
-        orders.filter(_is("status", *fv.UNFINISHED))
+        orders.filter(UNFINISHED)
         .select("machine_id", "priority", micros_between(F.col("timestamp"), at(as_of)).alias("age"))
-        .groupBy(bucket.otherwise(fv.OLDEST_BUCKET).alias("age_bucket"), "machine_id", "priority")
+        .groupBy(F.expr(f"case {limits} else '{fv.OLDEST_BUCKET}' end").alias("age_bucket"), "machine_id", "priority")
         .agg(F.count(F.lit(1)).alias("n"), F.count("age").alias("aged"),
-             sum_micros(F.col("age")).alias("total"), F.min("age").alias("youngest"))
+             sum_micros("age").alias("total"), F.min("age").alias("youngest"))
     )
     return (
         fine.groupBy("age_bucket")
@@ -226,73 +199,62 @@ def work_order_aging(orders: DataFrame, as_of: datetime) -> DataFrame:
             F.min("priority").alias("min_priority"), F.max("priority").alias("max_priority"),
         )
         .orderBy("youngest")
-        .select("age_bucket", "order_count",
-                mean_hours(F.col("total"), F.col("aged")).alias("avg_age_hours"),
+        .select("age_bucket", "order_count", mean_hours("total", "aged").alias("avg_age_hours"),
                 "example_machine", "min_priority", "max_priority")
     )
 
 
 def daily_operations(orders: DataFrame, as_of: datetime, days: int = 30) -> DataFrame:
     """Orders by day of creation, newest day first."""
-    handled = _is("status", "in_progress", "completed")
     counted = (
-        since(orders, "created_at", as_of, days)
-        .withColumn("taken", _taken())
+        with_taken(since(orders, "created_at", as_of, days))
         .groupBy(F.to_date("created_at").alias("report_date"))
         .agg(
             F.count(F.lit(1)).alias("total_work_orders"),
-            _count(_is("priority", "critical")).alias("critical_orders"),
-            _count(_is("status", "completed")).alias("completed_orders"),
-            _sum_taken(handled).alias("total"),
-            _count(handled & F.col("taken").isNotNull()).alias("timed"),
+            count_where(CRITICAL, "critical_orders"),
+            count_where(DONE, "completed_orders"),
+            *taken_where("status in ('in_progress', 'completed')"),
             F.count("assignee").alias("assigned_orders"),
-            _count(F.col("assignee").isNull()).alias("unassigned_orders"),
+            count_where("assignee is null", "unassigned_orders"),
             F.countDistinct("assignee").alias("active_assignees"),
         )
     )
     return counted.orderBy(F.col("report_date").desc()).select(
         "report_date", "total_work_orders", "critical_orders", "completed_orders",
-        percent(F.col("completed_orders"), F.col("total_work_orders")).alias("completion_rate"),
-        mean_hours(F.col("total"), F.col("timed")).alias("avg_response_hours"),
+        percent("completed_orders", "total_work_orders").alias("completion_rate"),
+        mean_hours("total", "timed").alias("avg_response_hours"),
         "assigned_orders", "unassigned_orders", "active_assignees",
     )
 
 
 def period_over_period(orders: DataFrame, as_of: datetime, days: int = 7) -> DataFrame:
     """The last ``days`` days against the ``days`` before, from one scan."""
-    now = F.col("created_at") >= at(day_start(as_of, days))
-    done, critical = _is("status", "completed"), _is("priority", "critical")
-
+    now = f"created_at >= timestamp_ntz'{day_start(as_of, days)}'"
     sums = []
-    for tag, build in {
-        "all": _count,
-        "done": lambda when: _count(when & done),
-        "timed": lambda when: _count(when & done & F.col("taken").isNotNull()),
-        "taken": lambda when: _sum_taken(when & done),
-        "critical": lambda when: _count(when & critical),
-    }.items():
-        sums += [build(now).alias(f"{tag}_now"), build(~now).alias(f"{tag}_before")]
-    one = since(orders, "created_at", as_of, 2 * days).withColumn("taken", _taken()).agg(*sums)
-
-    def counts(metric: str, tag: str) -> Column:
-        current, previous = F.col(f"{tag}_now"), F.col(f"{tag}_before")
+    for side, inside in {"now": now, "before": f"not ({now})"}.items():
+        sums += [
+            count_where(inside, f"made_{side}"), count_where(f"{inside} and {DONE}", f"done_{side}"),
+            count_where(f"{inside} and {CRITICAL}", f"critical_{side}"),
+            *taken_where(f"{inside} and {DONE}", f"{side}_"),
+        ]
+    one = with_taken(since(orders, "created_at", as_of, 2 * days)).agg(*sums)
+
+    def row(metric: str, current: Column, previous: Column, change: Column) -> Column:
         return F.struct(
             F.lit(metric).alias("metric"), current.cast("double").alias("current_period"),
-            previous.cast("double").alias("previous_period"),
-            percent(current - previous, previous).alias("percent_change"),
+            previous.cast("double").alias("previous_period"), change.alias("percent_change"),
         )
 
-    def wide(name: str) -> Column:
-        return F.col(name).cast("decimal(38,0)")
+    def counts(metric: str, name: str) -> Column:
+        current, previous = f"{name}_now", f"{name}_before"
+        return row(metric, F.col(current), F.col(previous), percent(f"({current} - {previous})", previous))
 
-    crossed = (wide("taken_now") * wide("timed_before") - wide("taken_before") * wide("timed_now")).cast("decimal(38,0)")
-    hours = F.struct(
-        F.lit("Avg Resolution Hours").alias("metric"),
-        mean_hours(F.col("taken_now"), F.col("timed_now")).alias("current_period"),
-        mean_hours(F.col("taken_before"), F.col("timed_before")).alias("previous_period"),
-        percent(crossed, wide("taken_before") * wide("timed_now")).alias("percent_change"),
-    )
+    # the change of the unrounded means, multiplied out to stay in whole numbers
+    crossed = ("(now_total * cast(before_timed as decimal(38,0)) - before_total * cast(now_timed as decimal(38,0)))",
+               "(before_total * cast(now_timed as decimal(38,0)))")
+    hours = row("Avg Resolution Hours", mean_hours("now_total", "now_timed"), mean_hours("before_total", "before_timed"),
+                percent(*crossed))
     return one.select(F.explode(F.array(
-        counts("Work Orders Created", "all"), counts("Orders Completed", "done"),
+        counts("Work Orders Created", "made"), counts("Orders Completed", "done"),
         hours, counts("Critical Orders", "critical"),
     )).alias("row")).select("row.*")

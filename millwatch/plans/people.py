@@ -4,8 +4,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millwatch import fixed_values as fv
+from millwatch.functions.orders import CRITICAL, DONE, count_where, taken_where, with_taken
 from millwatch.functions.ratios import mean_hours, percent
-from millwatch.functions.times import MICROS_PER_HOUR, micros_between, sum_micros
+from millwatch.functions.times import MICROS_PER_HOUR
 
 
 def active_employees(employees: DataFrame) -> DataFrame:
@@ -21,25 +22,16 @@ def _full_name() -> Column:
     return F.concat("first_name", F.lit(" "), "last_name")
 
 
-def _taken() -> Column:
-    return micros_between(F.col("timestamp"), F.col("created_at"))
-
-
 def orders_by_assignee(orders: DataFrame) -> DataFrame:
     """One row per assignee name, so that the join with employees never multiplies orders."""
-    done = F.col("status") == "completed"
     return (
-        orders.filter(F.col("assignee").isNotNull())
-        .select("assignee", "id", "status", "priority", "created_at", _taken().alias("taken"))
+        with_taken(orders.filter("assignee is not null"))
         .groupBy("assignee")
         .agg(
             F.count("id").alias("orders"),
-            F.count_if(F.col("status") == "open").alias("open"),
-            F.count_if(F.col("status") == "in_progress").alias("in_progress"),
-            F.count_if(done).alias("completed"),
-            F.count_if(done & (F.col("priority") == "critical")).alias("critical_completed"),
-            sum_micros(F.when(done, F.col("taken"))).alias("taken"),
-            F.count_if(done & F.col("taken").isNotNull()).alias("timed"),
+            count_where("status = 'open'", "open"), count_where("status = 'in_progress'", "in_progress"),
+            count_where(DONE, "completed"), count_where(f"{DONE} and {CRITICAL}", "critical_completed"),
+            *taken_where(DONE),
             F.min("created_at").alias("first"), F.max("created_at").alias("last"),
         )
     )
@@ -69,7 +61,7 @@ def employee_workload(employees: DataFrame, orders: DataFrame) -> DataFrame:
             _or_zero("orders").alias("total_assigned"), _or_zero("open").alias("open_assignments"),
             _or_zero("in_progress").alias("in_progress_assignments"),
             _or_zero("completed").alias("completed_assignments"),
-            mean_hours(F.col("taken"), F.col("timed")).alias("avg_completion_hours"),
+            mean_hours("total", "timed").alias("avg_completion_hours"),
             F.col("first").alias("first_assignment"), F.col("last").alias("last_assignment"),
         )
         .orderBy(F.col("total_assigned").desc(), F.col("open_assignments").desc(), "id")
@@ -86,14 +78,14 @@ def department_performance(employees: DataFrame, orders: DataFrame) -> DataFrame
             F.countDistinct("id").alias("employee_count"),
             F.sum(_or_zero("orders")).alias("total_work_orders"),
             F.sum(_or_zero("completed")).alias("completed_orders"),
-            F.sum("taken").alias("taken"), F.sum("timed").alias("timed"),
+            F.sum("total").alias("total"), F.sum("timed").alias("timed"),
             F.sum(_or_zero("critical_completed")).alias("critical_resolved"),
         )
         .select(
             F.coalesce("department", F.lit(fv.UNASSIGNED)).alias("department"),
             "employee_count", "total_work_orders", "completed_orders",
-            percent(F.col("completed_orders"), F.col("total_work_orders")).alias("completion_rate"),
-            mean_hours(F.col("taken"), F.col("timed")).alias("avg_resolution_hours"),
+            percent("completed_orders", "total_work_orders").alias("completion_rate"),
+            mean_hours("total", "timed").alias("avg_resolution_hours"),
             "critical_resolved",
         )
         .orderBy(F.col("completion_rate").desc_nulls_first(), F.col("avg_resolution_hours").asc_nulls_last(),
@@ -103,31 +95,19 @@ def department_performance(employees: DataFrame, orders: DataFrame) -> DataFrame
 
 def employee_response_time(orders: DataFrame, at_least: int = 3) -> DataFrame:
     """Response hours per assignee with at least three started orders, quickest first."""
-    taken, priority = F.col("taken"), F.col("priority")
-    kinds = {
-        "": F.lit(True), "critical_": priority == "critical", "high_": priority == "high",
-        "normal_": priority.isin("medium", "low"),
-    }
-    sums = [
-        column
-        for kind, wanted in kinds.items()
-        for column in (sum_micros(F.when(wanted, taken)).alias(f"{kind}total"),
-                       F.count_if(wanted & taken.isNotNull()).alias(f"{kind}timed"))
-    ]
-    hour = F.lit(float(MICROS_PER_HOUR))
+    kinds = {"": "true", "critical_": CRITICAL, "high_": "priority = 'high'", "normal_": "priority in ('medium', 'low')"}
+    sums = [column for kind, wanted in kinds.items() for column in taken_where(wanted, kind)]
     return (
-        orders.filter(F.col("assignee").isNotNull() & F.col("status").isin("in_progress", "completed"))
-        .select("assignee", "priority", _taken().alias("taken"))
+        with_taken(orders.filter("assignee is not null and status in ('in_progress', 'completed')"))
         .groupBy("assignee")
         .agg(F.count(F.lit(1)).alias("total_responded"), *sums,
              F.min("taken").alias("fastest"), F.max("taken").alias("slowest"))
         .filter(F.col("total_responded") >= at_least)
         .select(
             "assignee", "total_responded",
-            *[mean_hours(F.col(f"{kind}total"), F.col(f"{kind}timed")).alias(f"avg_{kind}response_hours")
-              for kind in kinds],
-            (F.col("fastest") / hour).alias("fastest_response_hours"),
-            (F.col("slowest") / hour).alias("slowest_response_hours"),
+            *[mean_hours(f"{kind}total", f"{kind}timed").alias(f"avg_{kind}response_hours") for kind in kinds],
+            F.expr(f"fastest / {MICROS_PER_HOUR}D").alias("fastest_response_hours"),
+            F.expr(f"slowest / {MICROS_PER_HOUR}D").alias("slowest_response_hours"),
         )
         .orderBy(F.col("avg_response_hours").asc_nulls_last(), "assignee")
     )

@@ -20,12 +20,12 @@ def equipment_distribution(status: DataFrame) -> DataFrame:
 
 
 def average_uptime(uptime: DataFrame, machine_name: str | None = None) -> DataFrame:
-    return only_machine(uptime, machine_name).agg(mean_of_cents(F.col("uptime_percentage")).alias("avg_uptime_percentage"))
+    return only_machine(uptime, machine_name).agg(mean_of_cents("uptime_percentage").alias("avg_uptime_percentage"))
 
 
 def _hours_by_machine(uptime: DataFrame, column: str) -> DataFrame:
     return (
-        uptime.groupBy("machine_name").agg(sum_of_cents(F.col(column)).alias(column))
+        uptime.groupBy("machine_name").agg(sum_of_cents(column).alias(column))
         .orderBy(F.col(column).desc_nulls_last(), "machine_name")
     )
 
@@ -37,7 +37,7 @@ def operational_hours_by_machine(uptime: DataFrame, machine_name: str | None = N
 def uptime_by_line(uptime: DataFrame, machine_name: str | None = None) -> DataFrame:
     return (
         only_machine(uptime, machine_name).groupBy("production_line")
-        .agg(mean_of_cents(F.col("uptime_percentage")).alias("avg_uptime_percentage"))
+        .agg(mean_of_cents("uptime_percentage").alias("avg_uptime_percentage"))
         .orderBy(F.col("avg_uptime_percentage").desc_nulls_last(), "production_line")
     )
 
@@ -61,7 +61,7 @@ def open_order_count(summary: DataFrame) -> DataFrame:
 
 
 def total_downtime(uptime: DataFrame, machine_name: str | None = None) -> DataFrame:
-    return only_machine(uptime, machine_name).agg(sum_of_cents(F.col("downtime_hours")).alias("downtime_hours"))
+    return only_machine(uptime, machine_name).agg(sum_of_cents("downtime_hours").alias("downtime_hours"))
 
 
 def downtime_hours_by_machine(uptime: DataFrame, machine_name: str | None = None) -> DataFrame:

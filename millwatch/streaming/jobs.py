@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from millwatch import schemas
 from millwatch.functions.machines import display_status
 from millwatch.operators.changes import (
-    change_envelopes, dead_letters, envelope_json, fold_latest, readings_of,
+    change_envelopes, dead_letters, envelope_json, fold_latest, parse_envelopes, readings_of,
 )
 from millwatch.operators.ingest import ingest_work_orders
 from millwatch.sources import snapshots
@@ -35,9 +35,10 @@ def follow_changes(messages: DataFrame, root: str, once: bool = False) -> Stream
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch = batch.select("value").persist()
+        batch = parse_envelopes(batch).persist()
         try:
-            append_batch(batch.withColumn("received_at", F.current_timestamp()), f"{root}/messages", batch_id)
+            log = batch.select("value", F.current_timestamp().alias("received_at"))
+            append_batch(log, f"{root}/messages", batch_id)
             append_batch(dead_letters(batch), f"{root}/dead_letters", batch_id)
             readings = readings_of(batch)
             append_history(readings, f"{root}/history", batch_id)
