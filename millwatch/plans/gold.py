@@ -30,24 +30,26 @@ def read_gold(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}")
 
 
-def refresh_gold(spark: SparkSession, feed: DataFrame, work_orders: DataFrame, as_of: datetime, root: str) -> None:
+def refresh_gold(
+    spark: SparkSession, feed: DataFrame, work_orders: DataFrame, as_of: datetime, root: str,
+    snapshot: DataFrame | None = None,
+) -> None:
     """Rewrite all eight tables.
 
     The neighbour pass over the last 30 days runs once and is written out; all
     tables but the current status read that instead of the whole history, and a
-    lost executor costs no second shuffle.
+    lost executor costs no second shuffle.  ``snapshot``, the streamed table of
+    newest readings, spares the current status its scan of the whole history.
     """
     shared = f"{root}/_transitions"
     machine.transitions(feed, as_of).write.mode("overwrite").parquet(shared)
     readings = spark.read.parquet(shared)
-    from_transitions = {
+    tables = {"feed": readings, "work_orders": work_orders}
+    from_readings = {
+        "current_machine_status": machine.current_machine_status(feed if snapshot is None else snapshot, as_of),
         "machine_uptime_7days": machine.uptime_from_transitions(readings, as_of),
         "problematic_machines_30days": machine.problems_from_transitions(readings, as_of),
         "machine_status_changes_7days": machine.changes_from_transitions(readings, as_of),
-        "hourly_status_patterns": machine.hourly_status_patterns(readings, as_of),
-        "executive_kpis": kpi.executive_kpis(readings, work_orders, as_of),
     }
-    tables = {"feed": feed, "work_orders": work_orders}
     for name, (inputs, plan) in GOLD_TABLES.items():
-        table = from_transitions.get(name) or plan(*[tables[i] for i in inputs], as_of)
-        write_gold(table, root, name)
+        write_gold(from_readings.get(name) or plan(*[tables[i] for i in inputs], as_of), root, name)

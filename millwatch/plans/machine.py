@@ -43,8 +43,8 @@ def transitions(feed: DataFrame, as_of: datetime, days: int = 30, heavy_rows: in
     look-back only forgets neighbours that fall outside it.
     """
     return with_neighbours(
-        since(feed, "datetime", as_of, days), "machine_name", READING_ORDER,
-        before=["datetime", "status"], after=["datetime"], heavy_rows=heavy_rows,
+        since(feed, "datetime", as_of, days).select("machine_name", "type", *READING_ORDER),
+        "machine_name", READING_ORDER, before=["datetime", "status"], after=["datetime"], heavy_rows=heavy_rows,
     )
 
 

@@ -33,7 +33,7 @@ def floor_layout(floor: DataFrame) -> DataFrame:
     return floor.select(
         "line_order", "line", "position", "name", kind.alias("type"), machine_icon(kind).alias("icon"),
         F.count(F.lit(1)).over(Window.partitionBy("line")).alias("machine_count"),
-        F.count(F.lit(1)).over(Window.partitionBy()).alias("total_machines"),
+        floor.agg(F.count(F.lit(1))).scalar().alias("total_machines"),
         F.array(*map(F.lit, fv.ICON_BY_TYPE)).alias("machine_types"),
     ).orderBy("line_order", "position")
 
