@@ -10,6 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millwatch import schemas
+from millwatch.operators import neighbours
 from millwatch.operators.neighbours import with_neighbours
 
 ORDER = ["datetime", "machine_id", "status"]
@@ -85,16 +86,38 @@ def test_whole_numbers_as_order(spark):
     assert _sorted(got) == _sorted(rows.select("*", F.lag("v").over(w).alias("prev_v")))
 
 
-def test_readings_at_one_moment_stay_together(spark):
-    rows = spark.createDataFrame([(i, "m", "down", "valve", START) for i in range(30)], schemas.FEED)
-    assert _sorted(_cut(rows, 4)) == _sorted(_plain(rows))
+def _sides(df, columns):
+    """What the consumers see: each side of the neighbours for itself."""
+    return [_sorted(df.select(*columns, *[c for c in df.columns if c.startswith(side)])) for side in ("prev_", "next_")]
+
+
+@pytest.mark.parametrize("heavy_rows", [1, 4, 25, 1000])
+def test_copies_of_one_reading(spark, heavy_rows, monkeypatch):
+    monkeypatch.setattr(neighbours, "COPY_BLOCK", 7)
+    moment = START + timedelta(hours=5)
+    hot = [(1, "hot", "down", "valve", moment)] * 30 + [(1, "hot", "operational", "valve", moment)] * 2
+    around = [(1, "hot", "warning", "valve", START + timedelta(hours=i)) for i in (1, 2, 5, 9)]
+    cold = [(2, "cold", "down", "valve", moment)] * 3 + [(3, None, "down", "valve", moment)] * 9
+    rows = spark.createDataFrame(hot + around + cold, schemas.FEED)
+    assert _sides(_cut(rows, heavy_rows), rows.columns) == _sides(_plain(rows), rows.columns)
+
+
+def test_copies_leave_the_task_of_their_machine(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "COPY_BLOCK", 50)
+    rows = spark.createDataFrame([(1, "hot", "down", "valve", START)] * 1000, schemas.FEED)
+    found = _cut(rows, 10)
+    assert found.count() == 1000
+    sizes = found.groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in sizes) < 700
 
 
 def test_cut_pieces_are_small(spark):
-    from millwatch.operators.neighbours import _placed
     rows = spark.createDataFrame(
         [(0, "hot", "down", "valve", START + timedelta(minutes=i)) for i in range(2000)]
-        + [(1, "cold", "down", "valve", START + timedelta(minutes=i)) for i in range(20)], schemas.FEED)
-    sizes = _placed(rows, "machine_name", "datetime", 50, 100).groupBy("machine_name", "_part").count().collect()
-    assert max(r["count"] for r in sizes) <= 51
+        + [(1, "cold", "down", "valve", START + timedelta(minutes=i)) for i in range(20)], schemas.FEED) \
+        .withColumn("_pos", F.unix_micros(F.col("datetime").cast("timestamp")))
+    heavy = neighbours._heavy(rows, ["machine_name"], 50, 100)
+    placed, copies = neighbours._place(rows, heavy, "machine_name", 50, 100)
+    sizes = placed.groupBy("machine_name", "_part").count().collect()
+    assert copies is None and max(r["count"] for r in sizes) <= 51
     assert [r["count"] for r in sizes if r["machine_name"] == "cold"] == [20]

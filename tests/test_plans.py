@@ -6,6 +6,7 @@ import pytest
 
 from checks import registry, views
 from conftest import SF
+from millwatch.plans import machine
 
 BATCH = [n for n in registry.QUERIES if not n.startswith(("stream_", "gold_roundtrip_", "work_order_append"))]
 
@@ -54,7 +55,7 @@ def test_window_rows_shuffle_once(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        plan = plan_of(registry.QUERIES["machine_uptime_7days"](spark, SF))
+        plan = plan_of(machine.machine_uptime(views.machine_feed(spark, SF), views.AS_OF, heavy_rows=10))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.enabled")
@@ -64,6 +65,11 @@ def test_window_rows_shuffle_once(spark):
     assert left[:4] == ["Project", "Window", "Sort", "Exchange"]
 
 
+def test_without_heavy_machines_the_window_is_plain(spark):
+    plan = plan_of(registry.QUERIES["machine_uptime_7days"](spark, SF))
+    assert plan.count("FileScan parquet") == 1 and "Join" not in plan and plan.count("Exchange hashpartitioning") == 2
+
+
 def test_view_has_the_times_of_the_table(spark):
     feed = views.machine_feed(spark, SF)
     assert dict(feed.dtypes)["datetime"] == "timestamp_ntz"
