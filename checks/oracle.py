@@ -359,7 +359,7 @@ FLOOR = {
     "floor_layout": feed(f"""
 select line_order, line, position, name, {kind('name')} as type, {icon('name')} as icon,
        count(*) over (partition by line) as machine_count, count(*) over () as total_machines,
-       ['injection_molder', 'robotic_arm', 'sorter', 'painter', 'valve'] as machine_types from floor""", FLOOR_CTE),
+       'injection_molder,robotic_arm,sorter,painter,valve' as machine_types from floor""", FLOOR_CTE),
     "all_machines": feed("select name from floor", FLOOR_CTE),
     "next_on_line": feed("select line, position, name, lead(name) over (partition by line order by position) as next_name "
                          "from floor", FLOOR_CTE),

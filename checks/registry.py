@@ -116,7 +116,8 @@ def _normalised(spark: SparkSession, sf: str) -> DataFrame:
 
 
 FLOOR: dict[str, Query] = {
-    "floor_layout": _feed(lambda f: floor.floor_layout(floor.floor_of_feed(f))),
+    "floor_layout": _feed(lambda f: floor.floor_layout(floor.floor_of_feed(f)).withColumn(
+        "machine_types", F.concat_ws(",", "machine_types"))),
     "all_machines": _feed(lambda f: floor.all_machines(floor.floor_of_feed(f))),
     "next_on_line": _feed(lambda f: floor.next_on_line(floor.floor_of_feed(f))),
     "machine_type": _feed(_machine_types),
