@@ -16,11 +16,11 @@ from checks import registry  # noqa: E402
 from millwatch.session import build_session  # noqa: E402
 
 # Streams and write/read round trips run many small jobs each; one of each kind is timed, once.
-ONCE = ["stream_latest", "stream_change_envelopes", "work_order_append", "gold_roundtrip_machine_uptime_7days"]
+ONCE = ["stream_latest", "stream_change_envelopes", "work_order_append", "gold_refresh"]
 
 
 def headline() -> list[str]:
-    batch = [n for n in registry.QUERIES if not n.startswith(("stream_", "gold_roundtrip_", "work_order_append"))]
+    batch = [n for n in registry.QUERIES if not n.startswith(("stream_", "gold_r", "table_", "work_order_append"))]
     return batch + ONCE
 
 

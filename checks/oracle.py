@@ -3,7 +3,7 @@
 from datetime import timedelta
 
 from checks.views import (
-    AS_OF, CANDIDATES_CTE, CHANGES_CTE, EMPLOYEES_CTE, FEED_CTE, ORDERS_CTE, REQUESTS_CTE,
+    AS_OF, CANDIDATES_CTE, CHANGES_CTE, EMPLOYEES_CTE, FEED_CTE, ORDERS_CTE, REQUESTS_CTE, SELECTED_MACHINE,
 )
 
 NOW = f"timestamp '{AS_OF}'"
@@ -165,6 +165,15 @@ GOLD = {
     "executive_kpis": both(KPIS),
 }
 
+GOLD_COUNTS = " union all ".join(
+    f"select '{name}' as table_name, count(*) as row_count from ({sql})" for name, sql in GOLD.items())
+
+SOURCES = {
+    "table_machine_feed": feed("select * from machine_feed"),
+    "table_work_orders": orders("select * from work_orders"),
+    "table_employees": people(f"select *, {NOW} as created_at from employees"),
+}
+
 # -- reports --------------------------------------------------------------------------------------
 
 _PERIOD = f"created_at >= {day(7)}"
@@ -451,6 +460,8 @@ TILES = {
     "tile_downtime_hours_by_machine": _tile("machine_uptime_7days",
         f"machine_name, {_sum('downtime_hours')} as downtime_hours from GOLD group by 1"),
     "tile_machine_filter": _tile("machine_uptime_7days", "machine_name, count(*) as associated from GOLD group by 1"),
+    "tile_machine_filter_selected": _tile("machine_uptime_7days",
+        f"machine_name, {n_where(f"machine_name = '{SELECTED_MACHINE}'")} as associated from GOLD group by 1"),
 }
 
 # -- ingest and constraints -----------------------------------------------------------------------------

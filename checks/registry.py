@@ -2,6 +2,7 @@
 
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,6 +64,36 @@ def _tile(name: str, tile: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf: tile(_gold(name)(spark, sf))
 
 
+def _gold_refresh(spark: SparkSession, sf: str) -> DataFrame:
+    """Refresh all gold tables together; how many rows each has."""
+    root = scratch_dir(spark, "gold")
+    gold.refresh_gold(spark, views.machine_feed(spark, sf), views.work_orders(spark, sf), AS_OF, root)
+    counts = [
+        gold.read_gold(spark, root, name).agg(F.count(F.lit(1)).alias("row_count"))
+        .select(F.lit(name).alias("table_name"), "row_count") for name in gold.GOLD_TABLES
+    ]
+    return reduce(DataFrame.unionByName, counts)
+
+
+def _table_roundtrip(view: Query, read: Query) -> Query:
+    """Write a base table and read it back with its fixed schema."""
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        path = scratch_dir(spark, "table")
+        view(spark, sf).write.parquet(path)
+        return read(spark, path)
+    return run
+
+
+def _employees_with_time(spark: SparkSession, sf: str) -> DataFrame:
+    return ingest.with_defaults(views.employees(spark, sf), AS_OF)
+
+
+SOURCES: dict[str, Query] = {
+    "table_machine_feed": _table_roundtrip(views.machine_feed, tables.read_feed),
+    "table_work_orders": _table_roundtrip(views.work_orders, tables.read_work_orders),
+    "table_employees": _table_roundtrip(_employees_with_time, tables.read_employees),
+}
+
 REPORTS: dict[str, Query] = {
     "line_efficiency": _feed(lambda f: machine.line_efficiency(f, AS_OF)),
     "priority_analysis": _orders(lambda w: orders.priority_analysis(w, AS_OF)),
@@ -89,6 +120,8 @@ TILES: dict[str, Query] = {
     "tile_total_downtime": _tile("machine_uptime_7days", tiles.total_downtime),
     "tile_downtime_hours_by_machine": _tile("machine_uptime_7days", tiles.downtime_hours_by_machine),
     "tile_machine_filter": _tile("machine_uptime_7days", tiles.machine_filter_values),
+    "tile_machine_filter_selected": _tile(
+        "machine_uptime_7days", lambda uptime: tiles.machine_filter_values(uptime, views.SELECTED_MACHINE)),
 }
 
 # -- floor and application queries ----------------------------------------------------------------
@@ -271,11 +304,13 @@ STREAMS: dict[str, Query] = {
 
 QUERIES: dict[str, Query] = {
     **{name: _gold(name) for name in gold.GOLD_TABLES},
-    **REPORTS, **TILES, **FLOOR, **API, **INGEST, **STREAMS,
+    **SOURCES, **REPORTS, **TILES, **FLOOR, **API, **INGEST, **STREAMS,
     **{f"gold_roundtrip_{name}": _gold_roundtrip(name) for name in gold.GOLD_TABLES},
+    "gold_refresh": _gold_refresh,
 }
 
 ORACLE: dict[str, str] = {
-    **oracle.GOLD, **oracle.REPORTS, **oracle.TILES, **oracle.FLOOR, **oracle.API, **oracle.INGEST, **oracle.STREAMS,
+    **oracle.GOLD, **oracle.SOURCES, **oracle.REPORTS, **oracle.TILES, **oracle.FLOOR, **oracle.API, **oracle.INGEST, **oracle.STREAMS,
     **{f"gold_roundtrip_{name}": sql for name, sql in oracle.GOLD.items()},
+    "gold_refresh": oracle.GOLD_COUNTS,
 }

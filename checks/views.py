@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 AS_OF = datetime(2024, 1, 31)
 
+# A machine that exists at every scale, for the dashboard's single-select filter.
+SELECTED_MACHINE = "Painter_i_01_09"
+
 _LABEL = ("case {k} % 5 when 0 then 'Sorter' when 1 then 'Robotic_Arm' when 2 then 'Injection_Molder' "
           "when 3 then 'Painter' else 'Valve' end")
 

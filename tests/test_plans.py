@@ -8,7 +8,7 @@ from checks import registry, views
 from conftest import SF
 from millwatch.plans import machine
 
-BATCH = [n for n in registry.QUERIES if not n.startswith(("stream_", "gold_roundtrip_", "work_order_append"))]
+BATCH = [n for n in registry.QUERIES if not n.startswith(("stream_", "gold_r", "table_", "work_order_append"))]
 
 
 def plan_of(df):
