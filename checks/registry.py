@@ -284,7 +284,7 @@ def _work_order_append(spark: SparkSession, sf: str) -> DataFrame:
     rows.write.mode("append").parquet(inbox)
     stream = spark.readStream.schema(rows.schema).parquet(inbox)
     jobs.follow_requests(stream, root, as_of=AS_OF, once=True).awaitTermination()
-    return tables.read_work_orders(spark, f"{root}/work_orders")
+    return tables.read_stored_work_orders(spark, f"{root}/work_orders").drop("created_date", "batch_id")
 
 
 STREAMS: dict[str, Query] = {

@@ -23,11 +23,16 @@ def day_start(as_of: datetime, days: int = 0) -> datetime:
     return datetime(as_of.year, as_of.month, as_of.day) - timedelta(days=days)
 
 
+# Time column -> the day column that partitions the stored table.
+DAY_PARTITIONS = {"datetime": "event_date", "created_at": "created_date"}
+
+
 def since(rows: DataFrame, column: str, as_of: datetime, days: int) -> DataFrame:
-    """Rows of the last ``days`` days; prunes ``event_date`` partitions when the table has them."""
+    """Rows of the last ``days`` days; prunes the day partitions when the table has them."""
     start = day_start(as_of, days)
-    if "event_date" in rows.columns and column == "datetime":
-        rows = rows.filter(F.col("event_date") >= F.lit(start.date()))
+    day = DAY_PARTITIONS.get(column)
+    if day in rows.columns:
+        rows = rows.filter(F.col(day) >= F.lit(start.date()))
     return rows.filter(F.col(column) >= at(start))
 
 

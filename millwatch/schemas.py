@@ -28,6 +28,12 @@ WORK_ORDERS = T.StructType([
     T.StructField("status", T.StringType()),
 ])
 
+# Stored work orders carry two partition columns as well.
+STORED_WORK_ORDERS = T.StructType(WORK_ORDERS.fields + [
+    T.StructField("created_date", T.DateType()),
+    T.StructField("batch_id", T.LongType()),
+])
+
 EMPLOYEES = T.StructType([
     T.StructField("id", T.IntegerType()),
     T.StructField("first_name", T.StringType()),

@@ -29,20 +29,33 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.HISTORY).parquet(path)
 
 
+def read_stored_work_orders(spark: SparkSession, path: str) -> DataFrame:
+    """The work orders that streamed in, partitioned by day of creation."""
+    return spark.read.schema(schemas.STORED_WORK_ORDERS).parquet(path)
+
+
 def append_history(readings: DataFrame, path: str, batch_id: int) -> None:
-    """Add one batch of readings.
+    """Add one batch of readings."""
+    rows = readings.select(*schemas.FEED.fieldNames()).withColumn("event_date", F.to_date("datetime"))
+    _append_days(rows, path, "event_date", batch_id)
+
 
-    A batch owns its ``batch_id`` folder of each day and replaces only that, so
-    a replayed batch leaves the table as it was.  The rebalance hint lets
-    adaptive execution split a busy day and merge thin ones into sound files.
+def append_work_orders(orders: DataFrame, path: str, batch_id: int) -> None:
+    """Add one batch of work orders."""
+    rows = orders.select(*schemas.WORK_ORDERS.fieldNames()).withColumn("created_date", F.to_date("created_at"))
+    _append_days(rows, path, "created_date", batch_id)
+
+
+def _append_days(rows: DataFrame, path: str, day: str, batch_id: int) -> None:
+    """A batch owns its ``batch_id`` folder of each day and replaces only that, so a
+    replayed batch leaves the table as it was.  The rebalance hint lets adaptive
+    execution split a busy day and merge thin ones into sound files.
     """
     (
-        readings.select(*schemas.FEED.fieldNames())
-        .withColumn("event_date", F.to_date("datetime"))
-        .withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-        .hint("rebalance", "event_date")
+        rows.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+        .hint("rebalance", day)
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("event_date", "batch_id").parquet(path)
+        .partitionBy(day, "batch_id").parquet(path)
     )
 
 

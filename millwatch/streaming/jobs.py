@@ -20,7 +20,7 @@ from millwatch.operators.changes import (
 )
 from millwatch.operators.ingest import ingest_work_orders
 from millwatch.sources import snapshots
-from millwatch.sources.tables import append_batch, append_history
+from millwatch.sources.tables import append_batch, append_history, append_work_orders
 
 
 def _start(stream: DataFrame, root: str, handle, once: bool) -> StreamingQuery:
@@ -104,7 +104,7 @@ def follow_requests(requests: DataFrame, root: str, as_of: datetime | None = Non
         batch = batch.persist()
         try:
             accepted, rejected = ingest_work_orders(batch, now)
-            append_batch(accepted, f"{root}/work_orders", batch_id)
+            append_work_orders(accepted, f"{root}/work_orders", batch_id)
             append_batch(rejected, f"{root}/rejected", batch_id)
         finally:
             batch.unpersist()

@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 
 from millwatch import schemas
+from millwatch.functions.times import since
 from millwatch.operators import changes
 from millwatch.operators.latest import latest_readings
 from millwatch.session import scratch_dir
@@ -162,7 +163,6 @@ def test_many_batches_reuse_the_snapshot_ring(spark):
 
 
 def test_look_back_prunes_history_partitions(spark):
-    from millwatch.functions.times import since
     root, inbox = scratch_dir(spark, "follow"), scratch_dir(spark, "inbox")
     _send(spark, inbox, _messages())
     _follow(spark, inbox, root)
@@ -188,7 +188,10 @@ def test_request_stream(spark):
         spark.createDataFrame([(i, raw)], "request_key bigint, raw string").write.mode("append").json(inbox)
         stream = spark.readStream.schema("request_key bigint, raw string").json(inbox)
         jobs.follow_requests(stream, root, as_of=START, once=True).awaitTermination()
-    assert [r["priority"] for r in tables.read_work_orders(spark, f"{root}/work_orders").collect()] == ["medium"]
+    stored = tables.read_stored_work_orders(spark, f"{root}/work_orders")
+    assert [r["priority"] for r in stored.collect()] == ["medium"]
+    recent = since(stored, "created_at", START, 7)
+    assert recent.count() == 1 and "PartitionFilters: [isnotnull(created_date" in recent._jdf.queryExecution().executedPlan().toString()
     rejected = spark.read.schema("request_key bigint, raw string, error string").parquet(f"{root}/rejected").collect()
     assert [r["raw"] for r in rejected] == ["junk"]
 
