@@ -20,7 +20,8 @@ def scaled_ratio(numerator: str, denominator: str | int, places: int = 2) -> Col
 
 def ratio(numerator: str, denominator: str | int, places: int = 2) -> Column:
     """``numerator / denominator`` rounded to ``places`` digits, as a double."""
-    return F.expr(f"{_rounded(numerator, denominator, places)} / {10 ** places}D")
+    # divided as a decimal: hundredths beyond 2^53 would lose digits on the way to a double
+    return F.expr(f"cast(cast({_rounded(numerator, denominator, places)} as decimal(20,0)) / {10 ** places} as double)")
 
 
 def percent(part: str, total: str) -> Column:
