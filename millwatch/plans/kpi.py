@@ -117,22 +117,32 @@ def _alert_counts(orders: DataFrame, feed: DataFrame, as_of: datetime) -> DataFr
     return counted.unionByName(down)
 
 
+# Copies of one item that travel as one text.
+COPY_BLOCK = 1_000
+
+
 def exception_report(orders: DataFrame, feed: DataFrame, as_of: datetime, page: int = 100_000) -> DataFrame:
     """Alerts with their count and one text of all items.
 
     A text holds about ``page`` items.  An alert with more of them takes several
     rows, each with the full count and its own share of the items, so that no
-    task ever holds an unbounded text.  Shares go by the MD5 of the item.
+    task ever holds an unbounded text.  Shares go by the MD5 of the item; copies
+    of one item are counted before the shuffle and dealt out in blocks.
     """
     counts = _alert_counts(orders, feed, as_of)
-    share = F.conv(F.substring(F.md5(F.col("item")), 1, 8), 16, 10).cast("bigint")
-    pages = F.ceil(F.col("count") / F.lit(page))
+    share = "cast(conv(substring(md5(item), 1, 8), 16, 10) as bigint)"
+    copies = f"least({COPY_BLOCK}, n - block * {COPY_BLOCK})"
     texts = (
         exception_items(orders, feed, as_of)
+        .groupBy("alert_type", "item", "detail").agg(F.count(F.lit(1)).alias("n"))
         # the counts are four rows by construction
         .join(F.broadcast(counts), "alert_type")
-        .groupBy("alert_type", "count", (share % pages).alias("page"))
-        .agg(F.expr("listagg(detail, ', ') within group (order by detail)").alias("details"))
+        .select("*", F.explode(F.expr(f"sequence(0L, (n - 1) div {COPY_BLOCK})")).alias("block"))
+        .select("alert_type", "count", "detail",
+                F.expr(f"({share} + block) % ceil(count / {page})").alias("page"),
+                F.expr(f"if(n = 1, detail, array_join(array_repeat(detail, cast({copies} as int)), ', '))").alias("text"))
+        .groupBy("alert_type", "count", "page")
+        .agg(F.expr("listagg(text, ', ') within group (order by detail)").alias("details"))
         .select("alert_type", "count", "details")
     )
     quiet = counts.filter(F.col("count") == 0).select("alert_type", "count", F.lit(None).cast("string").alias("details"))

@@ -143,6 +143,15 @@ def test_long_alerts_are_paged_whole(orders_of, feed_of):
     assert sorted(i.split(" ")[0] for i in items) == sorted(f"WO-{i}" for i in range(57))
 
 
+def test_copies_of_an_alert_are_dealt_out(orders_of, feed_of, monkeypatch):
+    monkeypatch.setattr(kpi, "COPY_BLOCK", 4)
+    wo = orders_of(*[dict(id="WO-hot", priority="critical")] * 90, *[dict(priority="critical")] * 10)
+    report = kpi.exception_report(wo, feed_of((1, "A", "down", "v", None)), NOW, page=10).collect()
+    pages = [r["details"].split(", ") for r in report if r["alert_type"] == "Critical Open Work Orders"]
+    assert sum(map(len, pages)) == 100 and sum(i.startswith("WO-hot ") for p in pages for i in p) == 90
+    assert len(pages) == 10 and max(map(len, pages)) <= 20
+
+
 def test_oee_of_a_machine_without_orders(feed_of, orders_of):
     feed = feed_of((1, "A_01_01", "operational", "valve", "2024-01-30 10:00"), (1, "A_01_01", "down", "valve", "2024-01-30 11:00"))
     r = kpi.estimated_oee(feed, orders_of(dict(machine_id="other")), NOW).first()
