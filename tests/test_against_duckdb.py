@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from checks import registry
 from checks.compare import connect, difference
 from checks.views import AS_OF
 from conftest import SF
@@ -14,10 +15,10 @@ def con():
 
 
 def test_every_query_has_its_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(registry.QUERIES) == set(registry.ORACLE)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, con, name):
     assert difference(entry.queries()[name](spark, SF), con, entry.oracle_sql()[name]) is None
 
