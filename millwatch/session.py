@@ -4,6 +4,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def build_session(app_name: str = "millwatch", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the plans rely on: UTC, ANSI and AQE."""
@@ -32,10 +34,18 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:
-    """The rows, written to the shared scratch folder and read back: lineage ends here."""
-    path = scratch_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """The rows, written to the shared scratch folder and read back: lineage ends here.
+
+    Shuffle files of the write go with it; nothing will read them again.
+    """
+    spark, path = df.sparkSession, scratch_dir(df.sparkSession, purpose)
+    before = spark.conf.get(_DROP_SHUFFLES, None)
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_DROP_SHUFFLES) if before is None else spark.conf.set(_DROP_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_scratch(spark: SparkSession, path: str) -> None:
