@@ -46,8 +46,10 @@ def boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:
     spread = spread.select("line", "owner", F.hll_sketch_estimate("sketch").alias("sites"))
     spread = spread.filter(F.col("sites") >= min_sites * (1 - NEAR) - 1)
     near = F.col("sites") <= min_sites * (1 + NEAR) + 1
-    exact = lines.join(spread.filter(near).select("line"), "line", "left_semi").groupBy("line", "site").agg(
-        F.lit(1).alias("one")).groupBy("line").agg(F.count(F.lit(1)).alias("exact"))
+    # Distinct pairs first: a frequent line is then no longer than its sites when it is joined.
+    pairs = lines.select("line", "site").distinct()
+    exact = pairs.join(spread.filter(near).select("line"), "line", "left_semi").groupBy("line").agg(
+        F.count(F.lit(1)).alias("exact"))
     return spread.filter(~near).select("line", "owner").unionByName(
         spread.filter(near).join(exact.filter(F.col("exact") >= min_sites), "line").select("line", "owner"))
 

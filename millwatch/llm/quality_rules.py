@@ -45,7 +45,7 @@ def _rules() -> dict[str, Column]:
     }
 
 
-RULES = tuple(_rules())
+RULES = ("symbols", "symbol_runs", "repeats", "lines", "capitals", "shouts", "word_length", "line_length")
 
 
 def document_counts(docs: DataFrame, text: str = "text") -> DataFrame:

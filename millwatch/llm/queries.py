@@ -5,7 +5,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millwatch.llm import line_dedup, mixing, quality_rules, url_filters
+from millwatch.llm import (
+    decontamination, line_dedup, mixing, ngram_jaccard, quality_classifier, quality_rules, substring_dedup, suffix_dedup, toxicity,
+    url_filters,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +22,29 @@ def _documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+def _labels(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/labels.parquet")
+
+
+def op1_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf}/benchmark.parquet")
+    out = decontamination.find_contamination(_documents(spark, sf).select("doc_id", "text"), items)
+    return out.select("doc_id", "n_words", "n_hit", "n_items",
+                      F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op2_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram_jaccard.jaccard_components(_documents(spark, sf))
+
+
+def op3_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    return quality_classifier.classify(_documents(spark, sf), _labels(spark, sf))
+
+
+def op4_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.classify(_documents(spark, sf), _labels(spark, sf))
+
+
 def op5_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality_rules.judge(_documents(spark, sf))
 
@@ -31,17 +57,33 @@ def op6_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
 def op7_url_filters(spark: SparkSession, sf: str) -> DataFrame:
     return url_filters.filter_urls(
         spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url"),
-        spark.read.parquet(f"{sf}/labels.parquet"), URL_RULES)
+        _labels(spark, sf), URL_RULES)
+
+
+def op8_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    out = substring_dedup.dedup_passages(_documents(spark, sf))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op9_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf)).drop("source")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    out = suffix_dedup.dedup_bytes(_documents(spark, sf))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_decontamination": op1_decontamination,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op3_quality_classifier": op3_quality_classifier,
+    "op4_toxicity": op4_toxicity,
     "op5_quality_rules": op5_quality_rules,
     "op6_line_dedup": op6_line_dedup,
     "op7_url_filters": op7_url_filters,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_mixing": op9_mixing,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLE: dict[str, str] = {}
