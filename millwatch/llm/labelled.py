@@ -56,11 +56,11 @@ def scored(docs: DataFrame, compute: Features, score: Callable[[np.ndarray], np.
     from millwatch.llm.packed import text_chunks
 
     columns = [id_col, *keep]
-    rows = docs.select(*columns, F.col(text).alias("_text"))
+    rows = docs.select(*columns, *([] if text in columns else [text]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offsets in text_chunks(batch, "_text"):
+            for a, b, data, offsets in text_chunks(batch, text):
                 out = [batch.column(batch.schema.get_field_index(c)).slice(a, b - a) for c in columns]
                 yield pa.RecordBatch.from_arrays([*out, pa.array(score(compute(data, offsets)), pa.float64())], [*columns, "score"])
 

@@ -86,4 +86,3 @@ QUERIES: dict[str, Query] = {
     "op9_mixing": op9_mixing,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
-ORACLE: dict[str, str] = {}

@@ -1,6 +1,7 @@
 """All queries that the entry module adds: the ten operators and the pipeline."""
 
-from millwatch.llm import queries
+import corpus_pipeline
+from millwatch.llm import oracle, queries
 
-QUERIES = dict(queries.QUERIES)
-ORACLE = dict(queries.ORACLE)
+QUERIES = {**queries.QUERIES, "pipeline": corpus_pipeline.run}
+ORACLE = dict(oracle.SQL)
