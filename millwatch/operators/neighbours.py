@@ -1,196 +1,71 @@
 """The reading before and after each reading of a machine, however many readings it has.
 
-A plain ``lag``/``lead`` puts all rows of one machine in one task.  Here a count
-per machine comes first.  When no machine is heavy, the plain window follows.
-Otherwise a heavy machine is cut into time pieces of about ``heavy_rows`` rows, a
-piece that still holds too many is cut again, and the window runs inside the
-pieces.  Only the two ends of each piece travel on: one row per piece closes
-the gaps between them.
-
-What is left too heavy then are readings of one machine at one microsecond.
-They are copies for the most part: equal rows become one before the shuffle,
-and the other copies join the result with themselves as neighbours, which is
-what a copy in the middle of a run has.  The column of neighbours before, and
-that after, holds the same values as the plain window gives.
-
-Cost: one pass for the count, which is combined on the map side, and one shuffle of
-the rows.  The lists of heavy groups are bounded, at most ``max_heavy`` rows of
-about 50 bytes, and are broadcast for that reason.  A group beyond the list stays
-whole, and holds no more than ``1 / max_heavy`` of the rows.
+One path for every size.  Equal rows are counted first, combined on the map side.  The
+counted rows are dealt out by ranges of (machine, time, the other columns), so that a
+hot machine or a burst within a millisecond spreads over tasks, and the window runs
+inside (range, machine).  Only the first and the last row of a machine in a range lack
+a neighbour there; one row per range and machine closes those gaps.  At the end each
+row is written out as often as it was counted: a copy inside a run has itself on both
+sides, the first and the last copy also what lies around the run.
 """
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from millwatch.functions.times import micros
-
-HEAVY_ROWS = 4_000_000
-MAX_HEAVY = 100_000
 
-# Most pieces of a machine and slices of a piece: together they fill 31 bits.
-MAX_PIECES = 2 ** 19 - 1
-MAX_SLICES = 2 ** 12 - 1
+from millwatch.operators.ranges import RANGE, in_ranges
 
 # Copies that one task writes out at a time.
 COPY_BLOCK = 100_000
 
-# A NULL key is a group of its own; stored text cannot contain this character.
-NO_KEY = "\u0000"
 
-
-def with_neighbours(
-    rows: DataFrame,
-    key: str,
-    order: list[str],
-    before: list[str] = (),
-    after: list[str] = (),
-    heavy_rows: int = HEAVY_ROWS,
-    max_heavy: int = MAX_HEAVY,
-) -> DataFrame:
+def with_neighbours(rows: DataFrame, key: str, order: list[str], before: list[str] = (), after: list[str] = ()) -> DataFrame:
     """``rows`` plus ``prev_<c>`` for ``before`` and ``next_<c>`` for ``after``.
 
-    ``order[0]`` is a time or a whole number; rows without it are left out.
-    """
-    column, before, after = order[0], list(before), list(after)
-    placed = rows.filter(F.col(column).isNotNull()) \
-        .withColumn("_pos", _position(rows, column)) \
-        .withColumn(key, F.coalesce(F.col(key), F.lit(NO_KEY)))
-
-    heavy = _heavy(placed, [key], heavy_rows, max_heavy)
-    copies = None
-    if heavy is None:
-        placed = placed.withColumn("_part", _part(key))
-    else:
-        placed, copies = _place(placed, heavy, key, heavy_rows, max_heavy)
-
-    # the hash in front lets the sort tell machines apart by one number, not by names with a common beginning
-    inside = Window.partitionBy("_part", key).orderBy(*order)
-    found = placed.select(
-        *rows.columns, "_part",
-        *[F.lag(c).over(inside).alias(f"prev_{c}") for c in dict.fromkeys([*before, column]) if before],
-        *[F.lead(c).over(inside).alias(f"next_{c}") for c in dict.fromkeys([*after, column]) if after],
-    )
-    if heavy is not None:
-        ends = _piece_ends(placed, key, list(dict.fromkeys([*order, *before, *after])), column)
-        found = _close_gaps(found, ends, key, column, before, after)
-    found = found.select(*rows.columns, *[f"prev_{c}" for c in before], *[f"next_{c}" for c in after])
-    if copies is not None:
-        found = found.unionByName(copies.select(
-            *rows.columns, *[F.col(c).alias(f"prev_{c}") for c in before], *[F.col(c).alias(f"next_{c}") for c in after]))
-    return found.withColumn(key, F.nullif(F.col(key), F.lit(NO_KEY)))
-
-
-def _position(rows: DataFrame, column: str) -> Column:
-    kind = rows.schema[column].dataType
-    timed = isinstance(kind, (T.TimestampType, T.TimestampNTZType))
-    return micros(F.col(column)) if timed else F.col(column).cast("bigint")
-
-
-def _part(key: str) -> Column:
-    """A whole machine: a hash of its name in the upper half, nothing in the lower."""
-    return F.shiftleft(F.hash(key).cast("bigint"), 32)
-
-
-def _heavy(rows: DataFrame, keys: list[str], heavy_rows: int, max_heavy: int) -> DataFrame | None:
-    """The groups of more than ``heavy_rows`` rows, or None.  A list of at most ``max_heavy`` rows."""
-    groups = (
-        rows.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_lo"), F.max("_pos").alias("_hi"))
-        .filter(F.col("_n") > heavy_rows)
-        .orderBy(F.col("_n").desc(), *keys)
-        .limit(max_heavy)
-    )
-    listed = groups.collect()
-    return rows.sparkSession.createDataFrame(listed, groups.schema) if listed else None
-
-
-def _cut(rows: DataFrame, heavy: DataFrame, keys: list[str], name: str, heavy_rows: int, most: int) -> DataFrame:
-    """Add ``name``: the number of the equal-width piece, NULL where the group is not heavy."""
-    pieces = F.least(F.ceil(F.col("_n") / F.lit(heavy_rows)), F.lit(most))
-    widths = heavy.select(*keys, "_lo", ((F.col("_hi") - F.col("_lo") + 1) / pieces).alias("_width"))
-    return (
-        rows.join(F.broadcast(widths), keys, "left")
-        .withColumn(name, F.floor((F.col("_pos") - F.col("_lo")) / F.col("_width")))
-        .drop("_lo", "_width")
-    )
-
-
-def _place(
-    rows: DataFrame, heavy: DataFrame, key: str, heavy_rows: int, max_heavy: int,
-) -> tuple[DataFrame, DataFrame | None]:
-    """Rows with ``_part``, which counts up with time along a heavy machine, and the copies taken out."""
-    columns = [c for c in rows.columns if c != "_pos"]
-    rows = _cut(rows, heavy, [key], "_piece", heavy_rows, MAX_PIECES).withColumn("_slice", F.lit(None).cast("bigint"))
-    hot = None
-    pieces = _heavy(rows.filter("_piece is not null"), [key, "_piece"], heavy_rows, max_heavy)
-    if pieces is not None:
-        rows = _cut(rows.drop("_slice"), pieces, [key, "_piece"], "_slice", heavy_rows, MAX_SLICES)
-        hot = _heavy(rows.filter("_slice is not null").withColumn("_moment", F.col("_pos")),
-                     [key, "_moment"], heavy_rows, max_heavy)
-    along = F.when(F.col("_piece").isNull(), F.lit(0).cast("bigint")) \
-        .otherwise((F.col("_piece") + 1) * (MAX_SLICES + 1) + F.coalesce("_slice", F.lit(0)))
-    rows = rows.withColumn("_part", _part(key).bitwiseOR(along)).withColumn("_cut", F.col("_piece").isNotNull())
-    if hot is None:
-        return rows.select(*columns, "_part", "_cut"), None
-
-    moments = hot.select(key, F.col("_moment").alias("_pos"), F.lit(True).alias("_hot"))
-    rows = rows.join(F.broadcast(moments), [key, "_pos"], "left").select(*columns, "_part", "_cut", "_hot")
-    counted = rows.filter("_hot").groupBy(*columns, "_part", "_cut").agg(F.count(F.lit(1)).alias("_n"))
-    single = rows.filter("_hot is null").drop("_hot").unionByName(counted.drop("_n"))
-    return single, _other_copies(counted.select(*columns, "_n"), columns)
-
-
-def _other_copies(counted: DataFrame, columns: list[str]) -> DataFrame:
-    """All copies but one of each counted row, spread over the tasks in blocks."""
-    blocks = counted.filter("_n > 1").select(
-        *columns, "_n", F.explode(F.expr(f"sequence(0L, (_n - 2) div {COPY_BLOCK})")).alias("_block"))
-    size = F.expr(f"least({COPY_BLOCK}L, _n - 1 - _block * {COPY_BLOCK})")
-    # with a number of its own, since adaptive execution would merge the still tiny blocks into one task
-    tasks = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (
-        blocks.repartition(tasks, *columns, "_block")
-        .select(*columns, F.explode(F.array_repeat(F.lit(1), size.cast("int"))).alias("_copy"))
-        .select(*columns)
-    )
-
-
-def _piece_ends(placed: DataFrame, key: str, carried: list[str], column: str) -> DataFrame:
-    """For each piece of a heavy machine, the last reading before it and the first after it.
-
-    The text columns are grouping keys of a first aggregate, so that its buffers
-    hold numbers only and it stays a hash aggregate.
+    Rows without ``order[0]`` are left out; rows equal in ``order`` follow their other
+    columns; NULL keys are one machine.
     """
-    payload = [c for c in carried if c not in (column, key)]
-    ends = (
-        placed.filter("_cut")
-        .groupBy("_part", key, *payload)
-        .agg(F.min(column).alias("_first"), F.max(column).alias("_last"))
-        .groupBy("_part", key)
-        .agg(F.min(F.struct(F.col("_first").alias(column), *payload)).alias("_opening"),
-             F.max(F.struct(F.col("_last").alias(column), *payload)).alias("_closing"))
-    )
-    along = Window.partitionBy(key).orderBy("_part")
-    return ends.select(
-        "_part", key,
-        F.lag("_closing").over(along).alias("_before"),
-        F.lead("_opening").over(along).alias("_after"),
-    )
-
-
-def _close_gaps(
-    found: DataFrame, ends: DataFrame, key: str, column: str, before: list[str], after: list[str],
-) -> DataFrame:
-    """Only the first row of a piece has no row before it there, only the last none after it.
-
-    The join keys are those of the window, so its rows are neither shuffled nor sorted again.
-    """
-    joined = found.join(ends, ["_part", key], "left")
-
-    def closed(side: str, edge: str, c: str) -> Column:
-        value = F.when(F.col(f"{side}_{column}").isNull(), F.col(f"{edge}.{c}")).otherwise(F.col(f"{side}_{c}"))
-        return value.alias(f"{side}_{c}")
-
-    kept = [c for c in found.columns if not c.startswith(("prev_", "next_", "_"))]
-    return joined.select(
-        *kept, *[closed("prev", "_before", c) for c in before], *[closed("next", "_after", c) for c in after])
+    columns, before, after = rows.columns, list(before), list(after)
+    along = [*order, *[c for c in columns if c not in (*order, key)]]
+    counted = rows.filter(F.col(order[0]).isNotNull()).groupBy(*columns).agg(F.count(F.lit(1)).alias("_copies"))
+    placed = in_ranges(counted, [key, *along])
+    inside = Window.partitionBy(RANGE, key).orderBy(*along)
+    sides = [*[F.lag(c).over(inside).alias(f"prev_{c}") for c in before], *[F.lead(c).over(inside).alias(f"next_{c}") for c in after]]
+    found = placed.select(*columns, "_copies", RANGE, F.lag(F.lit(True)).over(inside).isNull().alias("_opens"),
+                          F.lead(F.lit(True)).over(inside).isNull().alias("_closes"), *sides)
+    found = _close_gaps(found, key, before, after)
+    return _write_copies(found, columns, before, after)
+
+
+def _close_gaps(found: DataFrame, key: str, before: list[str], after: list[str]) -> DataFrame:
+    """Fill in what lies beyond the ends of each range: the nearest row of the machine in another range."""
+    image = lambda names: F.struct(F.lit(True).alias("_there"), *[F.col(c) for c in names])
+    ends = found.filter("_opens or _closes").groupBy(RANGE, key).agg(
+        F.first(F.when(F.col("_opens"), image(after)), ignorenulls=True).alias("_first"),
+        F.first(F.when(F.col("_closes"), image(before)), ignorenulls=True).alias("_last"))
+    along = Window.partitionBy(key).orderBy(RANGE)
+    ends = ends.select(F.col(RANGE).alias("_r"), F.col(key).alias("_k"),
+                       F.lag("_last").over(along).alias("_before"), F.lead("_first").over(along).alias("_after"))
+    joined = found.join(ends, (F.col(RANGE) == F.col("_r")) & F.col(key).eqNullSafe(F.col("_k")), "left")
+
+    def closed(side: str, at_end: str, edge: str, c: str) -> Column:
+        return F.when(F.col(at_end), F.col(f"{edge}.{c}")).otherwise(F.col(f"{side}_{c}")).alias(f"{side}_{c}")
+
+    kept = [c for c in found.columns if c not in (RANGE, "_opens", "_closes") and not c.startswith(("prev_", "next_"))]
+    return joined.select(*kept, *[closed("prev", "_opens", "_before", c) for c in before],
+                         *[closed("next", "_closes", "_after", c) for c in after])
+
+
+def _write_copies(found: DataFrame, columns: list[str], before: list[str], after: list[str]) -> DataFrame:
+    """Each row as often as it was counted, with the neighbours of its place in the run."""
+    single, first, last = F.col("_copies") == 1, F.col("_part") == 0, F.col("_part") == 1
+    ends = found.withColumn("_part", F.explode(F.when(single, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1))))).select(
+        *columns,
+        *[F.when(first, F.col(f"prev_{c}")).otherwise(F.col(c)).alias(f"prev_{c}") for c in before],
+        *[F.when(single | last, F.col(f"next_{c}")).otherwise(F.col(c)).alias(f"next_{c}") for c in after])
+    blocks = found.filter("_copies > 2").select(
+        *columns, "_copies", F.explode(F.expr(f"sequence(0L, (_copies - 3) div {COPY_BLOCK})")).alias("_block"))
+    size = F.expr(f"least({COPY_BLOCK}L, _copies - 2 - _block * {COPY_BLOCK})")
+    inner = blocks.hint("rebalance").select(
+        *columns, F.explode(F.array_repeat(F.lit(1), size.cast("int"))).alias("_copy")).select(
+        *columns, *[F.col(c).alias(f"prev_{c}") for c in before], *[F.col(c).alias(f"next_{c}") for c in after])
+    return ends.unionByName(inner)

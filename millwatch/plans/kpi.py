@@ -11,6 +11,7 @@ from millwatch.functions.orders import CRITICAL, DONE, UNFINISHED, count_where,
 from millwatch.functions.ratios import mean_hours, percent, ratio, scaled_ratio
 from millwatch.functions.times import MICROS_PER_HOUR, at, day_start, micros_between, since
 from millwatch.operators.latest import latest_readings
+from millwatch.operators.ranges import with_start
 
 
 def estimated_oee(feed: DataFrame, orders: DataFrame, as_of: datetime, days: int = 7) -> DataFrame:
@@ -106,47 +107,38 @@ def exception_items(orders: DataFrame, feed: DataFrame, as_of: datetime) -> Data
     return from_orders.unionByName(from_machines)
 
 
-def _alert_counts(orders: DataFrame, feed: DataFrame, as_of: datetime) -> DataFrame:
-    """Always four rows: one per alert, with its count."""
-    counts = [count_where(condition, f"n{i}") for i, (condition, _) in enumerate(_ORDER_ALERTS.values())]
-    stacked = ", ".join(f"'{alert}', n{i}" for i, alert in enumerate(_ORDER_ALERTS))
-    counted = _aged(orders, as_of).agg(*counts) \
-        .select(F.expr(f"stack({len(_ORDER_ALERTS)}, {stacked}) as (alert_type, count)"))
-    down = machines_down(feed, as_of).agg(F.count(F.lit(1)).alias("count")) \
-        .select(F.lit(fv.ALERT_DOWN).alias("alert_type"), "count")
-    return counted.unionByName(down)
-
-
-# Copies of one item that travel as one text.
-COPY_BLOCK = 1_000
+ALERTS = [*_ORDER_ALERTS, fv.ALERT_DOWN]
 
 
 def exception_report(orders: DataFrame, feed: DataFrame, as_of: datetime, page: int = 100_000) -> DataFrame:
-    """Alerts with their count and one text of all items.
+    """Alerts with their count and a text of their items, ``page`` items to a row.
 
-    A text holds about ``page`` items.  An alert with more of them takes several
-    rows, each with the full count and its own share of the items, so that no
-    task ever holds an unbounded text.  Shares go by the MD5 of the item; copies
-    of one item are counted before the shuffle and dealt out in blocks.
+    (alert_type, page) is the key at every size: an alert has ``pages`` rows, numbered
+    from 1, each with the count of the whole alert; an alert without items has one row
+    without a text.  Items go in the order of their texts.  Equal items are counted
+    before they are put in order, and the order comes from ranges, so neither an alert
+    with very many items nor an item with very many copies fills one task.
     """
-    counts = _alert_counts(orders, feed, as_of)
-    share = "cast(conv(substring(md5(item), 1, 8), 16, 10) as bigint)"
-    copies = f"least({COPY_BLOCK}, n - block * {COPY_BLOCK})"
+    items = exception_items(orders, feed, as_of).groupBy("alert_type", "detail", "item").agg(F.count(F.lit(1)).alias("n"))
+    placed = with_start(items, "alert_type", ["detail", "item"], weight="n")
+    counted = placed.groupBy("alert_type").agg(F.sum("n").alias("count"))
+    last = "(start + n - 1)"
+    share = f"(least({last}, _page * {page} + {page - 1}) - greatest(start, _page * {page}) + 1)"
     texts = (
-        exception_items(orders, feed, as_of)
-        .groupBy("alert_type", "item", "detail").agg(F.count(F.lit(1)).alias("n"))
-        # the counts are four rows by construction
-        .join(F.broadcast(counts), "alert_type")
-        .select("*", F.explode(F.expr(f"sequence(0L, (n - 1) div {COPY_BLOCK})")).alias("block"))
-        .select("alert_type", "count", "detail",
-                F.expr(f"({share} + block) % ceil(count / {page})").alias("page"),
-                F.expr(f"if(n = 1, detail, array_join(array_repeat(detail, cast({copies} as int)), ', '))").alias("text"))
-        .groupBy("alert_type", "count", "page")
-        .agg(F.expr("listagg(text, ', ') within group (order by detail)").alias("details"))
-        .select("alert_type", "count", "details")
+        placed.select("alert_type", "detail", "item", "start", "n",
+                      F.explode(F.expr(f"sequence(start div {page}, {last} div {page})")).alias("_page"))
+        .select("alert_type", "detail", "item", "_page",
+                F.expr(f"if(n = 1, detail, array_join(array_repeat(detail, cast({share} as int)), ', '))").alias("text"))
+        .groupBy("alert_type", (F.col("_page") + 1).alias("page"))
+        .agg(F.expr("listagg(text, ', ') within group (order by detail, item)").alias("details"))
+    )
+    names = orders.sparkSession.createDataFrame([(name,) for name in ALERTS], "alert_type string")
+    return (
+        names.join(counted, "alert_type", "left").join(texts, "alert_type", "left")
+        .select("alert_type", F.coalesce("page", F.lit(1)).cast("bigint").alias("page"),
+                F.greatest(F.ceil(F.coalesce("count", F.lit(0)) / F.lit(page)), F.lit(1)).cast("bigint").alias("pages"),
+                F.coalesce("count", F.lit(0)).cast("bigint").alias("count"), "details")
     )
-    quiet = counts.filter(F.col("count") == 0).select("alert_type", "count", F.lit(None).cast("string").alias("details"))
-    return texts.unionByName(quiet)
 
 
 # -- KPIs -------------------------------------------------------------------------------------

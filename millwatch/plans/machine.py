@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from millwatch.functions.machines import line_of
 from millwatch.functions.ratios import percent, ratio
 from millwatch.functions.times import MICROS_PER_HOUR, at, day_start, micros_between, since, sum_micros
-from millwatch.operators.latest import latest_status_by_type
-from millwatch.operators.neighbours import HEAVY_ROWS, with_neighbours
+from millwatch.operators.latest import latest_status_by_type, newest_variants
+from millwatch.operators.neighbours import with_neighbours
 
 READING_ORDER = ["datetime", "machine_id", "status"]
 
@@ -24,8 +24,13 @@ def _count_status(status: str):
 
 def current_machine_status(feed: DataFrame, as_of: datetime) -> DataFrame:
     """Machines by line, type and newest status, with their share of all."""
+    return current_status_from_variants(newest_variants(feed), as_of)
+
+
+def current_status_from_variants(variants: DataFrame, as_of: datetime) -> DataFrame:
+    """The same from the streamed variants, without a scan of the history."""
     counted = (
-        latest_status_by_type(feed)
+        latest_status_by_type(variants)
         .groupBy(_line(), F.col("type").alias("equipment_type"), "status")
         .agg(F.count(F.lit(1)).alias("machine_count"))
     )
@@ -36,7 +41,7 @@ def current_machine_status(feed: DataFrame, as_of: datetime) -> DataFrame:
     )
 
 
-def transitions(feed: DataFrame, as_of: datetime, days: int = 30, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+def transitions(feed: DataFrame, as_of: datetime, days: int = 30) -> DataFrame:
     """Readings of the look-back with the time and status around each.
 
     One pass serves the uptime, incident and status-change reports: a shorter
@@ -44,18 +49,18 @@ def transitions(feed: DataFrame, as_of: datetime, days: int = 30, heavy_rows: in
     """
     return with_neighbours(
         since(feed, "datetime", as_of, days).select("machine_name", "type", *READING_ORDER),
-        "machine_name", READING_ORDER, before=["datetime", "status"], after=["datetime"], heavy_rows=heavy_rows,
+        "machine_name", READING_ORDER, before=["datetime", "status"], after=["datetime"],
     )
 
 
-def machine_uptime(feed: DataFrame, as_of: datetime, days: int = 7, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+def machine_uptime(feed: DataFrame, as_of: datetime, days: int = 7) -> DataFrame:
     """Uptime by machine: each reading lasts until the next one, the last until ``as_of``.
 
     Warning time counts as downtime.
     """
     readings = with_neighbours(
         since(feed, "datetime", as_of, days).select("machine_name", "type", *READING_ORDER),
-        "machine_name", READING_ORDER, after=["datetime"], heavy_rows=heavy_rows,
+        "machine_name", READING_ORDER, after=["datetime"],
     )
     return uptime_from_transitions(readings, as_of, days)
 
@@ -77,11 +82,11 @@ def uptime_from_transitions(readings: DataFrame, as_of: datetime, days: int = 7)
     )
 
 
-def problematic_machines(feed: DataFrame, as_of: datetime, days: int = 30, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+def problematic_machines(feed: DataFrame, as_of: datetime, days: int = 30) -> DataFrame:
     """Machines that went from operational straight to down: how often, on how many days, first and last."""
     readings = with_neighbours(
         since(feed, "datetime", as_of, days).select("machine_name", "type", *READING_ORDER),
-        "machine_name", READING_ORDER, before=["status"], heavy_rows=heavy_rows,
+        "machine_name", READING_ORDER, before=["status"],
     )
     return problems_from_transitions(readings, as_of)
 
@@ -152,11 +157,11 @@ def line_efficiency(feed: DataFrame, as_of: datetime, days: int = 7) -> DataFram
     )
 
 
-def machine_status_changes(feed: DataFrame, as_of: datetime, days: int = 7, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+def machine_status_changes(feed: DataFrame, as_of: datetime, days: int = 7) -> DataFrame:
     """Every reading with one before it, marked FAILURE, RECOVERY or STABLE."""
     readings = with_neighbours(
         since(feed, "datetime", as_of, days).select("machine_name", "type", *READING_ORDER),
-        "machine_name", READING_ORDER, before=["datetime", "status"], heavy_rows=heavy_rows,
+        "machine_name", READING_ORDER, before=["datetime", "status"],
     )
     return changes_from_transitions(readings, as_of, days)
 

@@ -1,10 +1,15 @@
-"""The floor as a dimension: which machine stands where on which line."""
+"""The floor as a dimension: which machine stands where on which line.
 
-from pyspark.sql import DataFrame, SparkSession, Window
+Machines are as many as the floor has; lines are few.  Places along a line come from
+ranges and counts from aggregates, so no line is a task.
+"""
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millwatch import fixed_values as fv
 from millwatch.functions.machines import line_of, machine_icon, machine_type
+from millwatch.operators.ranges import with_start
 
 
 def configured_floor(spark: SparkSession, layout: dict[str, list[str]] | None = None) -> DataFrame:
@@ -17,23 +22,24 @@ def configured_floor(spark: SparkSession, layout: dict[str, list[str]] | None =
 def floor_of_feed(feed: DataFrame) -> DataFrame:
     """A floor made of the machines that report: grouped by reporting line, ordered by name."""
     names = feed.select(F.col("machine_name").alias("name")).filter(F.col("name").isNotNull()).distinct()
-    placed = names.withColumn("line", line_of(F.col("name")))
+    placed = with_start(names.withColumn("line", line_of(F.col("name"))), "line", ["name"], name="position")
     lines = [line for _, line in fv.LINE_BY_PATTERN] + [fv.UNKNOWN_LINE]
     order = F.array_position(F.array(*map(F.lit, lines)), F.col("line")) - 1
-    along = Window.partitionBy("line").orderBy("name")
-    return placed.select(
-        order.cast("int").alias("line_order"), "line",
-        (F.row_number().over(along) - 1).alias("position"), "name",
-    )
+    return placed.select(order.cast("int").alias("line_order"), "line", F.col("position").cast("int").alias("position"), "name")
+
+
+def _with_line_size(floor: DataFrame, name: str) -> DataFrame:
+    """One row per line joins its machines; Spark broadcasts so few rows by their measured size."""
+    sizes = floor.groupBy(F.col("line").alias("_line")).agg(F.count(F.lit(1)).alias(name))
+    return floor.join(sizes, F.col("line").eqNullSafe(F.col("_line"))).drop("_line")
 
 
 def floor_layout(floor: DataFrame) -> DataFrame:
     """Every machine in floor order with its type, icon, position and the machine counts."""
     kind = machine_type(F.col("name"))
-    return floor.select(
+    return _with_line_size(floor, "machine_count").select(
         "line_order", "line", "position", "name", kind.alias("type"), machine_icon(kind).alias("icon"),
-        F.count(F.lit(1)).over(Window.partitionBy("line")).alias("machine_count"),
-        floor.agg(F.count(F.lit(1))).scalar().alias("total_machines"),
+        "machine_count", floor.agg(F.count(F.lit(1))).scalar().alias("total_machines"),
         F.array(*map(F.lit, fv.ICON_BY_TYPE)).alias("machine_types"),
     ).orderBy("line_order", "position")
 
@@ -44,18 +50,20 @@ def all_machines(floor: DataFrame) -> DataFrame:
 
 
 def next_on_line(floor: DataFrame) -> DataFrame:
-    """Each machine with the one its product flows to."""
-    along = Window.partitionBy("line").orderBy("position")
-    return floor.select("line", "position", "name", F.lead("name").over(along).alias("next_name"))
+    """Each machine with the one its product flows to: the next position of the line."""
+    after = floor.select(F.col("line").alias("_line"), (F.col("position") - 1).alias("_position"), F.col("name").alias("next_name"))
+    at = F.col("line").eqNullSafe(F.col("_line")) & (F.col("position") == F.col("_position"))
+    return floor.join(after, at, "left").select("line", "position", "name", "next_name")
 
 
 def machine_locations(names: DataFrame, floor: DataFrame, column: str = "machine_name") -> DataFrame:
     """``names`` with line, position and line length; NULL for machines not on the floor.
 
     A name that stands in several places takes the first.  The floor is joined
-    without a hint: Spark broadcasts it when its measured size allows.
+    without a hint: Spark broadcasts it when its measured size allows, and splits the
+    hot names of a large join otherwise.
     """
-    first = floor.withColumn("total_in_line", F.count(F.lit(1)).over(Window.partitionBy("line"))) \
+    first = _with_line_size(floor, "total_in_line") \
         .groupBy("name").agg(F.min(F.struct("line_order", "position", "line", "total_in_line")).alias("place"))
     return names.join(first, names[column] == first["name"], "left").select(
         *names.columns, F.col("place.line").alias("line"), F.col("place.position").alias("position"),

@@ -57,10 +57,9 @@ def test_incidents_need_operational_just_before(feed_of):
         (2, "B_01_01", "down", "valve", "2024-01-10 02:00"),
         # the operational reading lies before the window
         (3, "C_01_01", "operational", "valve", "2023-12-31 23:00"), (3, "C_01_01", "down", "valve", "2024-01-01 01:00"))
-    for heavy_rows in (1, 10 ** 9):
-        assert rows(machine.problematic_machines(feed, NOW, heavy_rows=heavy_rows), "machine_name", "downtime_incidents",
-                    "days_with_issues", "first_incident", "last_incident") == [
-            ("A_01_01", 2, 2, datetime(2024, 1, 10, 1), datetime(2024, 1, 11, 1))]
+    assert rows(machine.problematic_machines(feed, NOW), "machine_name", "downtime_incidents",
+                "days_with_issues", "first_incident", "last_incident") == [
+        ("A_01_01", 2, 2, datetime(2024, 1, 10, 1), datetime(2024, 1, 11, 1))]
 
 
 def test_status_change_kinds(feed_of):
@@ -73,7 +72,7 @@ def test_status_change_kinds(feed_of):
 
 def test_reports_from_shared_transitions_equal_the_single_ones(spark):
     feed = views.machine_feed(spark, SF)
-    shared = machine.transitions(feed, views.AS_OF, heavy_rows=20)
+    shared = machine.transitions(feed, views.AS_OF)
     pairs = [
         (machine.uptime_from_transitions(shared, views.AS_OF), machine.machine_uptime(feed, views.AS_OF)),
         (machine.problems_from_transitions(shared, views.AS_OF), machine.problematic_machines(feed, views.AS_OF)),

@@ -1,4 +1,4 @@
-"""The cut window equals the plain window, whatever is cut."""
+"""Neighbours and places found in ranges equal those of a plain window."""
 
 import random
 from datetime import datetime, timedelta
@@ -10,8 +10,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millwatch import schemas
-from millwatch.operators import neighbours
+from millwatch.operators import neighbours, ranges
 from millwatch.operators.neighbours import with_neighbours
+from millwatch.session import stored
 
 ORDER = ["datetime", "machine_id", "status"]
 START = datetime(2024, 1, 1)
@@ -24,9 +25,8 @@ def _plain(rows):
         F.lead("datetime").over(w).alias("next_datetime"), F.lead("type").over(w).alias("next_type"))
 
 
-def _cut(rows, heavy_rows, **more):
-    return with_neighbours(rows, "machine_name", ORDER, before=["datetime", "status"], after=["datetime", "type"],
-                           heavy_rows=heavy_rows, **more)
+def _cut(rows):
+    return with_neighbours(rows, "machine_name", ORDER, before=["datetime", "status"], after=["datetime", "type"])
 
 
 def _sorted(df):
@@ -48,15 +48,17 @@ def _rows(spark, seed, n=600, machines=7):
     return spark.createDataFrame(list(unique.values()), schemas.FEED)
 
 
-@pytest.mark.parametrize("heavy_rows", [1, 3, 10, 100, 10 ** 9])
-def test_random_skewed_rows(spark, heavy_rows):
-    rows = _rows(spark, seed=heavy_rows)
-    assert _sorted(_cut(rows, heavy_rows)) == _sorted(_plain(rows))
+@pytest.mark.parametrize("ranges", [1, 3, 8, 40])
+def test_random_skewed_rows(spark, ranges, monkeypatch):
+    _deal(monkeypatch, ranges)
+    rows = _rows(spark, seed=ranges)
+    assert _sorted(_cut(rows)) == _sorted(_plain(rows))
 
 
-def test_only_some_heavy_machines_fit_the_list(spark):
-    rows = _rows(spark, seed=5)
-    assert _sorted(_cut(rows, 5, max_heavy=1)) == _sorted(_plain(rows))
+def _deal(monkeypatch, ranges):
+    """So many ranges, however few the rows."""
+    monkeypatch.setattr(neighbours, "in_ranges", lambda rows, columns: stored(
+        rows.repartitionByRange(ranges, *columns).withColumn("_range", F.spark_partition_id()), "ranges"))
 
 
 def test_without_adaptive_execution_and_broadcast_joins(spark):
@@ -64,7 +66,7 @@ def test_without_adaptive_execution_and_broadcast_joins(spark):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        assert _sorted(_cut(rows, 5)) == _sorted(_plain(rows))
+        assert _sorted(_cut(rows)) == _sorted(_plain(rows))
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
@@ -72,52 +74,55 @@ def test_without_adaptive_execution_and_broadcast_joins(spark):
 
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 40)), min_size=1, max_size=40, unique=True), st.integers(1, 6))
-def test_any_small_table(spark, pairs, heavy_rows):
+def test_any_small_table(spark, pairs, ranges):
     rows = spark.createDataFrame(
         [(i, f"m{m}", "down" if t % 2 else "operational", "valve", START + timedelta(hours=t))
          for i, (m, t) in enumerate(pairs)], schemas.FEED)
-    assert _sorted(_cut(rows, heavy_rows)) == _sorted(_plain(rows))
+    with pytest.MonkeyPatch.context() as patch:
+        _deal(patch, ranges)
+        assert _sorted(_cut(rows)) == _sorted(_plain(rows))
 
 
-def test_whole_numbers_as_order(spark):
+def test_whole_numbers_as_order(spark, monkeypatch):
+    _deal(monkeypatch, 6)
     rows = spark.createDataFrame([(i, "a" if i % 3 else "b", i * i) for i in range(50)], "seq bigint, k string, v bigint")
-    got = with_neighbours(rows, "k", ["seq"], before=["v"], heavy_rows=4)
+    got = with_neighbours(rows, "k", ["seq"], before=["v"])
     w = Window.partitionBy("k").orderBy("seq")
     assert _sorted(got) == _sorted(rows.select("*", F.lag("v").over(w).alias("prev_v")))
 
 
-def _sides(df, columns):
-    """What the consumers see: each side of the neighbours for itself."""
-    return [_sorted(df.select(*columns, *[c for c in df.columns if c.startswith(side)])) for side in ("prev_", "next_")]
-
-
-@pytest.mark.parametrize("heavy_rows", [1, 4, 25, 1000])
-def test_copies_of_one_reading(spark, heavy_rows, monkeypatch):
+@pytest.mark.parametrize("ranges", [1, 4, 25])
+def test_copies_of_one_reading(spark, ranges, monkeypatch):
+    """Copies get the pairs of neighbours that a plain window gives them, also first and last of a run."""
+    _deal(monkeypatch, ranges)
     monkeypatch.setattr(neighbours, "COPY_BLOCK", 7)
     moment = START + timedelta(hours=5)
     hot = [(1, "hot", "down", "valve", moment)] * 30 + [(1, "hot", "operational", "valve", moment)] * 2
     around = [(1, "hot", "warning", "valve", START + timedelta(hours=i)) for i in (1, 2, 5, 9)]
     cold = [(2, "cold", "down", "valve", moment)] * 3 + [(3, None, "down", "valve", moment)] * 9
     rows = spark.createDataFrame(hot + around + cold, schemas.FEED)
-    assert _sides(_cut(rows, heavy_rows), rows.columns) == _sides(_plain(rows), rows.columns)
-
-
-def test_copies_leave_the_task_of_their_machine(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "COPY_BLOCK", 50)
-    rows = spark.createDataFrame([(1, "hot", "down", "valve", START)] * 1000, schemas.FEED)
-    found = _cut(rows, 10)
-    assert found.count() == 1000
-    sizes = found.groupBy(F.spark_partition_id()).count().collect()
-    assert max(r["count"] for r in sizes) < 700
+    assert _sorted(_cut(rows)) == _sorted(_plain(rows))
 
 
-def test_cut_pieces_are_small(spark):
+def test_a_burst_spreads_over_ranges(spark, monkeypatch):
+    """1,000 readings within a millisecond among a hundred over a month."""
     rows = spark.createDataFrame(
-        [(0, "hot", "down", "valve", START + timedelta(minutes=i)) for i in range(2000)]
-        + [(1, "cold", "down", "valve", START + timedelta(minutes=i)) for i in range(20)], schemas.FEED) \
-        .withColumn("_pos", F.unix_micros(F.col("datetime").cast("timestamp")))
-    heavy = neighbours._heavy(rows, ["machine_name"], 50, 100)
-    placed, copies = neighbours._place(rows, heavy, "machine_name", 50, 100)
-    sizes = placed.groupBy("machine_name", "_part").count().collect()
-    assert copies is None and max(r["count"] for r in sizes) <= 51
-    assert [r["count"] for r in sizes if r["machine_name"] == "cold"] == [20]
+        [(0, "hot", "down", "valve", START + timedelta(days=9, microseconds=i)) for i in range(1000)]
+        + [(0, "hot", "down", "valve", START + timedelta(hours=7 * i)) for i in range(100)], schemas.FEED)
+    _deal(monkeypatch, 20)
+    placed = neighbours.in_ranges(rows, ["machine_name", *ORDER])
+    assert max(r["count"] for r in placed.groupBy("_range").count().collect()) < 200
+    assert _sorted(_cut(rows)) == _sorted(_plain(rows))
+
+
+@pytest.mark.parametrize("weight", [None, "w"])
+def test_places_in_ranges(spark, weight):
+    rng = random.Random(4)
+    names = [(rng.choice(["a", "b", None]), i, rng.randrange(1, 5)) for i in range(300)]
+    got = ranges.with_start(spark.createDataFrame(names, "g string, i int, w bigint"), "g", ["i"], weight=weight).collect()
+    for g in ("a", "b", None):
+        at = 0
+        for r in sorted((r for r in got if r["g"] == g), key=lambda r: r["i"]):
+            assert r["start"] == at
+            at += r["w"] if weight else 1
+    assert len(got) == 300

@@ -136,20 +136,23 @@ def test_alert_edges(orders_of, feed_of):
 
 def test_long_alerts_are_paged_whole(orders_of, feed_of):
     wo = orders_of(*[dict(priority="critical")] * 57)
-    report = kpi.exception_report(wo, feed_of((1, "A", "down", "v", None)), NOW, page=10)
-    pages = [r for r in report.collect() if r["alert_type"] == "Critical Open Work Orders"]
-    assert len(pages) > 1 and {r["count"] for r in pages} == {57}
+    report = kpi.exception_report(wo, feed_of((1, "A", "down", "v", None)), NOW, page=10).collect()
+    assert len({(r["alert_type"], r["page"]) for r in report}) == len(report) == 6 + 3
+    pages = sorted((r for r in report if r["alert_type"] == "Critical Open Work Orders"), key=lambda r: r["page"])
+    assert [(r["page"], r["pages"], r["count"]) for r in pages] == [(i, 6, 57) for i in range(1, 7)]
     items = [i for r in pages for i in r["details"].split(", ")]
-    assert sorted(i.split(" ")[0] for i in items) == sorted(f"WO-{i}" for i in range(57))
+    assert items == sorted(items) and sorted(i.split(" ")[0] for i in items) == sorted(f"WO-{i}" for i in range(57))
+    assert [len(r["details"].split(", ")) for r in pages] == [10] * 5 + [7]
+    quiet = [r for r in report if r["alert_type"] != "Critical Open Work Orders"]
+    assert all((r["page"], r["pages"], r["count"], r["details"]) == (1, 1, 0, None) for r in quiet)
 
 
-def test_copies_of_an_alert_are_dealt_out(orders_of, feed_of, monkeypatch):
-    monkeypatch.setattr(kpi, "COPY_BLOCK", 4)
+def test_copies_of_an_alert_fill_pages(orders_of, feed_of):
     wo = orders_of(*[dict(id="WO-hot", priority="critical")] * 90, *[dict(priority="critical")] * 10)
     report = kpi.exception_report(wo, feed_of((1, "A", "down", "v", None)), NOW, page=10).collect()
     pages = [r["details"].split(", ") for r in report if r["alert_type"] == "Critical Open Work Orders"]
     assert sum(map(len, pages)) == 100 and sum(i.startswith("WO-hot ") for p in pages for i in p) == 90
-    assert len(pages) == 10 and max(map(len, pages)) <= 20
+    assert len(pages) == 10 and {len(p) for p in pages} == {10}
 
 
 def test_oee_of_a_machine_without_orders(feed_of, orders_of):

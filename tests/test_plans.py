@@ -6,7 +6,6 @@ import pytest
 
 from checks import registry, views
 from conftest import SF
-from millwatch.plans import machine
 
 BATCH = [n for n in registry.QUERIES if not n.startswith(("stream_", "gold_r", "table_", "work_order_append"))]
 
@@ -22,7 +21,7 @@ def test_no_cross_join_and_no_python(spark, name):
         assert unwanted not in plan
 
 
-@pytest.mark.parametrize("name", ["machine_uptime_7days", "hourly_status_patterns", "line_efficiency", "machine_status_changes_7days"])
+@pytest.mark.parametrize("name", ["hourly_status_patterns", "line_efficiency"])
 def test_time_filter_reaches_the_scan(spark, name):
     scans = re.findall(r"PushedFilters: \[(.*?)\]", plan_of(registry.QUERIES[name](spark, SF)))
     assert scans and all("GreaterThanOrEqual(ts," in s for s in scans)
@@ -50,24 +49,17 @@ def test_raw_rows_meet_a_hash_aggregate_first(spark, name):
     assert all("HashAggregate" in line and "SortAggregate" not in line for line in nearest)
 
 
-def test_window_rows_shuffle_once(spark):
-    """The gap-closing join reuses the shuffle and the order of the window."""
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        plan = plan_of(machine.machine_uptime(views.machine_feed(spark, SF), views.AS_OF, heavy_rows=10))
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.unset("spark.sql.adaptive.enabled")
-    lines = plan.splitlines()
-    join = next(i for i, line in enumerate(lines) if "SortMergeJoin [_part" in line)
-    left = [re.sub(r"^[^A-Z]*", "", line).split(" ")[0] for line in lines[join + 1:join + 6]]
-    assert left[:4] == ["Project", "Window", "Sort", "Exchange"]
+def test_no_window_over_a_line_or_without_a_key(spark):
+    for name in ("floor_layout", "all_machines", "next_on_line", "machine_location", "live_floor", "exception_report"):
+        plan = plan_of(registry.QUERIES[name](spark, SF))
+        windows = [w for w in plan.splitlines() if re.search(r"Window .*\], \[(line|alert_type)#\d+\]", w)]
+        assert all("_range#" in w for w in windows), name  # one row per range
 
 
-def test_without_heavy_machines_the_window_is_plain(spark):
+def test_neighbours_come_from_ranges(spark, monkeypatch):
+    """The rows that the window sorts are those of a range, not of a machine."""
     plan = plan_of(registry.QUERIES["machine_uptime_7days"](spark, SF))
-    assert plan.count("FileScan parquet") == 1 and "Join" not in plan and plan.count("Exchange hashpartitioning") == 2
+    assert "[_range#" in plan and "events.parquet" not in plan
 
 
 def test_view_has_the_times_of_the_table(spark):
