@@ -72,9 +72,10 @@ def violating_rows(rows: DataFrame, rules: Rules) -> DataFrame:
     """The rows that break a row rule or share a unique key, with the rules they break."""
     marks = [F.when(condition, rule) for rule, condition in _row_conditions(rules).items()]
     for i, c in enumerate([k for k in [rules.primary_key] if k] + rules.unique):
-        repeated = rows.filter(F.col(c).isNotNull()).groupBy(F.col(c).alias(f"_key{i}")) \
-            .count().filter(F.col("count") > 1).drop("count")
-        rows = rows.join(repeated, F.col(c) == F.col(f"_key{i}"), "left")
+        # rows without the key go round the join, where they would all meet in one task
+        keyed, bare = rows.filter(F.col(c).isNotNull()), rows.filter(F.col(c).isNull())
+        repeated = keyed.groupBy(F.col(c).alias(f"_key{i}")).count().filter(F.col("count") > 1).drop("count")
+        rows = keyed.join(repeated, F.col(c) == F.col(f"_key{i}"), "left").unionByName(bare, allowMissingColumns=True)
         marks.append(F.when(F.col(f"_key{i}").isNotNull(), f"{c} unique"))
     names = [c for c in rows.columns if not c.startswith("_key")]
     return (

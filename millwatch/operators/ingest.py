@@ -2,7 +2,7 @@
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millwatch import fixed_values as fv
@@ -12,18 +12,20 @@ from millwatch.functions.times import at
 REQUIRED = ["machine_id", "issue_description", "reporter_name"]
 
 
-def work_order_id(key: Column, as_of: datetime) -> Column:
-    """``WO-YYYYMMDD-xxxxxxxx``; the same key gives the same id, so reruns do not duplicate orders."""
-    return F.concat(F.lit(as_of.strftime("WO-%Y%m%d-")), F.substring(F.sha2(key.cast("string"), 256), 1, 8))
+# The JSON values that count as missing: null, false, zero, and empty texts, lists and objects.
+_FALSY = r'^(null|false|""|\[\]|\{\}|-?0(\.0*)?([eE][-+]?[0-9]+)?)$'
+_FIELDS = schemas.REQUEST.fieldNames()
+
 
+def work_order_id(key: Column, as_of: datetime) -> Column:
+    """``WO-YYYYMMDD-`` and 32 hex digits; the same key gives the same id, so reruns do not duplicate orders."""
+    return F.concat(F.lit(as_of.strftime("WO-%Y%m%d-")), F.substring(F.sha2(key.cast("string"), 256), 1, 32))
 
-def _first_error(row: dict[str, Column], keys: Column) -> Column:
-    def missing(name: str) -> Column:
-        return F.coalesce(row[name], F.lit("")) == ""
 
-    error = F.when(missing("machine_id") & keys.isNull(), "request is not a JSON object")
+def _first_error(row: dict[str, Column]) -> Column:
+    error = F.when(~F.col("is_object"), "request is not a JSON object").when(F.col("request_key").isNull(), "request has no key")
     for name in REQUIRED:
-        error = error.when(missing(name), f"{name} is required")
+        error = error.when(row[name].isNull(), f"{name} is required")
     error = error.when(~row["priority"].isin(*fv.PRIORITIES), "priority is not allowed")
     for name, length in fv.MAX_LENGTHS["work_orders"].items():
         if name in row:
@@ -31,36 +33,59 @@ def _first_error(row: dict[str, Column], keys: Column) -> Column:
     return error
 
 
-def ingest_work_orders(requests: DataFrame, as_of: datetime) -> tuple[DataFrame, DataFrame]:
+def _parsed(requests: DataFrame) -> DataFrame:
+    """Each request once, with its copies counted; per field ``<f>`` (NULL if falsy) and ``<f>_json``.
+
+    The generator parses a request once; fields of a plain ``from_json`` column
+    would be parsed again by every condition pushed below it.
+    """
+    kinds = ", ".join(f"{f} variant" for f in _FIELDS)
+    once = requests.groupBy("request_key", "raw").agg(F.count(F.lit(1)).alias("_n"))
+    rows = once.select("request_key", "raw", "_n", F.json_object_keys("raw").isNotNull().alias("is_object"),
+                       F.inline(F.array(F.from_json("raw", kinds))))
+    json = rows.select("request_key", "raw", "_n", "is_object", *_FIELDS,
+                       *[F.to_json(F.col(f)).alias(f"{f}_json") for f in _FIELDS])
+    given = lambda f: F.when(~F.col(f"{f}_json").rlike(_FALSY), F.expr(f"cast({f} as string)"))
+    return json.select("request_key", "raw", "_n", "is_object", *[given(f).alias(f) for f in _FIELDS],
+                       *[f"{f}_json" for f in _FIELDS], F.expr("cast(priority as string)").alias("priority_text"))
+
+
+def ingest_work_orders(requests: DataFrame, as_of: datetime, existing: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Split requests into ``(accepted, rejected)``.
 
     ``requests`` holds ``request_key`` and ``raw`` JSON text.  Accepted rows are
     work orders; rejected rows keep the request and name its first error.  Only
-    an absent priority takes the default; an explicit null does not.
-
-    The generator parses each request once; fields of a plain ``from_json``
-    column would be parsed again by every condition pushed below it.
+    an absent priority takes the default; an explicit null does not.  An id that
+    ``existing`` (id) holds is rejected, and so is every request but the first, by its
+    text, of those that share a key.
     """
-    # read only for the few requests without machine or priority
-    keys = F.json_object_keys("raw")
-    parsed = requests.select("request_key", "raw", F.inline(F.array(F.from_json("raw", schemas.REQUEST))))
     row = {
         "machine_id": F.col("machine_id"),
         "issue_description": F.col("issue_description"),
-        "priority": F.when(F.col("priority").isNotNull(), F.col("priority"))
-                     .when(F.array_contains(keys, "priority"), "None").otherwise(fv.DEFAULT_PRIORITY),
+        "priority": F.when(F.col("priority_json").isNull(), fv.DEFAULT_PRIORITY)
+                     .when(F.col("priority_json") == "null", "None").otherwise(F.col("priority_text")),
         "reporter_name": F.col("reporter_name"),
         "assignee": F.coalesce("assignee", F.lit("")),
     }
-    error = _first_error(row, keys)
+    checked = _parsed(requests).select(
+        "request_key", "raw", "_n", _first_error(row).alias("error"), work_order_id(F.col("request_key"), as_of).alias("id"),
+        *[column.alias(name) for name, column in row.items()])
+    good, bad = checked.filter("error is null"), checked.filter("error is not null")
+    good = good.withColumn("_rank", F.row_number().over(Window.partitionBy("id").orderBy("raw")))
+    if existing is not None:
+        known = existing.select(F.col("id").alias("_known")).distinct()
+        good = good.join(known, F.col("id") == F.col("_known"), "left")
+    else:
+        good = good.withColumn("_known", F.lit(None).cast("string"))
+    new = F.col("_known").isNull() & (F.col("_rank") == 1)
     now = at(as_of)
-    accepted = parsed.filter(error.isNull()).select(
-        work_order_id(F.col("request_key"), as_of).alias("id"),
-        *[column.alias(name) for name, column in row.items()],
-        now.alias("timestamp"), now.alias("created_at"), F.lit(fv.DEFAULT_ORDER_STATUS).alias("status"),
-    )
-    rejected = parsed.select("request_key", "raw", error.alias("error")).filter(F.col("error").isNotNull())
-    return accepted, rejected
+    accepted = good.filter(new).select(
+        "id", *row, now.alias("timestamp"), now.alias("created_at"), F.lit(fv.DEFAULT_ORDER_STATUS).alias("status"))
+    again = good.select("request_key", "raw", F.lit("id already exists").alias("error"),
+                        (F.col("_n") - new.cast("int")).alias("_n")).filter("_n > 0")
+    rejected = bad.select("request_key", "raw", "error", "_n").unionByName(again)
+    copies = F.explode(F.expr("array_repeat(1, cast(_n as int))")).alias("_copy")
+    return accepted, rejected.select("request_key", "raw", "error", copies).drop("_copy")
 
 
 def with_defaults(rows: DataFrame, as_of: datetime, **defaults: object) -> DataFrame:

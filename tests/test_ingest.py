@@ -22,6 +22,11 @@ CASES = {
     '{%s,"priority":""}' % GOOD: "priority is not allowed",
     '{%s,"assignee":"%s"}' % (GOOD, "x" * 101): "assignee is longer than 100",
     '{"machine_id":"%s","issue_description":"leak","reporter_name":"Ann"}' % ("v" * 101): "machine_id is longer than 100",
+    '{"machine_id":0,"issue_description":"leak","reporter_name":"Ann"}': "machine_id is required",
+    '{"machine_id":-0.0,"issue_description":"leak","reporter_name":"Ann"}': "machine_id is required",
+    '{"machine_id":"V","issue_description":false,"reporter_name":"Ann"}': "issue_description is required",
+    '{"machine_id":"V","issue_description":[],"reporter_name":"Ann"}': "issue_description is required",
+    '{"machine_id":"V","issue_description":"leak","reporter_name":{}}': "reporter_name is required",
     '{"machine_id":"V", ': "request is not a JSON object",
     "[1]": "request is not a JSON object",
     "": "request is not a JSON object",
@@ -45,10 +50,31 @@ def test_accepted_rows(spark):
     assert [(r["priority"], r["assignee"], r["status"]) for r in got] == [
         ("medium", "", "open"), ("high", "", "open"), ("medium", "Bo Ray", "open")]
     assert all(r["timestamp"] == r["created_at"] == NOW for r in got)
-    assert all(r["id"].startswith("WO-20240131-") and len(r["id"]) == 20 for r in got) and len({r["id"] for r in got}) == 3
+    assert all(r["id"].startswith("WO-20240131-") and len(r["id"]) == 44 for r in got) and len({r["id"] for r in got}) == 3
     assert [r["id"] for r in ingest_work_orders(requests, NOW)[0].collect()] == [r["id"] for r in got]
 
 
+def test_values_that_only_look_falsy(spark):
+    raws = ['{"machine_id":"0","issue_description":"false","reporter_name":"[]","assignee":"0"}',
+            '{"machine_id":7,"issue_description":["a"],"reporter_name":true,"assignee":[]}']
+    accepted, rejected = ingest_work_orders(spark.createDataFrame(list(enumerate(raws)), "request_key bigint, raw string"), NOW)
+    assert rejected.count() == 0
+    assert sorted((r["machine_id"], r["issue_description"], r["reporter_name"], r["assignee"]) for r in accepted.collect()) == [
+        ("0", "false", "[]", "0"), ("7", '["a"]', "true", "")]
+
+
+def test_repeated_ids_are_rejected(spark):
+    raw = "{%s}" % GOOD
+    other = raw.replace("leak", "noise")
+    requests = spark.createDataFrame([(1, raw), (1, raw), (1, other), (2, raw), (2, "junk"), (None, raw)], "request_key bigint, raw string")
+    accepted, rejected = ingest_work_orders(requests, NOW)
+    assert accepted.count() == 2 and accepted.select("id").distinct().count() == 2
+    assert sorted((str(r["request_key"]), r["error"]) for r in rejected.collect()) == [
+        ("1", "id already exists"), ("1", "id already exists"), ("2", "request is not a JSON object"), ("None", "request has no key")]
+    again, refused = ingest_work_orders(requests, NOW, existing=accepted)
+    assert again.count() == 0 and refused.count() == 6
+
+
 def test_accepted_and_rejected_are_all_requests(spark):
     raws = [*CASES, "{%s}" % GOOD]
     requests = spark.createDataFrame(list(enumerate(raws)), "request_key bigint, raw string")
@@ -73,6 +99,7 @@ def test_work_order_constraints(orders_of):
         ("id unique", "A"): 2, ("id not null", None): 2, ("priority allowed", None): 1, ("priority not null", None): 1,
         ("status allowed", None): 1, ("machine_id not null", None): 1, ("reporter_name length", None): 1, ("id length", None): 1}
     rows = constraints.violating_rows(wo, constraints.WORK_ORDER_RULES)
+    assert rows.filter("id is null").count() == 2
     assert rows.count() == 10 and rows.columns == [*wo.columns, "broken_rules"]
 
 
