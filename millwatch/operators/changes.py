@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from millwatch import fixed_values as fv
 from millwatch import schemas
 from millwatch.functions.times import iso_text, micros
-from millwatch.operators.latest import latest_readings
-from millwatch.operators.neighbours import HEAVY_ROWS, NO_KEY, with_neighbours
+from millwatch.operators.latest import latest_of_variants, latest_readings, newest_variants
+from millwatch.operators.neighbours import with_neighbours
 
 _FIELDS = ["machine_id", "machine_name", "status", "type", "datetime"]
 
@@ -23,9 +23,11 @@ def _image(field) -> Column:
     )
 
 
-def change_envelopes(
-    changes: DataFrame, known: DataFrame | None = None, heavy_rows: int = HEAVY_ROWS,
-) -> DataFrame:
+# A NULL key is a group of its own; stored text cannot contain this character.
+NO_KEY = "\u0000"
+
+
+def change_envelopes(changes: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """One envelope per row change, with the images before and after.
 
     ``changes`` holds ``seq`` (arrival order), ``changed_at``, the machine row and
@@ -35,9 +37,7 @@ def change_envelopes(
     if "deleted" not in changes.columns:
         changes = changes.withColumn("deleted", F.lit(False))
     seen = with_neighbours(
-        changes, "machine_name", ["seq"], before=["seq", "deleted", *[f for f in _FIELDS if f != "machine_name"]],
-        heavy_rows=heavy_rows,
-    )
+        changes, "machine_name", ["seq"], before=["seq", "deleted", *[f for f in _FIELDS if f != "machine_name"]])
     inside = F.col("prev_seq").isNotNull() & ~F.col("prev_deleted")
     if known is None:
         before = {f: F.when(inside, F.col(f"prev_{f}")) for f in _FIELDS if f != "machine_name"}
@@ -110,23 +110,41 @@ def _named() -> Column:
     return F.coalesce(F.col("new_data.machine_name"), F.lit("")) != ""
 
 
+def _time() -> Column:
+    """The reading's time, NULL for a text that is none."""
+    return F.expr("try_cast(new_data.datetime as timestamp_ntz)")
+
+
+def _untimed() -> Column:
+    """A text stands where the time should be, but it is no time."""
+    return F.col("new_data.datetime").isNotNull() & _time().isNull()
+
+
 def readings_of(envelopes: DataFrame) -> DataFrame:
-    """The machine rows of the envelopes that carry one; DELETEs and nameless rows do not."""
-    return envelopes.filter(_named()).select(
-        *[F.col(f"new_data.{f}").alias(f) for f in _FIELDS if f != "datetime"],
-        F.to_timestamp_ntz(F.col("new_data.datetime")).alias("datetime"),
-    )
+    """The machine rows of the envelopes that carry one; DELETEs, nameless rows and unreadable times do not."""
+    return envelopes.filter(_named() & ~_untimed()).select(
+        *[F.col(f"new_data.{f}").alias(f) for f in _FIELDS if f != "datetime"], _time().alias("datetime"))
+
+
+def dead_letter() -> Column:
+    """A message that cannot be read as an envelope, or a reading with an unreadable time."""
+    return (F.col("operation").isNull() & ~_named()) | (_named() & _untimed())
 
 
 def dead_letters(envelopes: DataFrame) -> DataFrame:
-    """Messages that cannot be read as an envelope."""
-    return envelopes.filter(F.col("operation").isNull() & ~_named()).select("value")
+    return envelopes.filter(dead_letter()).select("value")
+
+
+def fold_variants(variants: DataFrame, readings: DataFrame) -> DataFrame:
+    """What ``newest_variants`` of all readings so far and these would give."""
+    return newest_variants(readings, variants)
 
 
 def fold_latest(snapshot: DataFrame, readings: DataFrame) -> DataFrame:
-    """The snapshot after the readings; the newest event wins, whatever came last."""
+    """The snapshot after the readings; the newest event wins, whatever came last, and a reading without a time loses."""
     columns = schemas.FEED.fieldNames()
-    return latest_readings(snapshot.select(*columns).unionByName(readings.select(*columns)))
+    rows = snapshot.select(*columns).unionByName(readings.select(*columns))
+    return latest_of_variants(newest_variants(rows), undated_first=False)
 
 
 def set_status(snapshot: DataFrame, updates: DataFrame) -> DataFrame:

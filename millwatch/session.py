@@ -4,6 +4,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_GIVEN: list[str] = []
 _DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -30,7 +31,15 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     It lies below ``spark.checkpoint.dir``, or below the warehouse folder where that is unset.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    _GIVEN.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove all scratch folders given out so far; no table that reads them may be used again."""
+    while _GIVEN:
+        drop_scratch(spark, _GIVEN.pop())
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:
@@ -48,8 +57,24 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _folder(spark: SparkSession, path: str) -> tuple:
+    """A folder and its file system, whichever it is."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def drop_scratch(spark: SparkSession, path: str) -> None:
-    """Remove a scratch folder that no reader needs any more."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    """Remove a folder that no reader needs any more."""
+    folder, system = _folder(spark, path)
+    system.delete(folder, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    folder, system = _folder(spark, path)
+    return system.exists(folder)
+
+
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder; none where it does not exist."""
+    folder, system = _folder(spark, path)
+    return sorted(f.getPath().getName() for f in system.listStatus(folder) if f.isDirectory()) if system.exists(folder) else []

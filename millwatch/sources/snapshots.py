@@ -1,37 +1,76 @@
-"""A small table rewritten per batch, kept in a ring of folders.
+"""A keyed table that each batch updates, in buckets by key.
 
-Batch N reads the slot of batch N-1 and writes its own slot, so a replay of N
-finds its input unharmed and gives the same result.  A pointer row, written
-after the data, tells readers which slot is complete.  Table and streaming
-checkpoint belong together: delete both or neither.
+A batch writes new versions of the buckets it touches and a small index that names the
+version of every bucket; the others stay as they are.  A batch reads the index of the one
+before it, so a replay finds its input unharmed and gives the same result, and a reader
+keeps the index it started with: nothing it names is ever overwritten.  ``drop_versions``
+removes what only old indexes name; how old is for the caller to say, by their longest
+query.  Table and streaming checkpoint belong together: delete both or neither.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SLOTS = 4
+from millwatch.session import drop_scratch, exists, subfolders
+
+BUCKETS = 32
+
+
+def bucket_of(key: str, buckets: int = BUCKETS):
+    return F.pmod(F.hash(key), F.lit(buckets))
 
 
-def _slot(path: str, batch_id: int) -> str:
-    return f"{path}/data/slot={batch_id % SLOTS}"
+def _index(spark: SparkSession, path: str, batch_id: int | None) -> dict[int, int]:
+    """Bucket -> the batch that wrote it, as of ``batch_id`` (None: nothing written yet); at most ``BUCKETS`` rows."""
+    if batch_id is None:
+        return {}
+    rows = spark.read.schema("bucket int, version bigint").parquet(f"{path}/index/batch={batch_id}")
+    return {r["bucket"]: r["version"] for r in rows.collect()}
 
 
-def read_before(spark: SparkSession, path: str, batch_id: int, schema: T.StructType) -> DataFrame:
-    """The table as it stood before ``batch_id``."""
-    if batch_id == 0:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(_slot(path, batch_id - 1))
+def _written(spark: SparkSession, path: str) -> list[int]:
+    """The batches with a complete index, oldest first."""
+    names = [n for n in subfolders(spark, f"{path}/index") if n.startswith("batch=")]
+    return sorted(int(n.removeprefix("batch=")) for n in names if exists(spark, f"{path}/index/{n}/_SUCCESS"))
 
 
-def write_version(rows: DataFrame, path: str, batch_id: int) -> None:
-    rows.write.mode("overwrite").parquet(_slot(path, batch_id))
-    pointer = rows.sparkSession.range(1).select(F.lit(batch_id).cast("bigint").alias("version"))
-    pointer.write.mode("overwrite").parquet(f"{path}/pointer/slot={batch_id % SLOTS}")
+def _read(spark: SparkSession, path: str, index: dict[int, int], schema: T.StructType) -> DataFrame:
+    folders = [f"{path}/data/version={v}/bucket={b}" for b, v in sorted(index.items())]
+    folders = [f for f in folders if exists(spark, f)]
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
 
 
 def read_current(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The newest complete version."""
-    versions = spark.read.schema("version bigint").parquet(f"{path}/pointer")
-    newest = versions.agg(F.max("version")).first()[0]
-    return spark.read.schema(schema).parquet(_slot(path, newest))
+    """The table after the newest complete batch."""
+    return _read(spark, path, _index(spark, path, max(_written(spark, path), default=None)), schema)
+
+
+def update(changes: DataFrame, path: str, batch_id: int, schema: T.StructType, key: str,
+           merge: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+    """Rewrite the buckets that ``changes`` touch as ``merge(rows of these buckets so far, changes)``."""
+    spark = changes.sparkSession
+    before = _index(spark, path, max((b for b in _written(spark, path) if b < batch_id), default=None))
+    touched = sorted(r[0] for r in changes.select(bucket_of(key)).distinct().collect())  # at most BUCKETS rows
+    so_far = _read(spark, path, {b: v for b, v in before.items() if b in touched}, schema)
+    merged = merge(so_far, changes).select(*schema.fieldNames()).withColumn("bucket", bucket_of(key))
+    merged.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/data/version={batch_id}")
+    index = before | {b: batch_id for b in touched}
+    rows = spark.createDataFrame(sorted(index.items()), "bucket int, version bigint")
+    rows.coalesce(1).write.mode("overwrite").parquet(f"{path}/index/batch={batch_id}")
+
+
+def drop_versions(spark: SparkSession, path: str, keep: int) -> None:
+    """Remove data and indexes that none of the newest ``keep`` batches names."""
+    batches = _written(spark, path)
+    kept = batches[-keep:]
+    named = {(b, v) for batch in kept for b, v in _index(spark, path, batch).items()}
+    for batch in batches[:-keep]:
+        drop_scratch(spark, f"{path}/index/batch={batch}")
+    for version in subfolders(spark, f"{path}/data"):
+        v = int(version.removeprefix("version="))
+        for bucket in subfolders(spark, f"{path}/data/{version}"):
+            if bucket.startswith("bucket=") and v <= kept[-1] and (int(bucket.removeprefix("bucket=")), v) not in named:
+                drop_scratch(spark, f"{path}/data/{version}/{bucket}")

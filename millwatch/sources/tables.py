@@ -1,10 +1,13 @@
 """Base, history and gold tables as Parquet folders."""
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millwatch import schemas
+from millwatch.session import drop_scratch, exists, subfolders
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -26,12 +29,80 @@ def read_employees(spark: SparkSession, path: str) -> DataFrame:
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
     """The append-only feed history, partitioned by day; look-backs prune its partitions."""
-    return spark.read.schema(schemas.HISTORY).parquet(path)
+    return _read_days(spark, path, schemas.HISTORY, "event_date")
 
 
 def read_stored_work_orders(spark: SparkSession, path: str) -> DataFrame:
     """The work orders that streamed in, partitioned by day of creation."""
-    return spark.read.schema(schemas.STORED_WORK_ORDERS).parquet(path)
+    return _read_days(spark, path, schemas.STORED_WORK_ORDERS, "created_date")
+
+
+def read_dead_letters(spark: SparkSession, path: str) -> DataFrame:
+    """The messages of the log that could not be read."""
+    return spark.read.schema(f"value string, {DEAD} boolean").parquet(path).filter(DEAD).select("value")
+
+
+# -- compaction -----------------------------------------------------------------------------------
+#
+# A stream leaves a folder per day and batch.  ``compact`` rewrites what batches up to some
+# number hold of the days before some day into sound files below ``_closed`` and then writes
+# the two limits.  Readers take ``_closed`` and, of the folders of the batches, what lies
+# outside the limits; rows that come late for a closed day are outside, until the next run.
+
+# Marks unreadable messages in the log, which is partitioned by it.
+DEAD = "dead"
+
+
+def _limits(spark: SparkSession, path: str) -> tuple[int, object, int] | None:
+    """(run, first open day, last closed batch) of the newest complete run."""
+    runs = [n for n in subfolders(spark, f"{path}/_closed_until") if exists(spark, f"{path}/_closed_until/{n}/_SUCCESS")]
+    if not runs:
+        return None
+    run = max(int(n.removeprefix("run=")) for n in runs)
+    row = spark.read.schema("day date, batch bigint").parquet(f"{path}/_closed_until/run={run}").first()
+    return run, row["day"], row["batch"]
+
+
+def _read_days(spark: SparkSession, path: str, schema: T.StructType, day: str) -> DataFrame:
+    rows, limits = spark.read.schema(schema).parquet(path), _limits(spark, path)
+    if limits is None:
+        return rows
+    run, first_open, batch = limits
+    names = [f"{path}/_closed/run={r}" for r in range(run + 1)]
+    names = [n for n in names if exists(spark, n)]
+    rows = rows.filter((F.col(day) >= F.lit(first_open)) | F.col(day).isNull() | (F.col("batch_id") > batch))
+    for name in names:
+        rows = rows.unionByName(spark.read.schema(schema).parquet(name).select(*rows.columns))
+    return rows
+
+
+def compact(spark: SparkSession, path: str, schema: T.StructType, day: str, first_open: date, batch: int) -> None:
+    """Close the days before ``first_open`` for batches up to ``batch``; their folders are then removed.
+
+    A run that fails leaves the table as it was.  Remove the old folders (``clean``) only
+    when no reader can still use them.
+    """
+    limits = _limits(spark, path)
+    run = limits[0] + 1 if limits else 0
+    rows = spark.read.schema(schema).parquet(path).filter((F.col(day) < F.lit(first_open)) & (F.col("batch_id") <= batch))
+    if limits:
+        rows = rows.filter((F.col(day) >= F.lit(limits[1])) | (F.col("batch_id") > limits[2]))
+        first_open, batch = max(first_open, limits[1]), max(batch, limits[2])
+    # the batch stays known, as a column, so that compacted rows look like all others
+    rows.hint("rebalance", day).write.mode("overwrite").partitionBy(day).parquet(f"{path}/_closed/run={run}")
+    row = spark.createDataFrame([(first_open, batch)], "day date, batch bigint")
+    row.coalesce(1).write.mode("overwrite").parquet(f"{path}/_closed_until/run={run}")
+
+
+def clean(spark: SparkSession, path: str, day: str) -> None:
+    """Remove the batch folders whose rows are closed."""
+    limits = _limits(spark, path)
+    for folder in subfolders(spark, path) if limits else []:
+        value = folder.removeprefix(f"{day}=")
+        if value != folder and not value.startswith("__") and date.fromisoformat(value) < limits[1]:
+            for batch in subfolders(spark, f"{path}/{folder}"):
+                if int(batch.removeprefix("batch_id=")) <= limits[2]:
+                    drop_scratch(spark, f"{path}/{folder}/{batch}")
 
 
 def append_history(readings: DataFrame, path: str, batch_id: int) -> None:
@@ -59,12 +130,12 @@ def _append_days(rows: DataFrame, path: str, day: str, batch_id: int) -> None:
     )
 
 
-def append_batch(rows: DataFrame, path: str, batch_id: int) -> None:
-    """Add one batch to a table partitioned by batch only; a replay replaces the batch."""
+def append_batch(rows: DataFrame, path: str, batch_id: int, *by: str) -> None:
+    """Add one batch to a table partitioned by batch, and ``by`` below it; a replay replaces the batch."""
     (
         rows.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id").parquet(path)
+        .partitionBy("batch_id", *by).parquet(path)
     )
 
 

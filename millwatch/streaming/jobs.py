@@ -4,10 +4,10 @@ Every job is one query with ``foreachBatch``.  Each sink replaces the output of
 its own batch, so a replay after a lost executor or driver leaves the tables as
 one run would.  All state lives in tables below ``root``, next to the
 checkpoint; nothing is kept in Python, and a hot machine is reduced on the map
-side like in a batch job.
+side like in a batch job.  A batch rewrites only the buckets of the machines in it.
 """
 
-from datetime import datetime, timezone
+from datetime import date, datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,34 +16,40 @@ from pyspark.sql.streaming import StreamingQuery
 from millwatch import schemas
 from millwatch.functions.machines import display_status
 from millwatch.operators.changes import (
-    change_envelopes, dead_letters, envelope_json, fold_latest, parse_envelopes, readings_of,
+    change_envelopes, dead_letter, envelope_json, fold_variants, parse_envelopes, readings_of,
 )
 from millwatch.operators.ingest import ingest_work_orders
+from millwatch.operators.latest import latest_of_variants
+from millwatch.plans.floor import live_floor
+from millwatch.session import exists
 from millwatch.sources import snapshots
-from millwatch.sources.tables import append_batch, append_history, append_work_orders
+from millwatch.sources.tables import DEAD, append_batch, append_history, append_work_orders, read_stored_work_orders
 
+# Every trigger leaves a folder per table and day until it is compacted.
+TRIGGER = "1 minute"
 
-def _start(stream: DataFrame, root: str, handle, once: bool) -> StreamingQuery:
+
+def _start(stream: DataFrame, root: str, handle, once: bool, every: str = TRIGGER) -> StreamingQuery:
     writer = stream.writeStream.option("checkpointLocation", f"{root}/checkpoint").foreachBatch(handle)
-    return (writer.trigger(availableNow=True) if once else writer).start()
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
-def follow_changes(messages: DataFrame, root: str, once: bool = False) -> StreamingQuery:
-    """Fan the change feed out: message log, dead letters, history, snapshot and down alerts.
+def follow_changes(messages: DataFrame, root: str, once: bool = False, initial: DataFrame | None = None) -> StreamingQuery:
+    """Fan the change feed out: message log with its dead letters, history, state and down alerts.
 
-    ``messages`` has the envelope text in ``value``.
+    ``messages`` has the envelope text in ``value``.  ``initial``, readings known before the
+    stream starts, go into the state with the first batch.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         batch = parse_envelopes(batch).persist()
         try:
-            log = batch.select("value", F.current_timestamp().alias("received_at"))
-            append_batch(log, f"{root}/messages", batch_id)
-            append_batch(dead_letters(batch), f"{root}/dead_letters", batch_id)
+            log = batch.select("value", F.current_timestamp().alias("received_at"), dead_letter().alias(DEAD))
+            append_batch(log, f"{root}/messages", batch_id, DEAD)
             readings = readings_of(batch)
             append_history(readings, f"{root}/history", batch_id)
-            before = snapshots.read_before(spark, f"{root}/snapshot", batch_id, schemas.FEED)
-            snapshots.write_version(fold_latest(before, readings), f"{root}/snapshot", batch_id)
+            known = readings if batch_id or initial is None else readings.unionByName(initial.select(*readings.columns))
+            snapshots.update(known, f"{root}/state", batch_id, schemas.VARIANTS, "machine_name",
+                             lambda before, new: fold_variants(before, new))
             alerts = readings.filter(display_status(F.col("status")) == "down")
             append_batch(alerts, f"{root}/down_alerts", batch_id)
         finally:
@@ -52,8 +58,19 @@ def follow_changes(messages: DataFrame, root: str, once: bool = False) -> Stream
     return _start(messages, root, handle, once)
 
 
+def current_variants(spark: SparkSession, root: str) -> DataFrame:
+    """The streamed state: the newest reading of each variant of a machine."""
+    return snapshots.read_current(spark, f"{root}/state", schemas.VARIANTS)
+
+
 def current_snapshot(spark: SparkSession, root: str) -> DataFrame:
-    return snapshots.read_current(spark, f"{root}/snapshot", schemas.FEED)
+    """The newest reading of each machine; one without a time comes after all others."""
+    return latest_of_variants(current_variants(spark, root), undated_first=False)
+
+
+def current_floor(spark: SparkSession, root: str, floor: DataFrame) -> DataFrame:
+    """The live floor as the initial readings and the stream so far show it."""
+    return live_floor(floor, current_snapshot(spark, root))
 
 
 def publish_changes(changes: DataFrame, root: str, once: bool = False) -> StreamingQuery:
@@ -64,15 +81,17 @@ def publish_changes(changes: DataFrame, root: str, once: bool = False) -> Stream
     machine, from the images table of the batch before: the last by arrival.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         batch = batch.persist()
         try:
             if "deleted" not in batch.columns:
                 batch = batch.withColumn("deleted", F.lit(False))
-            known = snapshots.read_before(spark, f"{root}/images", batch_id, schemas.FEED)
-            envelopes = envelope_json(change_envelopes(batch, known))
-            append_batch(envelopes.select("seq", "value"), f"{root}/envelopes", batch_id)
-            snapshots.write_version(_images_after(known, batch), f"{root}/images", batch_id)
+
+            def publish(known: DataFrame, new: DataFrame) -> DataFrame:
+                envelopes = envelope_json(change_envelopes(new, known))
+                append_batch(envelopes.select("seq", "value"), f"{root}/envelopes", batch_id)
+                return _images_after(known, new)
+
+            snapshots.update(batch, f"{root}/images", batch_id, schemas.FEED, "machine_name", publish)
         finally:
             batch.unpersist()
 
@@ -97,16 +116,25 @@ def _images_after(known: DataFrame, changes: DataFrame) -> DataFrame:
 def follow_requests(requests: DataFrame, root: str, as_of: datetime | None = None, once: bool = False) -> StreamingQuery:
     """Validate a stream of work-order requests and append the accepted ones to ``root/work_orders``.
 
-    ``requests`` has ``request_key`` and ``raw``; rejected requests go to ``root/rejected``.
+    ``requests`` has ``request_key`` and ``raw``; rejected requests go to ``root/rejected``, also
+    those whose id an earlier batch has stored.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
         now = as_of or datetime.now(timezone.utc).replace(tzinfo=None)
         batch = batch.persist()
         try:
-            accepted, rejected = ingest_work_orders(batch, now)
+            accepted, rejected = ingest_work_orders(batch, now, _orders_of(batch.sparkSession, root, now.date(), batch_id))
             append_work_orders(accepted, f"{root}/work_orders", batch_id)
             append_batch(rejected, f"{root}/rejected", batch_id)
         finally:
             batch.unpersist()
 
     return _start(requests, root, handle, once)
+
+
+def _orders_of(spark: SparkSession, root: str, day: date, batch_id: int) -> DataFrame | None:
+    """Work orders of the day from earlier batches: ids carry their day, so others cannot be equal."""
+    path = f"{root}/work_orders"
+    if not exists(spark, path):
+        return None
+    return read_stored_work_orders(spark, path).filter((F.col("created_date") == F.lit(day)) & (F.col("batch_id") < batch_id))

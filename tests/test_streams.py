@@ -2,7 +2,7 @@
 
 import json
 import random
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 import pytest
 
@@ -10,7 +10,7 @@ from millwatch import schemas
 from millwatch.functions.times import since
 from millwatch.operators import changes
 from millwatch.operators.latest import latest_readings
-from millwatch.session import scratch_dir
+from millwatch.session import scratch_dir, subfolders
 from millwatch.sources import snapshots, tables
 from millwatch.sources.change_feed import read_change_stream
 from millwatch.streaming import jobs
@@ -51,10 +51,9 @@ def test_envelopes(spark):
 def test_envelopes_with_known_rows(spark, feed_of):
     known = feed_of((9, "A", "warning", "valve", "2024-01-01 00:00"), (8, None, "warning", "valve", "2024-01-01 00:00"))
     changed = spark.createDataFrame([_change(1, "A", "down"), _change(2, "A", None, True), _change(3, "A", "down"), _change(4, None, "down")], CHANGE)
-    for heavy_rows in (1, 10 ** 9):
-        got = _published(changes.envelope_json(changes.change_envelopes(changed, known, heavy_rows)))
-        assert [got[s]["operation"] for s in sorted(got)] == ["UPDATE", "DELETE", "INSERT", "UPDATE"]
-        assert got[1]["old_data"]["machine_id"] == 9 and got[3]["old_data"] is None and got[4]["old_data"]["machine_id"] == 8
+    got = _published(changes.envelope_json(changes.change_envelopes(changed, known)))
+    assert [got[s]["operation"] for s in sorted(got)] == ["UPDATE", "DELETE", "INSERT", "UPDATE"]
+    assert got[1]["old_data"]["machine_id"] == 9 and got[3]["old_data"] is None and got[4]["old_data"]["machine_id"] == 8
 
 
 def test_parsing_tells_readings_from_junk(spark):
@@ -64,11 +63,22 @@ def test_parsing_tells_readings_from_junk(spark):
         '{"operation":"DELETE","table":"t","timestamp":1.5,"old_data":%s}' % new,
         '{"operation":"UPDATE","table":"t","timestamp":1.5,"new_data":{"machine_name":null}}',
         '{"operation":"UPDATE","table":"t","timestamp":1.5,"new_data":{"machine_name":""}}',
+        '{"operation":"UPDATE","table":"t","timestamp":1.5,"new_data":%s}' % new.replace("2024-01-30T00:00:00.25", "garbage"),
         '{"new_data":%s}' % new, '{"operation":"INS', "", "42", "{}", None]], "value string")
     parsed = changes.parse_envelopes(messages)
     readings = changes.readings_of(parsed).collect()
     assert [(r["machine_name"], r["datetime"]) for r in readings] == [("A", datetime(2024, 1, 30, 0, 0, 0, 250000))] * 2
-    assert sorted(map(str, (r["value"] for r in changes.dead_letters(parsed).collect()))) == ["", "42", "None", '{"operation":"INS', "{}"]
+    dead = sorted(map(str, (r["value"] for r in changes.dead_letters(parsed).collect())))
+    assert [d for d in dead if "garbage" not in d] == ["", "42", "None", '{"operation":"INS', "{}"] and len(dead) == 6
+
+
+def test_a_reading_without_a_time_does_not_pin_its_machine(spark, feed_of):
+    snapshot = feed_of((1, "A", "down", "valve", None), (2, "B", "down", "valve", None))
+    later = feed_of((1, "A", "operational", "valve", "2024-01-30 00:00"))
+    got = changes.fold_latest(snapshot, later).collect()
+    assert {r["machine_name"]: r["status"] for r in got} == {"A": "operational", "B": "down"}
+    # the batch report keeps counting a missing time as newest
+    assert {r["machine_name"]: r["status"] for r in latest_readings(snapshot.unionByName(later)).collect()} == {"A": "down", "B": "down"}
 
 
 def test_diff(spark, feed_of):
@@ -129,12 +139,12 @@ def test_replayed_batch_changes_nothing(spark):
     def run_twice(stream):
         real = jobs._start
 
-        def start(stream, root, handle, once):
+        def start(stream, root, handle, once, *more):
             def twice(batch, batch_id):
                 handle(batch, batch_id)
                 handle(batch, batch_id)
                 handled[batch_id] = True
-            return real(stream, root, twice, once)
+            return real(stream, root, twice, once, *more)
 
         jobs._start = start
         try:
@@ -148,18 +158,74 @@ def test_replayed_batch_changes_nothing(spark):
     assert len(handled) == 2
     assert tables.read_history(spark, f"{root}/history").count() == 60
     assert tables.read_table(spark, f"{root}/messages", schemas.MESSAGE).count() == 61
-    assert [r["value"] for r in tables.read_table(spark, f"{root}/dead_letters", schemas.MESSAGE).collect()] == ["junk"]
+    assert [r["value"] for r in tables.read_dead_letters(spark, f"{root}/messages").collect()] == ["junk"]
     assert jobs.current_snapshot(spark, root).count() == 4
 
 
-def test_many_batches_reuse_the_snapshot_ring(spark):
+def test_batches_rewrite_only_the_buckets_they_touch(spark):
     root, inbox = scratch_dir(spark, "follow"), scratch_dir(spark, "inbox")
-    texts = _messages(12)
-    for i in range(snapshots.SLOTS + 2):
-        _send(spark, inbox, texts[2 * i:2 * i + 2])
+    texts = _messages(24)
+    for i in range(6):
+        _send(spark, inbox, texts[4 * i:4 * i + 4] if i < 3 else texts[4 * i:4 * i + 1])  # from the fourth on, M0 only
         _follow(spark, inbox, root)
-    whole = changes.readings_of(changes.parse_envelopes(spark.createDataFrame([(t,) for t in texts], "value string")))
+        if i == 2:
+            early = jobs.current_variants(spark, root)
+            before = _sorted(early)
+    sent = texts[:12] + [texts[i] for i in (12, 16, 20)]
+    whole = changes.readings_of(changes.parse_envelopes(spark.createDataFrame([(t,) for t in sent], "value string")))
     assert _rows(jobs.current_snapshot(spark, root)) == _rows(latest_readings(whole))
+    versions = subfolders(spark, f"{root}/state/data")
+    assert [len(subfolders(spark, f"{root}/state/data/{v}")) for v in versions[3:]] == [1, 1, 1]
+    # a reader that began three batches ago still reads the same rows
+    assert _sorted(early) == before
+    now = _sorted(jobs.current_variants(spark, root))
+    snapshots.drop_versions(spark, f"{root}/state", keep=1)
+    assert _sorted(jobs.current_variants(spark, root)) == now
+    assert sum(len(subfolders(spark, f"{root}/state/data/{v}")) for v in subfolders(spark, f"{root}/state/data")) <= 4
+
+
+def _sorted(df):
+    return sorted(map(str, df.collect()))
+
+
+def test_state_starts_from_initial_readings(spark, feed_of):
+    root, inbox = scratch_dir(spark, "follow"), scratch_dir(spark, "inbox")
+    initial = feed_of((1, "M1", "down", "valve", "2023-01-01 00:00"), (9, "Quiet_01", "warning", "valve", "2023-01-01 00:00"))
+    floor = spark.createDataFrame([(0, "L", 0, "M1"), (0, "L", 1, "Quiet_01"), (0, "L", 2, "Never")], "line_order int, line string, position int, name string")
+    _send(spark, inbox, [t for t in _messages() if '"M1"' in t])
+    jobs.follow_changes(read_change_stream(spark, inbox), root, once=True, initial=initial).awaitTermination()
+    shown = {r["name"]: r["status"] for r in jobs.current_floor(spark, root, floor).collect()}
+    last = json.loads([t for t in _messages() if '"M1"' in t][-1])["new_data"]["status"]
+    assert shown == {"M1": last, "Quiet_01": "warning", "Never": "unknown"}
+
+
+def test_compaction_keeps_every_row(spark):
+    root, inbox = scratch_dir(spark, "follow"), scratch_dir(spark, "inbox")
+    path, texts = f"{root}/history", _messages()
+    undated = json.dumps({"operation": "UPDATE", "table": "t", "timestamp": 1.0, "new_data": {"machine_name": "M1", "status": "down"}})
+
+    def feed(part):
+        _send(spark, inbox, part)
+        _follow(spark, inbox, root)
+
+    def rows():
+        return _sorted(tables.read_history(spark, path))
+
+    feed(texts[:40])
+    feed(texts[40:] + [undated])
+    want = rows()
+    tables.compact(spark, path, schemas.HISTORY, "event_date", date(2024, 1, 31), batch=1)
+    assert rows() == want
+    tables.clean(spark, path, "event_date")
+    assert rows() == want and "event_date=2024-01-30" in subfolders(spark, path)
+    feed([texts[0], texts[30]])  # late for the closed day
+    want = rows()
+    assert len(want) == 63
+    tables.compact(spark, path, schemas.HISTORY, "event_date", date(2024, 2, 1), batch=2)
+    tables.clean(spark, path, "event_date")
+    assert rows() == want
+    recent = since(tables.read_history(spark, path), "datetime", datetime(2024, 2, 2), 1)
+    assert recent.count() == 60 - 48
 
 
 def test_look_back_prunes_history_partitions(spark):
@@ -196,16 +262,25 @@ def test_request_stream(spark):
     assert [r["raw"] for r in rejected] == ["junk"]
 
 
-def test_scratch_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
-    from millwatch import session
+def test_requests_sent_again_are_rejected(spark):
+    root, inbox = scratch_dir(spark, "orders"), scratch_dir(spark, "inbox")
+    good = '{"machine_id":"V","issue_description":"leak","reporter_name":"Ann"}'
+    for keys in ([1, 2], [2, 3], [1]):
+        spark.createDataFrame([(k, good) for k in keys], "request_key bigint, raw string").write.mode("append").json(inbox)
+        stream = spark.readStream.schema("request_key bigint, raw string").json(inbox)
+        jobs.follow_requests(stream, root, as_of=START, once=True).awaitTermination()
+    stored = tables.read_stored_work_orders(spark, f"{root}/work_orders")
+    assert stored.count() == stored.select("id").distinct().count() == 3
+    rejected = spark.read.schema("request_key bigint, raw string, error string").parquet(f"{root}/rejected").collect()
+    assert sorted((r["request_key"], r["error"]) for r in rejected) == [(1, "id already exists"), (2, "id already exists")]
+
 
-    class Cluster:
-        class sparkContext:
-            master = "spark://head:7077"
+def test_scratch_lies_below_the_shared_folder(spark, monkeypatch):
+    from millwatch import session
 
+    class Unset:
         class conf:
-            get = staticmethod(lambda name, default: default)
+            get = staticmethod(lambda name, *default: default[0] if default else "/warehouse")
 
-    with pytest.raises(ValueError):
-        session.scratch_dir(Cluster, "x")
+    assert session.scratch_dir(Unset, "x").startswith("/warehouse/_scratch/x-")
     assert scratch_dir(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
