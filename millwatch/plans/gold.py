@@ -1,11 +1,16 @@
 """Full refresh of the gold tables."""
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from millwatch import schemas
+from millwatch.operators.latest import newest_variants
 from millwatch.plans import kpi, machine, orders
+from millwatch.session import stored
 
 # Gold table -> the inputs its plan takes before ``as_of``, and the plan.
 GOLD_TABLES: dict[str, tuple[tuple[str, ...], Callable[..., DataFrame]]] = {
@@ -20,36 +25,53 @@ GOLD_TABLES: dict[str, tuple[tuple[str, ...], Callable[..., DataFrame]]] = {
 }
 
 
-def write_gold(table: DataFrame, root: str, name: str) -> None:
-    table.write.mode("overwrite").parquet(f"{root}/{name}")
+# A refresh writes a version of its own; the pointer, written last, makes it the one that readers see.
 
 
-def read_gold(spark: SparkSession, root: str, name: str) -> DataFrame:
+def write_gold(table: DataFrame, root: str, name: str, version: str = "single") -> None:
+    table.write.mode("overwrite").parquet(f"{root}/version={version}/{name}")
+
+
+def publish(spark: SparkSession, root: str, version: str) -> None:
+    row = spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("published_at"))
+    row.coalesce(1).write.mode("append").parquet(f"{root}/_published")
+
+
+def current_version(spark: SparkSession, root: str) -> str:
+    """The version published last."""
+    rows = spark.read.schema("version string, published_at timestamp").parquet(f"{root}/_published")
+    return rows.agg(F.max_by("version", F.struct("published_at", "version"))).first()[0]
+
+
+def read_gold(spark: SparkSession, root: str, name: str, version: str | None = None) -> DataFrame:
     if name not in GOLD_TABLES:
         raise KeyError(f"no gold table {name}")
-    return spark.read.parquet(f"{root}/{name}")
+    return spark.read.schema(schemas.GOLD[name]).parquet(f"{root}/version={version or current_version(spark, root)}/{name}")
 
 
 def refresh_gold(
     spark: SparkSession, feed: DataFrame, work_orders: DataFrame, as_of: datetime, root: str,
-    snapshot: DataFrame | None = None,
-) -> None:
-    """Rewrite all eight tables.
+    variants: DataFrame | None = None,
+) -> str:
+    """Write all eight tables as a new version and publish it; returns the version.
 
-    The neighbour pass over the last 30 days runs once and is written out; all
+    The neighbour pass over the last 30 days runs once and is stored; all
     tables but the current status read that instead of the whole history, and a
-    lost executor costs no second shuffle.  ``snapshot``, the streamed table of
-    newest readings, spares the current status its scan of the whole history.
+    lost executor costs no second shuffle.  ``variants``, the streamed state of the
+    same history, spares the current status its scan and gives the same rows.  Refreshes
+    that run at the same time, or fail, leave the published version alone.
     """
-    shared = f"{root}/_transitions"
-    machine.transitions(feed, as_of).write.mode("overwrite").parquet(shared)
-    readings = spark.read.parquet(shared)
+    version = uuid.uuid4().hex
+    readings = stored(machine.transitions(feed, as_of), "transitions")
     tables = {"feed": readings, "work_orders": work_orders}
+    current = newest_variants(feed) if variants is None else variants
     from_readings = {
-        "current_machine_status": machine.current_machine_status(feed if snapshot is None else snapshot, as_of),
+        "current_machine_status": machine.current_status_from_variants(current, as_of),
         "machine_uptime_7days": machine.uptime_from_transitions(readings, as_of),
         "problematic_machines_30days": machine.problems_from_transitions(readings, as_of),
         "machine_status_changes_7days": machine.changes_from_transitions(readings, as_of),
     }
     for name, (inputs, plan) in GOLD_TABLES.items():
-        write_gold(from_readings.get(name) or plan(*[tables[i] for i in inputs], as_of), root, name)
+        write_gold(from_readings.get(name) or plan(*[tables[i] for i in inputs], as_of), root, name, version)
+    publish(spark, root, version)
+    return version

@@ -70,4 +70,41 @@ ENVELOPE = T.StructType([
 ])
 
 MESSAGE = T.StructType([T.StructField("value", T.StringType())])
+
+# The streamed state: the newest reading of each variant of a machine.
+VARIANTS = T.StructType([
+    T.StructField("machine_name", T.StringType()),
+    T.StructField("machine_id", T.IntegerType()),
+    T.StructField("status", T.StringType()),
+    T.StructField("type", T.StringType()),
+    T.StructField("newest", T.TimestampNTZType()),
+    T.StructField("undated", T.BooleanType()),
+])
+
+
+_KINDS = {"string": T.StringType(), "bigint": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(),
+          "date": T.DateType(), "timestamp_ntz": T.TimestampNTZType()}
+
+
+def _gold(columns: str) -> T.StructType:
+    pairs = [c.split() for c in f"{columns}, last_updated timestamp_ntz".split(", ")]
+    return T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in pairs])
+
+
+GOLD = {
+    "current_machine_status": _gold("production_line string, equipment_type string, status string, machine_count bigint, percentage double"),
+    "machine_uptime_7days": _gold("production_line string, machine_name string, type string, uptime_percentage double, "
+                                  "operational_hours double, downtime_hours double"),
+    "problematic_machines_30days": _gold("production_line string, machine_name string, type string, downtime_incidents bigint, "
+                                         "days_with_issues bigint, first_incident timestamp_ntz, last_incident timestamp_ntz"),
+    "hourly_status_patterns": _gold("hour_of_day int, operational_count bigint, down_count bigint, warning_count bigint, "
+                                    "total_readings bigint, downtime_percentage double, uptime_percentage double, "
+                                    "warning_percentage double"),
+    "work_order_status_summary": _gold("status string, order_count bigint, percentage double, avg_resolution_hours double, "
+                                       "critical_count bigint, unassigned_count bigint"),
+    "work_order_trends_30days": _gold("order_date date, daily_count bigint, seven_day_moving_avg double, volume_indicator string"),
+    "machine_status_changes_7days": _gold("status_date date, status_hour int, machine_name string, production_line string, "
+                                          "type string, status string, previous_status string, status_change_type string"),
+    "executive_kpis": _gold("metric_category string, metric_name string, current_value double, target_value double, value_type string"),
+}
 PUBLISHED = T.StructType([T.StructField("seq", T.LongType()), T.StructField("value", T.StringType())])
