@@ -3,8 +3,10 @@
 from datetime import timedelta
 
 from checks.views import (
-    AS_OF, CANDIDATES_CTE, CHANGES_CTE, EMPLOYEES_CTE, FEED_CTE, ORDERS_CTE, REQUESTS_CTE, SELECTED_MACHINE,
+    AS_OF, CANDIDATES_CTE, CHANGES_CTE, EMPLOYEES_CTE, FEED_CTE, ORDERS_CTE, REPEATED, REQUESTS_CTE, SELECTED_MACHINE, TIME_FIELD,
+    row_text,
 )
+from millwatch import schemas
 
 NOW = f"timestamp '{AS_OF}'"
 HOUR = 3_600_000_000
@@ -165,8 +167,8 @@ GOLD = {
     "executive_kpis": both(KPIS),
 }
 
-GOLD_COUNTS = " union all ".join(
-    f"select '{name}' as table_name, count(*) as row_count from ({sql})" for name, sql in GOLD.items())
+GOLD_ROWS = " union all ".join(
+    f'select \'{name}\' as table_name, {row_text(schemas.GOLD[name], duckdb=True)} as "row" from ({sql})' for name, sql in GOLD.items())
 
 SOURCES = {
     "table_machine_feed": feed("select * from machine_feed"),
@@ -232,14 +234,11 @@ _ALERTS = ("(values ('Critical Open Work Orders'), ('Overdue High Priority Order
            "('Machines Down Over 4h'))")
 
 
-def exception_report(page: int = 100_000) -> str:
+def exception_report() -> str:
+    """One row per alert, as the statement has it: the test tables hold less than a page of any."""
     return both(
-        f"""select alert_type, any_value(total) as count, string_agg(detail, ', ' order by detail) as details
-            from (select a.alert_type, i.detail, coalesce(t.total, 0) as total,
-                         ('0x' || substr(md5(item), 1, 8))::bigint % ceil(total / {page}.0)::bigint as page
-                  from {_ALERTS} a(alert_type) left join items i using (alert_type)
-                  left join (select alert_type, count(*) as total from items group by 1) t using (alert_type))
-            group by alert_type, page""",
+        f"""select a.alert_type, 1::bigint as page, 1::bigint as pages, count(i.item) as count, string_agg(i.detail, ', ' order by i.detail) as details
+            from {_ALERTS} a(alert_type) left join items i using (alert_type) group by a.alert_type""",
         f"items as ({_alert_items()})")
 
 
@@ -468,19 +467,20 @@ TILES = {
 
 # request_key -> first error, from the way the requests are made
 _ERROR = """case when k % 37 = 0 then 'request is not a JSON object'
-     when k % 11 = 0 or k % 13 = 0 then 'machine_id is required'
-     when k % 17 = 0 then 'issue_description is required'
-     when k % 23 = 0 then 'reporter_name is required'
+     when k % 11 = 0 or k % 13 = 0 or k % 43 = 0 or k % 47 = 0 then 'machine_id is required'
+     when k % 17 = 0 or k % 53 = 0 then 'issue_description is required'
+     when k % 23 = 0 or k % 59 = 0 then 'reporter_name is required'
      when k % 5 <> 0 and (k % 29 = 0 or k % 31 = 0) then 'priority is not allowed'
      when k % 41 = 0 then 'reporter_name is longer than 100' end"""
 _ASKED = f"asked as (select *, {_ERROR} as error from (select *, substr(id, 4)::bigint as k from work_orders))"
 
 ACCEPTED = orders(f"""
-select 'WO-20240131-' || substr(sha256(k::varchar), 1, 8) as id, machine_id, issue_description,
-       case when k % 5 = 0 then 'medium' else priority end as priority, reporter_name, coalesce(assignee, '') as assignee,
+select 'WO-20240131-' || substr(sha256(k::varchar), 1, 32) as id, machine_id, issue_description,
+       case when k % 5 = 0 then 'medium' else priority end as priority, reporter_name, case when k % 61 = 0 then '' else coalesce(assignee, '') end as assignee,
        {NOW} as "timestamp", {NOW} as created_at, 'open' as status from asked where error is null""", _ASKED)
-REJECTED = orders("select request_key, raw, error from requests join asked on k = request_key where error is not null",
-                  REQUESTS_CTE, _ASKED)
+REJECTED = orders("select request_key, raw, error from requests join asked on k = request_key where error is not null "
+                  "union all select request_key, raw, 'id already exists' from requested join asked on k = request_key "
+                  f"where error is null and {REPEATED}", REQUESTS_CTE, _ASKED)
 
 _BROKEN_ROWS = {
     "machine_id not null": "machine_id is null",
@@ -566,8 +566,11 @@ from (from latest union all
       where w.priority = 'critical' and w.status = 'open')
 qualify row_number() over ({NEWEST}) = 1""", LATEST_CTE)
 
-_MESSAGES = ("messages as (select value, true as whole from envelopes union all "
-             "select substr(e.value, 1, 40), false from envelopes e join changes c on c.seq = e.seq where c.status = 'warning')")
+_MESSAGES = ("said as (select e.value, c.status from envelopes e join changes c on c.seq = e.seq), "
+             "messages as (select value, true as whole from said union all "
+             "select substr(value, 1, 40), false from said where status = 'warning' union all "
+             f"select regexp_replace(value, '{TIME_FIELD}', '\"datetime\":null', 'g'), true from said where status = 'warning' union all "
+             f"select regexp_replace(value, '{TIME_FIELD}', '\"datetime\":\"garbage\"', 'g'), false from said where status = 'down')")
 
 STREAMS = {
     "change_envelopes": _changes("select seq, machine_name, operation, value from envelopes"),
@@ -575,7 +578,8 @@ STREAMS = {
     "status_update": STATUS_UPDATE,
     "stream_change_envelopes": _changes("select seq, value from envelopes"),
     "stream_latest": feed("select * from latest", LATEST_CTE),
-    "stream_history": feed("select *, datetime::date as event_date from machine_feed"),
+    "stream_history": feed("select *, datetime::date as event_date from machine_feed union all "
+                           "select * replace (null as datetime), null from machine_feed where status = 'warning'"),
     "stream_live_floor": live("select * from live"),
     "stream_message_log": _changes("select value from messages", _MESSAGES),
     "stream_dead_letters": _changes("select value from messages where not whole", _MESSAGES),

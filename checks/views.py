@@ -64,21 +64,26 @@ EMPLOYEE_COLUMNS = [
 # The feed as row changes: arrival order and time come with each row.
 CHANGE_COLUMNS = FEED_COLUMNS + ["event_id as seq", "ts as changed_at"]
 
-# Work-order requests with missing, empty, null and overlong fields, over the work_orders view.
+# The time of a reading inside an envelope.
+TIME_FIELD = '"datetime":"[^"]*"'
+
+# Work-order requests with missing, empty, null, falsy and overlong fields, over the work_orders view.
+# Every nineteenth comes twice.
 _K = "cast(substr(id, 4) as bigint)"
 REQUEST_COLUMNS = [
     f"{_K} as request_key",
     f"""case when {_K} % 37 = 0 then concat('{{"machine_id":"', machine_id) else concat('{{', concat_ws(',',
-        case when {_K} % 11 = 0 then null when {_K} % 13 = 0 then '"machine_id":""'
-             else concat('"machine_id":"', machine_id, '"') end,
-        case when {_K} % 17 = 0 then '"issue_description":null'
+        case when {_K} % 11 = 0 then null when {_K} % 13 = 0 then '"machine_id":""' when {_K} % 43 = 0 then '"machine_id":0'
+             when {_K} % 47 = 0 then '"machine_id":false' else concat('"machine_id":"', machine_id, '"') end,
+        case when {_K} % 17 = 0 then '"issue_description":null' when {_K} % 53 = 0 then '"issue_description":[]'
              else concat('"issue_description":"', issue_description, '"') end,
         case when {_K} % 5 = 0 then null when {_K} % 29 = 0 then '"priority":null'
              when {_K} % 31 = 0 then '"priority":"urgent"' else concat('"priority":"', priority, '"') end,
-        case when {_K} % 23 = 0 then '"reporter_name":""'
+        case when {_K} % 23 = 0 then '"reporter_name":""' when {_K} % 59 = 0 then '"reporter_name":{{}}'
              when {_K} % 41 = 0 then concat('"reporter_name":"', repeat('x', 101), '"')
              else concat('"reporter_name":"', reporter_name, '"') end,
-        case when assignee is null then null else concat('"assignee":"', assignee, '"') end), '}}') end as raw""",
+        case when assignee is null then null when {_K} % 61 = 0 then '"assignee":0.0'
+             else concat('"assignee":"', assignee, '"') end), '}}') end as raw""",
 ]
 
 # Work orders that break the table's constraints, over the work_orders view.
@@ -137,13 +142,28 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return work_orders(spark, sf_dir).selectExpr(*map(for_spark, REQUEST_COLUMNS))
+    once = work_orders(spark, sf_dir).selectExpr(*map(for_spark, REQUEST_COLUMNS))
+    return once.unionByName(once.filter(REPEATED))
 
 
 def order_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return work_orders(spark, sf_dir).selectExpr(*map(for_spark, CANDIDATE_COLUMNS))
 
 
+REPEATED = "request_key % 19 = 0"
+
+
+def row_text(schema, duckdb: bool = False) -> str:
+    """A row as one text that both engines write alike: whole numbers, hundredths, microseconds, days."""
+    text = "varchar" if duckdb else "string"
+    kinds = {
+        "double": f"cast(cast(round({{c}} * 100.0) as bigint) as {text})",
+        "timestamp_ntz": f"cast({'epoch_us({c})' if duckdb else 'unix_micros(cast({c} as timestamp))'} as {text})",
+    }
+    parts = [f"coalesce({kinds.get(f.dataType.simpleString(), f'cast({{c}} as {text})').format(c=f.name)}, '-')" for f in schema]
+    return f"concat_ws('|', {', '.join(parts)})"
+
+
 def _cte(name: str, table: str, columns: list[str]) -> str:
     return f"{name} as (select {', '.join(map(for_duckdb, columns))} from {table})"
 
@@ -153,4 +173,5 @@ ORDERS_CTE = _cte("work_orders", "orders", ORDER_COLUMNS)
 EMPLOYEES_CTE = _cte("employees", "supplier", EMPLOYEE_COLUMNS)
 CHANGES_CTE = _cte("changes", "events", CHANGE_COLUMNS)
 CANDIDATES_CTE = _cte("candidates", "work_orders", CANDIDATE_COLUMNS)
-REQUESTS_CTE = _cte("requests", "work_orders", REQUEST_COLUMNS)
+REQUESTS_CTE = (f"{_cte('requested', 'work_orders', REQUEST_COLUMNS)}, "
+                f"requests as (from requested union all from requested where {REPEATED})")
