@@ -19,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKET_BYTES = 12_000_000
+BUCKET_BYTES = 6_000_000
 #: A unit of text is handed over after about so many hashes.
-UNIT_HASHES = 3_000_000
+UNIT_HASHES = 1_000_000
 #: Rows without an id come after all others.
 NO_ID = 2 ** 63 - 1
 

@@ -1,7 +1,7 @@
 """Whole texts as byte buffers: words, hashes and rolling windows without a Python object per word.
 
 Arrow hands a task its texts as one UTF-8 buffer with offsets.  Everything here is
-numpy over such buffers, in chunks of a few megabytes, so that a task's memory does
+numpy over such buffers, in chunks of about a megabyte, so that a task's memory does
 not depend on how many rows a batch has.  A single text is never cut; it is the
 least that a chunk can hold.
 
@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 800_000
 
 _M = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2 ** 64
 _M_INVERSE = np.uint64(pow(int(_M), -1, 2 ** 64))
@@ -91,7 +91,7 @@ def rolling(values: np.ndarray, k: int) -> np.ndarray:
     n = len(values) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    done, out, power, at, level, factor = 0, None, np.uint64(1), k, values, _M
+    done, out, at, level, factor = 0, None, k, values, _M
     size = 1
     while at:
         if at & 1:
@@ -111,22 +111,6 @@ def window_rows(rows: np.ndarray, k: int) -> np.ndarray:
     return rows[:len(rows) - k + 1] == rows[k - 1:] if len(rows) >= k else np.zeros(0, bool)
 
 
-def by_bucket(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order, buckets, bounds): positions grouped by the top bits, sorted by hash within."""
-    order = np.argsort(hashes)
-    top = (hashes[order] >> np.uint64(64 - bits)).astype(np.int64)
-    cuts = np.flatnonzero(np.diff(top)) + 1
-    bounds = np.concatenate([[0], cuts, [len(order)]]) if len(order) else np.zeros(1, np.int64)
-    return order, top[bounds[:-1]] if len(order) else top, bounds
-
-
-def runs(sorted_values: np.ndarray) -> np.ndarray:
-    """Bounds of the runs of equal values."""
-    if not len(sorted_values):
-        return np.zeros(1, np.int64)
-    return np.concatenate([[0], np.flatnonzero(sorted_values[1:] != sorted_values[:-1]) + 1, [len(sorted_values)]])
-
-
 def covered(starts: np.ndarray, length: int, size: int) -> np.ndarray:
     """Which of ``size`` places lie within ``length`` of some start."""
     edge = np.zeros(size + 1, np.int64)

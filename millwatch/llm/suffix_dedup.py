@@ -36,7 +36,10 @@ LENGTH, GRAM = 50, 24
 _STRETCHES = "bucket int, share int, n int, hashes binary, ids binary, starts binary, counts binary, bytes binary"
 _SPANS = "share int, n int, ids binary, starts binary, counts binary"
 _BYTE = mixed(np.arange(1, 257, dtype=np.uint64))
-_CHUNK = 1_000_000
+#: Bytes that a task looks at, and sorts, at a time; numbers per byte take some hundred times as much.
+_CHUNK, _PART = 400_000, 800_000
+#: Stretches overlap, so a bucket of them holds a few times its share of the text.
+_BUCKET_BYTES = 3_000_000
 
 
 def _sliding(values: np.ndarray, k: int, choose) -> np.ndarray:
@@ -164,10 +167,12 @@ def stretches(docs: DataFrame, found: DataFrame, plan: ex.Plan, length: int, gra
                     cut, first, last = cut[hit], first[hit], last[hit]
                     row = np.searchsorted(offsets, first, side="right") - 1
                     sizes = last - first + length
-                    parts.append((cut, ids[a:b][row], first - offsets[row], last - first + 1, sizes, _gather(data, first, sizes)))
+                    text = _gather(data, first, sizes)
+                    parts.append((cut, ids[a:b][row], first - offsets[row], last - first + 1, sizes, _stretch_hash(text, sizes), text))
             if parts:
-                cut, ids, starts, counts, sizes, text = map(np.concatenate, zip(*parts))
-                later = _later(_stretch_hash(text, sizes), ids)
+                cut, ids, starts, counts, sizes, content, text = map(np.concatenate, zip(*parts))
+                parts.clear()
+                later = _later(content, ids)
                 out += [(buckets + s % buckets, s, n, b"", i, at, c, b"") for s, n, i, at, c in _pack_spans(
                     plan, ids[later], starts[later], counts[later])]
                 begin = np.cumsum(sizes) - sizes
@@ -218,11 +223,13 @@ def settle(sent: DataFrame, plan: ex.Plan, length: int) -> DataFrame:
         for n, h, i, s, c, raw in ex.groups_of(table, "n", "hashes", "ids", "starts", "counts", "bytes"):
             counts = ex.unpack(c, n, 4).astype(np.int64)
             size = int((counts + length - 1).sum())
+            text = np.frombuffer(pa.decompress(raw, decompressed_size=size, codec="zstd", asbytes=True), np.uint8)
             parts.append((ex.unpack_sorted(h, n), ex.unpack(i, n, 8).view(np.int64), ex.unpack(s, n, 4).astype(np.int64), counts,
-                          np.frombuffer(pa.decompress(raw, decompressed_size=size, codec="zstd", asbytes=True), np.uint8)))
-        cut, ids, starts, counts, text = map(np.concatenate, zip(*parts))
+                          _stretch_hash(text, counts + length - 1), text))
+        cut, ids, starts, counts, content, text = map(np.concatenate, zip(*parts))
+        parts.clear()
         sizes = counts + length - 1
-        later = _later(_stretch_hash(text, sizes), ids)
+        later = _later(content, ids)
         spans = [(ids[later], starts[later], counts[later])]
         begin, keep = np.cumsum(sizes) - sizes, np.flatnonzero(~later)
         keep = keep[np.argsort(cut[keep], kind="stable")]
@@ -232,7 +239,7 @@ def settle(sent: DataFrame, plan: ex.Plan, length: int) -> DataFrame:
         a = 0
         while a < len(keep):
             base = size[a - 1] if a else 0
-            fit = ends[(ends > a) & (size[ends - 1] - base <= 8 * _CHUNK)]
+            fit = ends[(ends > a) & (size[ends - 1] - base <= _PART)]
             b = int(fit[-1]) if len(fit) else int(ends[ends > a][0])
             k = keep[a:b]
             stretch, offset, many = repeated_strings(ids[k], counts[k], _gather(text, begin[k], sizes[k]), length)
@@ -279,7 +286,7 @@ def without(docs: DataFrame, spans: DataFrame, length: int, schema: str) -> Data
 
 def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans (maximal removed runs) and the kept bytes."""
-    plan = ex.plan_for(docs, text)
+    plan = ex.plan_for(docs, text, bucket_bytes=_BUCKET_BYTES)
     own = docs.select(ex.known_id(id_col).alias("id"), F.col(text).alias("text"))
     by_share = own.withColumn("share", ex.share_of("id", plan))
     found = hits(_anchor_probes(own, plan, length, gram), plan)
