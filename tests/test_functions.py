@@ -31,6 +31,14 @@ def test_ratio_rounds_half_away_from_zero(spark):
     assert [str(r["two"]) for r in got if (r["n"], r["d"]) == (0, 5)] == ["0.0"]
 
 
+def test_rounding_by_hand(spark):
+    cases = [("1", "8", 0.13), ("-1", "8", -0.13), ("3", "8", 0.38), ("5", "1000", 0.01), ("4", "1000", 0.0), ("2", "3", 0.67),
+             ("1", "-8", -0.13), ("201", "200", 1.01), ("1995", "1000", 2.0), ("7", "0", None)]
+    row = spark.range(1).select(*[ratio(n, d) for n, d, _ in cases]).first()
+    assert list(row) == [want for _, _, want in cases]
+    assert tuple(spark.range(1).select(percent("1", "8"), percent("1", "7"), ratio("25", "100", 1)).first()) == (12.5, 14.29, 0.3)
+
+
 def test_small_negative_is_plain_zero(spark):
     assert str(spark.range(1).select(ratio("-1", "1000")).first()[0]) == "0.0"
 
