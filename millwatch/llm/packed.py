@@ -57,7 +57,7 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
         done = 1
         while done < n:  # doubling: base ** (done + i) = base ** done * base ** i
             more = min(done, n - done)
-            out[done:done + more] = out[:more] * (out[done - 1] * base)
+            out[done:done + more] = out[:more] * (out[done - 1:done] * base)
             done += more
     return out
 
@@ -102,7 +102,7 @@ def rolling(values: np.ndarray, k: int) -> np.ndarray:
         if at:
             level = level[:len(level) - size] * factor + level[size:]
             size *= 2
-            factor = factor * factor
+            factor = np.uint64(int(factor) ** 2 % 2 ** 64)
     return mixed(out)
 
 
@@ -117,3 +117,15 @@ def covered(starts: np.ndarray, length: int, size: int) -> np.ndarray:
     np.add.at(edge, starts, 1)
     np.add.at(edge, np.minimum(starts + length, size), -1)
     return np.cumsum(edge[:size]) > 0
+
+
+def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in ``known`` (sorted); a small table of low bits spares most of them the search."""
+    out = np.zeros(len(values), bool)
+    if len(known):
+        low = np.zeros(1 << 16, bool)
+        low[known & np.uint64(0xFFFF)] = True
+        maybe = np.flatnonzero(low[values & np.uint64(0xFFFF)])
+        some = values[maybe]
+        out[maybe] = known[np.minimum(np.searchsorted(known, some), len(known) - 1)] == some
+    return out

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millwatch.llm import exchange as ex
-from millwatch.llm.packed import covered, rolling, text_chunks, window_rows, words
+from millwatch.llm.packed import among, covered, rolling, text_chunks, window_rows, words
 
 WINDOW, BLOCK = 20, 10
 _PROBES = "bucket int, share int, n int, hashes binary, shares binary, flags binary"
@@ -155,7 +155,7 @@ def places(docs: DataFrame, found: DataFrame, plan: ex.Plan, window: int, block:
                     if not len(whole):
                         continue
                     probe = plan.cut(rolling(hashes, block))
-                    hit = np.flatnonzero(window_rows(rows, block) & _among(probe, repeated))
+                    hit = np.flatnonzero(window_rows(rows, block) & among(probe, repeated))
                     # A window starts at most window - block words before a hit that it holds.
                     near = covered(np.maximum(hit - (window - block), 0), window - block + 1, len(whole) + window)[:len(whole)]
                     at = np.flatnonzero(whole & near)
@@ -169,11 +169,6 @@ def places(docs: DataFrame, found: DataFrame, plan: ex.Plan, window: int, block:
     return docs.groupBy("share").cogroup(found.groupBy("share")).applyInArrow(run, _PLACES)
 
 
-def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
-    at = np.minimum(np.searchsorted(known, values), len(known) - 1)
-    return known[at] == values
-
-
 def repeats(sent: DataFrame, plan: ex.Plan) -> DataFrame:
     """Step 2, comparing: places whose window starts earlier elsewhere, (share, n, ids, starts)."""
     schema = "share int, n int, ids binary, starts binary"

@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millwatch.llm import exchange as ex
-from millwatch.llm.packed import mixed, rolling, text_chunks
-from millwatch.llm.substring_dedup import _PROBES, _among, _batch, _probe_unit, hits
+from millwatch.llm.packed import among, mixed, rolling, text_chunks
+from millwatch.llm.substring_dedup import _PROBES, _batch, _probe_unit, hits
 from millwatch.llm.suffix_array import common_prefixes, eights, suffix_array
 
 LENGTH, GRAM = 50, 24
@@ -163,7 +163,7 @@ def stretches(docs: DataFrame, found: DataFrame, plan: ex.Plan, length: int, gra
                     if not len(place):
                         continue
                     cut = plan.cut(hashes)
-                    hit = _among(cut, repeated)
+                    hit = among(cut, repeated)
                     cut, first, last = cut[hit], first[hit], last[hit]
                     row = np.searchsorted(offsets, first, side="right") - 1
                     sizes = last - first + length

@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from millwatch.llm import boosting, labelled
 
 FOLDS, HELD_OUT, PREDICT_FROM = 3, 1, 0.7
-#: The learned lexicon has at most this many entries, each found in at least so many toxic texts of the sample.
-LEXICON_SIZE, LEAST_TOXIC, PURITY = 2_000, 6, 0.6
+#: The learned lexicon has at most this many entries; an entry needs so many toxic texts of the sample, and they so large a share.
+LEXICON_SIZE = 2_000
+ENTRY_NEEDS = ((4, 0.8), (6, 0.6))
 NEAR_WORDS = 3
 GIVEN = ("idiot", "moron", "stupid", "loser", "trash", "scum", "worthless", "pathetic", "disgusting", "clown", "imbecile",
          "pig", "vermin", "dumb", "ugly")
@@ -86,40 +87,41 @@ def learn_lexicon(rows: DataFrame) -> dict[int, np.ndarray]:
                 toxic = label[a:b] > 0
                 for kind, values in keys.items():
                     use = values != 0
-                    pair = np.unique(np.stack([values[use], text_row[use].astype(np.uint64)]), axis=1)
-                    found, at = np.unique(pair[0], return_inverse=True)
-                    counts = np.bincount(at, minlength=len(found))
-                    of_toxic = np.bincount(at, toxic[pair[1].astype(np.int64)], len(found)).astype(np.int64)
+                    key, row = values[use], text_row[use]
+                    order = np.lexsort((row, key))
+                    key, row = key[order], row[order]
+                    once = np.ones(len(key), bool)  # a text counts once for a key
+                    once[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
+                    found, at = np.unique(key[once], return_inverse=True)
+                    of_toxic = np.bincount(at, toxic[row[once]], len(found)).astype(np.int64)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(found), kind, np.int32)), pa.array(found.view(np.int64)),
-                         pa.array(counts.astype(np.int64)), pa.array(of_toxic)], ["kind", "key", "n", "toxic"])
+                         pa.array(np.bincount(at, minlength=len(found)).astype(np.int64)), pa.array(of_toxic)],
+                        ["kind", "key", "n", "toxic"])
 
     counts = rows.mapInArrow(run, "kind int, key bigint, n bigint, toxic bigint").groupBy("kind", "key").agg(
         F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
-    best = counts.filter((F.col("toxic") >= LEAST_TOXIC) & (F.col("toxic") >= PURITY * F.col("n")))
+    sure = [(F.col("toxic") >= least) & (F.col("toxic") >= share * F.col("n")) for least, share in ENTRY_NEEDS]
+    best = counts.filter(sure[0] | sure[1])
     best = best.orderBy(F.col("toxic").desc(), "n", "kind", "key").limit(LEXICON_SIZE).collect()  # the size of the lexicon
-    return {kind: np.array(sorted(r["key"] for r in best if r["kind"] == kind), np.int64).view(np.uint64)
+    return {kind: np.sort(np.array([r["key"] for r in best if r["kind"] == kind], np.int64).view(np.uint64))
             for kind in (WORD, FIVE, FOUR)}
 
 
-def _among(values: np.ndarray, lexicon: np.ndarray) -> np.ndarray:
-    return np.isin(values, lexicon) if len(lexicon) else np.zeros(len(values), bool)
-
-
 def features(lexicon: dict[int, np.ndarray]) -> labelled.Features:
-    given = np.array([word_hash(w) for w in GIVEN], np.uint64)
-    person = np.array([word_hash(w) for w in SECOND_PERSON], np.uint64)
+    given = np.sort(np.array([word_hash(w) for w in GIVEN], np.uint64))
+    person = np.sort(np.array([word_hash(w) for w in SECOND_PERSON], np.uint64))
 
     def compute(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        from millwatch.llm.packed import words
+        from millwatch.llm.packed import among, words
         from millwatch.llm.quality_classifier import _KINDS, byte_kinds
         n = len(offsets) - 1
         kinds = dict(zip(_KINDS, byte_kinds(data, offsets).T))
         rows, keys = _keys(data, offsets)
         per_text = lambda mask: np.bincount(rows[mask], minlength=n).astype(float)
-        by_given, by_word = _among(keys[WORD], given), _among(keys[WORD], lexicon[WORD])
-        by_stem = _among(keys[FIVE], lexicon[FIVE]) | _among(keys[FOUR], lexicon[FOUR])
-        you = _among(keys[WORD], person)
+        by_given, by_word = among(keys[WORD], given), among(keys[WORD], lexicon[WORD])
+        by_stem = among(keys[FIVE], lexicon[FIVE]) | among(keys[FOUR], lexicon[FOUR])
+        you = among(keys[WORD], person)
         hit, near = by_given | by_word | by_stem, np.zeros(len(rows), bool)
         for d in range(1, NEAR_WORDS + 1):
             same = rows[d:] == rows[:-d]
@@ -132,7 +134,7 @@ def features(lexicon: dict[int, np.ndarray]) -> labelled.Features:
         inner = np.maximum(ends - 1, starts + 1)
         disguised = (letter[ends] - letter[starts] >= 2) & (odd[inner] - odd[starts] > 0) & (letter[ends] - letter[inner] > 0)
         spoken_rows, _, _, spoken = _plain(_SPOKEN[data], offsets)
-        spoken_hits = np.bincount(spoken_rows[_among(spoken, given)], minlength=n) - per_text(by_given)
+        spoken_hits = np.bincount(spoken_rows[among(spoken, given)], minlength=n) - per_text(by_given)
         n_words = np.bincount(rows, minlength=n).astype(float)
         w = np.maximum(n_words, 1)
         c = np.maximum(sum(v for k, v in kinds.items() if k not in ("tail", "blank", "line_end")), 1)
