@@ -66,7 +66,9 @@ def _anchor(i: int, field: str) -> Column:
 def candidates(postings: DataFrame, anchors: DataFrame, rarest: int = RAREST) -> DataFrame:
     """(phrase, doc, text_hash, start) where the shifted lists of the rarest terms meet."""
     first = anchors.select("phrase", "anchors", _anchor(0, "term").alias("term"), _anchor(0, "offset").alias("offset"))
-    found = postings.join(first, "term").select(
+    # Few postings belong to rarest terms; the others need not be moved.
+    rare = postings.join(first.select("term").distinct(), "term", "left_semi")
+    found = rare.join(first, "term").select(
         "phrase", "doc", "text_hash", (F.col("pos") - F.col("offset")).alias("start"), "anchors").filter("start >= 0")
     for i in range(1, rarest):
         terms = anchors.select(_anchor(i, "term").alias("term")).filter("term is not null").distinct()
@@ -120,8 +122,9 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
         grouped, F.col(id_col).eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_hash")), "left")
     out = out.withColumn("_words", F.when(F.col("_found").isNotNull(), plain_words(F.col(text))))
     length = lambda c: F.size(F.split(c["phrase"], " "))
-    out = out.withColumn("_true", F.filter("_found", lambda c: F.array_join(
-        F.slice("_words", c["start"] + 1, length(c)), " ") == c["phrase"]))
+    # Named twice, the words are worked out once, in a step of their own, not for every candidate.
+    out = out.withColumn("_true", F.when(F.size("_words") > 0, F.filter("_found", lambda c: F.array_join(
+        F.slice("_words", c["start"] + 1, length(c)), " ") == c["phrase"])))
     hit = F.size(F.array_distinct(F.flatten(F.transform("_true", lambda c: F.sequence(
         c["start"], c["start"] + length(c) - 1)))))
     items = F.array_sort(F.array_distinct(F.flatten(F.transform("_true", lambda c: c["of"]))))
