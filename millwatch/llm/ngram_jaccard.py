@@ -20,7 +20,12 @@ Equal sets are one node from the start.  Among the nodes of a subset or list, al
 first compared with its most central one; components of those links come next; only
 nodes that are still in different components are then compared with each other, so a
 large group of near copies costs one comparison a member, and no link between
-components is missed.
+components is missed.  Two bounds keep pairs that cannot link from being made at all.  A
+set with ``alone`` shingles of its own shares at most ``n - alone``; it leaves the keys whose
+sets are all too large for that.  And what two sets of a key share lies within what each
+shares with the centre, which has been counted, or beside it.  Where the first part alone
+is too little for a link, both sets must hold the same shingle beside the centre, and
+only sets that do are paired: near copies that differ in places of their own are not.
 
 Results for odd rows: NULL texts and texts without words have an empty set and link
 with nothing, each its own component; documents without an id come after all others
@@ -33,12 +38,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millwatch.llm import exchange as ex
-from millwatch.llm.packed import LOWER, mixed, rolling, text_chunks, window_rows, words
-from millwatch.llm.substring_dedup import _among, _batch
+from millwatch.llm.packed import LOWER, among, mixed, rolling, text_chunks, window_rows, words
+from millwatch.llm.substring_dedup import _batch
 from millwatch.session import stored
 
 SHINGLE, SIMILAR = 4, 85
@@ -195,10 +200,10 @@ def choose_boundary(nodes: DataFrame) -> int:
 
 
 def _keys(nodes: DataFrame, boundary: int, similar: int) -> DataFrame:
-    """(key, node, alone): subsets of two for light sets, single shingles for heavy ones and those near them."""
+    """(key, node, alone, n): subsets of two for light sets, single shingles for heavy ones and those near them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, owners, lone = [], [], []
+            keys, owners, lone, sizes = [], [], [], []
             for node, n, alone, n_listed, listed, order in zip(*(batch.column(c).to_pylist() for c in (
                     "node", "n", "alone", "n_listed", "listed", "order"))):
                 spare = n - int(needed(np.int64(n), similar))
@@ -214,16 +219,23 @@ def _keys(nodes: DataFrame, boundary: int, similar: int) -> DataFrame:
                 keys.append(np.concatenate(found))
                 owners.append(np.full(len(keys[-1]), node))
                 lone.append(np.full(len(keys[-1]), alone))
+                sizes.append(np.full(len(keys[-1]), n))
             if keys:
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners), pa.int64()),
-                    pa.array(np.concatenate(lone), pa.int64())], ["key", "node", "alone"])
+                    pa.array(np.concatenate(lone), pa.int64()), pa.array(np.concatenate(sizes), pa.int64())], ["key", "node", "alone", "n"])
 
-    return nodes.mapInArrow(run, "key bigint, node bigint, alone bigint")
+    return nodes.mapInArrow(run, "key bigint, node bigint, alone bigint, n bigint")
 
 
-def _links(pairs: DataFrame, nodes: DataFrame, similar: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity, from their shared shingles."""
+def _largest_partner(similar: int) -> Column:
+    """The largest set that a set of ``n`` with ``alone`` shingles of its own can link with."""
+    shared = F.col("n") - F.col("alone")
+    return F.expr(f"(100 * (n - alone)) div {similar}") + shared - F.col("n")
+
+
+def _compared(pairs: DataFrame, nodes: DataFrame, similar: int) -> DataFrame:
+    """The pairs (a, b): size of the overlap, the other shared shingles of b, and whether a and b reach the similarity."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, last, known = [], None, None
@@ -231,16 +243,18 @@ def _links(pairs: DataFrame, nodes: DataFrame, similar: int) -> DataFrame:
                     "a", "b", "n_a", "k_a", "l_a", "n_b", "k_b", "l_b"))):
                 if a != last:
                     last, known = a, ex.unpack_sorted(la, ka)
-                both = int(_among(ex.unpack_sorted(lb, kb), known).sum())
-                if 100 * both >= similar * (na + nb - both):
-                    out.append((a, b))
-            x, y = zip(*out) if out else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
+                own = ex.unpack_sorted(lb, kb)
+                same = among(own, known)
+                both = int(same.sum())
+                out.append((a, b, both, own[~same].view(np.int64), 100 * both >= similar * (na + nb - both)))
+            columns = zip(*out) if out else ((), (), (), (), ())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], ["a", "b", "both", "others", "linked"])
 
     side = lambda s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("n_listed").alias(f"k_{s}"),
                                   F.col("listed").alias(f"l_{s}"))
     return pairs.join(side("b"), "b").join(side("a"), "a").select(
-        "a", "b", "n_a", "k_a", "l_a", "n_b", "k_b", "l_b").mapInArrow(run, "a bigint, b bigint")
+        "a", "b", "n_a", "k_a", "l_a", "n_b", "k_b", "l_b").mapInArrow(run, "a bigint, b bigint, both bigint, others array<bigint>, linked boolean")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -264,25 +278,52 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _labelled(keys: DataFrame, labels: DataFrame) -> DataFrame:
     """Keys of which the nodes are in different components, with each node's component."""
-    found = keys.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    found = keys.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed_ = found.groupBy("key").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).filter("_a != _b").select("key")
     return found.join(mixed_, "key")
 
 
+def _open_pairs(keys: DataFrame, compared: DataFrame, similar: int) -> DataFrame:
+    """(a, b): pairs of different components that share a key and may link.
+
+    Within a key, what each set shares with the centre bounds the overlap, but for
+    shingles that both hold beside the centre.  So pairs for which that bound is
+    enough come from the keys, all others from the shingles beside their centre.
+    """
+    seen = compared.select(F.col("a").alias("centre"), F.col("b").alias("node"), "both", "others")
+    found = stored(keys.join(seen.drop("others"), ["centre", "node"], "left").select(
+        "key", "centre", "node", "label", "n", F.coalesce("both", F.col("n") - F.col("alone")).alias("within")), "open-keys")
+
+    def paired(rows: DataFrame, on: list[str], most: Column) -> DataFrame:
+        other = rows.select(*[F.col(c).alias(f"_{c}") for c in rows.columns])
+        apart = (F.col("label") < F.col("_label")) & (100 * most >= similar * (F.col("n") + F.col("_n") - most))
+        for c in on:
+            apart = apart & (F.col(c) == F.col(f"_{c}"))
+        return rows.join(other, apart).select(F.col("node").alias("a"), F.col("_node").alias("b"))
+
+    within = F.least("within", "_within")
+    inside = paired(found.drop("centre"), ["key"], within)
+    members = found.select("centre", "node", "label", "n", "within").distinct().join(seen.drop("both"), ["centre", "node"])
+    beside = members.select("centre", "node", "label", "n", "within", F.size("others").alias("others"), F.explode("others").alias("shingle"))
+    outside = paired(beside, ["centre", "shingle"], within + F.least("others", "_others"))
+    return inside.unionByName(outside).distinct()
+
+
 def link_nodes(nodes: DataFrame, similar: int) -> DataFrame:
     """(node, label) of all nodes with a link; ``nodes``: distinct sets with their shared shingles."""
     keys = _keys(nodes, choose_boundary(nodes), similar).distinct()
     # The centre of a key: most of its shingles are shared; ties by node.
-    centre = keys.groupBy("key").agg(F.min_by("node", F.struct("alone", "node")).alias("centre"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    keys = stored(keys.join(centre, "key").select("key", "node", "centre"), "keys")
+    centre = keys.groupBy("key").agg(
+        F.min_by("node", F.struct("alone", "node")).alias("centre"), F.min("n").alias("_least"), F.count(F.lit(1)).alias("_n"))
+    keys = stored(keys.join(centre.filter("_n > 1"), "key").filter(_largest_partner(similar) >= F.col("_least")).select(
+        "key", "node", "alone", "n", "centre"), "keys")
     star = keys.filter("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    edges = stored(_links(star, nodes, similar), "edges")
+    compared = stored(_compared(star, nodes, similar), "compared")
+    edges = compared.filter("linked").select("a", "b")
     labels = components(edges)
-    left = stored(_labelled(keys.select("key", "node"), labels), "open-keys")
-    other = left.select("key", F.col("node").alias("b"), F.col("label").alias("_label"))
-    pairs = left.withColumnRenamed("node", "a").join(other, "key").filter("label < _label").select("a", "b").distinct()
+    pairs = _open_pairs(_labelled(keys, labels), compared, similar)
     tested = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = stored(_links(pairs.join(tested, ["a", "b"], "left_anti"), nodes, similar), "edges")
+    more = stored(_compared(pairs.join(tested, ["a", "b"], "left_anti"), nodes, similar).filter("linked").select("a", "b"), "edges")
     return components(edges.unionByName(more)) if more.limit(1).count() else labels
 
 
