@@ -5,7 +5,8 @@ in between.  All but the last return the columns of ``documents``.
 
 1. toxicity: documents that the classifier predicts to be toxic go.
 2. line dedup: boilerplate lines go; a document that has no line left goes.
-3. n-gram Jaccard join: of each group of near copies the smallest id stays.
+3. n-gram Jaccard join: of each group of near copies the smallest id stays.  Near copies
+   share 80 % of their five-word shingles; op2_ngram_jaccard has four words and 85 %.
 4. benchmark decontamination: documents with a test passage go.
 5. mixing: how many words of each document the mix takes; documents stay in the
    result with 0 taken where the budget of their source leaves them out.
@@ -23,6 +24,9 @@ from pyspark.sql import functions as F
 from millwatch.llm import decontamination, line_dedup, mixing, ngram_jaccard, toxicity
 from millwatch.session import scratch_dir
 
+#: Near copies of the pipeline: words a shingle, and the percentage of shingles in common.
+SHINGLE, SIMILAR = 5, 80
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row is scored where it is: no join, no shuffle."""
@@ -41,7 +45,7 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the rows whose id is their component's; rows that share an id stay or go together."""
-    groups = ngram_jaccard.jaccard_components(docs.select("doc_id", "text"))
+    groups = ngram_jaccard.jaccard_components(docs.select("doc_id", "text"), shingle=SHINGLE, similar=SIMILAR)
     gone = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*docs.columns)
 
