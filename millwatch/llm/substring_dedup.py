@@ -42,8 +42,11 @@ def _first_words(rows: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted(rows, np.arange(n))
 
 
-def _probe_unit(plan: ex.Plan, cut: np.ndarray, share: np.ndarray, is_block: np.ndarray) -> Iterator[tuple]:
-    """Rows of one unit: distinct probes by bucket, and what the unit itself shows to repeat, by share."""
+def _probe_unit(plan: ex.Plan, cut: np.ndarray, share: np.ndarray, is_block: np.ndarray, counted: bool = False) -> Iterator[tuple]:
+    """Rows of one unit: distinct probes by bucket, and what the unit itself shows to repeat, by share.
+
+    With ``counted`` the flags hold the power of two in the number of equal probes, above their lowest two bits.
+    """
     low = (share.astype(np.uint64) << np.uint64(1)) | (~is_block).astype(np.uint64)
     cut, low = ex.sort_pairs(cut, low, plan.share_bits + 1, plan.bits + 8 * plan.rest)
     at = np.concatenate([[0], np.flatnonzero(cut[1:] != cut[:-1]) + 1])
@@ -51,6 +54,8 @@ def _probe_unit(plan: ex.Plan, cut: np.ndarray, share: np.ndarray, is_block: np.
     blocks = np.add.reduceat(1 - (low & np.uint64(1)).astype(np.int64), at)
     first, first_share = cut[at], low[at] >> np.uint64(1)
     flags = (blocks > 0).astype(np.uint64) | ((size > 1).astype(np.uint64) << np.uint64(1))
+    if counted:
+        flags |= np.log2(size).astype(np.uint64) << np.uint64(2)
     for bucket, a, b in ex.slices(plan.bucket(first)):
         yield (bucket, -1, b - a, ex.pack_sorted(first[a:b]), ex.pack(first_share[a:b], 4), ex.pack(flags[a:b], 1))
     again = np.repeat(size > 1, size)

@@ -9,7 +9,9 @@ bytes inside it with the smallest hash.  Equal strings have equal anchors.
    more than once (most do not, and their strings need no sorting).
 2. Around each anchor found, the strings that belong to it are sent to the anchor's
    bucket as one stretch of text.  Of equal stretches, the documents after the first
-   lose theirs at once, in the sending unit or in the bucket.
+   lose theirs at once, in the sending unit or in the bucket.  An anchor with more
+   stretches than one sort takes is hot: its strings are sent one by one, each to the
+   bucket of its own hash, so that equal strings still meet and others spread.
 3. A bucket writes its stretches one after another and builds their suffix array by
    two-stage sorting (``suffix_array``).  Adjacent suffixes with a common prefix of
    ``length`` bytes are equal strings; all but the smallest id lose them.
@@ -29,8 +31,9 @@ from pyspark.sql import functions as F
 
 from millwatch.llm import exchange as ex
 from millwatch.llm.packed import among, mixed, rolling, text_chunks
-from millwatch.llm.substring_dedup import _PROBES, _batch, _probe_unit, hits
+from millwatch.llm.substring_dedup import _PROBES, _batch, _probe_unit
 from millwatch.llm.suffix_array import common_prefixes, eights, suffix_array
+from millwatch.session import stored
 
 LENGTH, GRAM = 50, 24
 _STRETCHES = "bucket int, share int, n int, hashes binary, ids binary, starts binary, counts binary, bytes binary"
@@ -38,6 +41,8 @@ _SPANS = "share int, n int, ids binary, starts binary, counts binary"
 _BYTE = mixed(np.arange(1, 257, dtype=np.uint64))
 #: Bytes that a task looks at, and sorts, at a time; numbers per byte take some hundred times as much.
 _CHUNK, _PART = 400_000, 800_000
+#: Bytes of stretches after which a sending unit is handed over.
+_UNIT_BYTES = 32_000_000
 #: Stretches overlap, so a bucket of them holds a few times its share of the text.
 _BUCKET_BYTES = 3_000_000
 
@@ -55,6 +60,7 @@ def _sliding(values: np.ndarray, k: int, choose) -> np.ndarray:
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int, runs: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(place of the gram, its hash, first and last start of the strings it is the anchor of), over all texts.
 
+    The hash is scrambled once more: anchors have the smallest ones, which would all fall into the first buckets.
     Without ``runs`` the last two are not worked out.
     """
     none = np.zeros(0, np.int64)
@@ -74,7 +80,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int, runs:
     place = place[grams[place] != 0]
     own = grams[place]
     if not runs:
-        return place, own, none, none
+        return place, mixed(own), none, none
     # Its strings start in one run: between the nearest smaller grams on both sides.
     first, last = np.full(len(place), -1), np.full(len(place), -1)
     for back in range(span):
@@ -85,7 +91,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int, runs:
         last = np.where(good & (last < 0), start, last)
         first = np.where(good, start, first)
     keep = last >= 0
-    return place[keep], own[keep], first[keep], last[keep]
+    return place[keep], mixed(own[keep]), first[keep], last[keep]
 
 
 def _anchor_probes(docs: DataFrame, plan: ex.Plan, length: int, gram: int) -> DataFrame:
@@ -101,14 +107,41 @@ def _anchor_probes(docs: DataFrame, plan: ex.Plan, length: int, gram: int) -> Da
                 held.append((plan.cut(hashes), plan.share(ids[a:b])[row], np.ones(len(place), bool)))
                 n += len(place)
                 if n >= ex.UNIT_HASHES:
-                    yield _batch(list(_probe_unit(plan, *map(np.concatenate, zip(*held)))), _PROBES)
+                    yield _batch(list(_probe_unit(plan, *map(np.concatenate, zip(*held)), counted=True)), _PROBES)
                     held, n = [], 0
         if held:
-            yield _batch(list(_probe_unit(plan, *map(np.concatenate, zip(*held)))), _PROBES)
+            yield _batch(list(_probe_unit(plan, *map(np.concatenate, zip(*held)), counted=True)), _PROBES)
 
     return docs.mapInArrow(run, _PROBES)
 
 
+def repeated_anchors(sent: DataFrame, plan: ex.Plan, most: int) -> DataFrame:
+    """Step 1, comparing: repeated anchors by share of documents, (share, n, hashes); those of share -1 are hot.
+
+    Units count in powers of two, so an anchor that is not hot stands in fewer than 2 * ``most`` places.
+    """
+    schema = "share int, n int, hashes binary"
+
+    def run(table: pa.Table) -> pa.Table:
+        if table.column("bucket")[0].as_py() >= 1 << plan.bits:
+            return table.select(["share", "n", "hashes"])
+        parts = [(ex.unpack_sorted(h, n), ex.unpack(s, n, 4), ex.unpack(f, n, 1))
+                 for n, h, s, f in ex.groups_of(table, "n", "hashes", "shares", "flags")]
+        cut, share, flags = map(np.concatenate, zip(*parts))
+        order = np.argsort(cut)
+        cut, share, flags = cut[order], share[order], flags[order]
+        at = np.concatenate([[0], np.flatnonzero(cut[1:] != cut[:-1]) + 1])
+        size = np.diff(np.append(at, len(cut)))
+        places = np.add.reduceat(np.uint64(1) << (flags >> np.uint64(2)), at)
+        hot = cut[at[places >= most]]
+        keep = np.repeat(size > 1, size)
+        share, cut = ex.sort_pairs(share[keep], cut[keep], plan.bits + 8 * plan.rest, plan.share_bits)
+        rows = [(s, b - a, ex.pack_sorted(cut[a:b])) for s, a, b in ex.slices(share)]
+        return pa.Table.from_batches([_batch(rows + [(-1, len(hot), ex.pack_sorted(hot))] * (len(hot) > 0), schema)])
+
+    return sent.groupBy("bucket").applyInArrow(run, schema)
+
+
 def _gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The bytes of all stretches, one after another."""
     ends = np.cumsum(sizes)
@@ -147,15 +180,55 @@ def _stretch_hash(text: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return mixed(np.add.reduceat(values, begin) + sizes.astype(np.uint64))
 
 
-def stretches(docs: DataFrame, found: DataFrame, plan: ex.Plan, length: int, gram: int) -> DataFrame:
+def _single_strings(plan: ex.Plan, data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, first: np.ndarray, last: np.ndarray,
+                    length: int) -> tuple[tuple, tuple]:
+    """The strings that start from ``first`` to ``last`` as stretches of one, dealt by their own hash; spans of equal later ones."""
+    edge = np.zeros(len(data) + 1, np.int64)
+    np.add.at(edge, first, 1)
+    np.add.at(edge, last + 1, -1)
+    at = np.flatnonzero(np.cumsum(edge))
+    own = rolling(_BYTE[data], length)[at]
+    row = np.searchsorted(offsets, at, side="right") - 1
+    start, doc = at - offsets[row], ids[row]
+    later = _later(own, doc)
+    gone = np.flatnonzero(later)
+    new = np.ones(len(gone), bool)
+    new[1:] = (at[gone[1:]] != at[gone[:-1]] + 1) | (row[gone[1:]] != row[gone[:-1]])
+    lead = np.flatnonzero(new)
+    spans = (doc[gone[lead]], start[gone[lead]], np.diff(np.append(lead, len(gone))))
+    keep = ~later
+    text = np.lib.stride_tricks.sliding_window_view(data, length)[at[keep]].reshape(-1)
+    n = int(keep.sum())
+    return (plan.cut(own[keep]), doc[keep], start[keep], np.ones(n, np.int64), np.full(n, length), own[keep], text), spans
+
+
+def stretches(docs: DataFrame, found: DataFrame, hot: np.ndarray, plan: ex.Plan, length: int, gram: int) -> DataFrame:
     """Step 2: the text around repeated anchors by bucket, and spans that the unit settles, by share."""
     buckets = 1 << plan.bits
 
+    def settled(ids: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> list[tuple]:
+        return [(buckets + s % buckets, s, n, b"", i, at, c, b"") for s, n, i, at, c in _pack_spans(plan, ids, starts, counts)]
+
+    def unit(parts: list[tuple]) -> list[tuple]:
+        cut, ids, starts, counts, sizes, content, text = map(np.concatenate, zip(*parts))
+        parts.clear()
+        later = _later(content, ids)
+        out = settled(ids[later], starts[later], counts[later])
+        begin = np.cumsum(sizes) - sizes
+        keep = np.flatnonzero(~later)
+        keep = keep[np.argsort(cut[keep], kind="stable")]
+        for bucket, a, b in ex.slices(plan.bucket(cut[keep])):
+            k = keep[a:b]
+            out.append((bucket, -1, b - a, ex.pack_sorted(cut[k]), ex.pack(ids[k].view(np.uint64), 8),
+                        ex.pack(starts[k].astype(np.uint64), 4), ex.pack(counts[k].astype(np.uint64), 4),
+                        pa.compress(_gather(text, begin[k], sizes[k]).tobytes(), codec="zstd", asbytes=True)))
+        return out
+
     def run(own: pa.Table, known: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if own.num_rows and known.num_rows:
             repeated = np.unique(np.concatenate([ex.unpack_sorted(h, n) for n, h in ex.groups_of(known, "n", "hashes")]))
-            parts = []
+            parts, held = [], 0
             for batch in own.combine_chunks().to_batches():
                 ids = batch.column(batch.schema.get_field_index("id")).to_numpy(zero_copy_only=False)
                 for a, b, data, offsets in text_chunks(batch, "text", _CHUNK):
@@ -165,24 +238,23 @@ def stretches(docs: DataFrame, found: DataFrame, plan: ex.Plan, length: int, gra
                     cut = plan.cut(hashes)
                     hit = among(cut, repeated)
                     cut, first, last = cut[hit], first[hit], last[hit]
+                    single = among(cut, hot)
+                    if single.any():
+                        part, spans = _single_strings(plan, data, offsets, ids[a:b], first[single], last[single], length)
+                        parts.append(part)
+                        held += len(part[-1])
+                        out += settled(*spans)
+                        cut, first, last = cut[~single], first[~single], last[~single]
                     row = np.searchsorted(offsets, first, side="right") - 1
                     sizes = last - first + length
                     text = _gather(data, first, sizes)
                     parts.append((cut, ids[a:b][row], first - offsets[row], last - first + 1, sizes, _stretch_hash(text, sizes), text))
+                    held += len(text)
+                    if held >= _UNIT_BYTES:
+                        out += unit(parts)
+                        held = 0
             if parts:
-                cut, ids, starts, counts, sizes, content, text = map(np.concatenate, zip(*parts))
-                parts.clear()
-                later = _later(content, ids)
-                out += [(buckets + s % buckets, s, n, b"", i, at, c, b"") for s, n, i, at, c in _pack_spans(
-                    plan, ids[later], starts[later], counts[later])]
-                begin = np.cumsum(sizes) - sizes
-                keep = np.flatnonzero(~later)
-                keep = keep[np.argsort(cut[keep], kind="stable")]
-                for bucket, a, b in ex.slices(plan.bucket(cut[keep])):
-                    k = keep[a:b]
-                    out.append((bucket, -1, b - a, ex.pack_sorted(cut[k]), ex.pack(ids[k].view(np.uint64), 8),
-                                ex.pack(starts[k].astype(np.uint64), 4), ex.pack(counts[k].astype(np.uint64), 4),
-                                pa.compress(_gather(text, begin[k], sizes[k]).tobytes(), codec="zstd", asbytes=True)))
+                out += unit(parts)
         return pa.Table.from_batches([_batch(out, _STRETCHES)])
 
     return docs.groupBy("share").cogroup(found.groupBy("share")).applyInArrow(run, _STRETCHES)
@@ -233,7 +305,7 @@ def settle(sent: DataFrame, plan: ex.Plan, length: int) -> DataFrame:
         spans = [(ids[later], starts[later], counts[later])]
         begin, keep = np.cumsum(sizes) - sizes, np.flatnonzero(~later)
         keep = keep[np.argsort(cut[keep], kind="stable")]
-        # An anchor's strings equal only each other, so a bucket may be sorted in parts, between two anchors.
+        # An anchor's strings (a hot anchor's: a hash's) equal only each other, so a bucket may be sorted in parts, between two of them.
         size = np.cumsum(sizes[keep])
         ends = np.flatnonzero(np.append(cut[keep][1:] != cut[keep][:-1], True)) + 1
         a = 0
@@ -289,7 +361,11 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", len
     plan = ex.plan_for(docs, text, bucket_bytes=_BUCKET_BYTES)
     own = docs.select(ex.known_id(id_col).alias("id"), F.col(text).alias("text"))
     by_share = own.withColumn("share", ex.share_of("id", plan))
-    found = hits(_anchor_probes(own, plan, length, gram), plan)
-    spans = settle(stretches(by_share, found, plan, length, gram), plan, length)
+    # A stretch has at most 2 * length - gram bytes: those of an anchor that is not hot fit in one part.
+    found = stored(repeated_anchors(_anchor_probes(own, plan, length, gram), plan, _PART // (4 * length - 2 * gram)), "anchors")
+    # At most the bytes of all stretches divided by _PART / 2.
+    rows = found.filter("share = -1").collect()
+    hot = np.sort(np.concatenate([np.zeros(0, np.uint64), *(ex.unpack_sorted(r["hashes"], r["n"]) for r in rows)]))
+    spans = settle(stretches(by_share, found.filter("share >= 0"), hot, plan, length, gram), plan, length)
     out = without(by_share, spans, length, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
     return out.select(F.nullif("id", F.lit(ex.NO_ID)).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept")
