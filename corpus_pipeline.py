@@ -44,10 +44,16 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the rows whose id is their component's; rows that share an id stay or go together."""
-    groups = ngram_jaccard.jaccard_components(docs.select("doc_id", "text"), shingle=SHINGLE, similar=SIMILAR)
-    gone = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*docs.columns)
+    """Keeps the rows whose id is their component's, and of those without any id the text with the smallest signature.
+
+    Rows are dropped by id and text, so another text of the same id stays.
+    """
+    groups = ngram_jaccard.jaccard_components(docs.select("doc_id", "text"), shingle=SHINGLE, similar=SIMILAR, signed=True)
+    second = F.col("doc_id").isNull() & (F.col("sign") != F.col("component_sign"))
+    gone = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id")) | second).select(
+        F.col("doc_id").alias("_gone"), F.col("sign").alias("_sign")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_gone")) & (ngram_jaccard.signature("text") == F.col("_sign"))
+    return docs.join(gone, same, "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

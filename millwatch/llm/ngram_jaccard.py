@@ -29,8 +29,8 @@ only sets that do are paired: near copies that differ in places of their own are
 
 Results for odd rows: NULL texts and texts without words have an empty set and link
 with nothing, each its own component; documents without an id come after all others
-and are told apart by text only; rows that share an id are one document with the set
-of whichever text has the smaller signature; an empty table gives an empty result.
+and are told apart by text only; rows that share an id have a set and a component
+each; an empty table gives an empty result.
 """
 
 from collections.abc import Iterator
@@ -142,15 +142,21 @@ def _set_rows(docs: DataFrame, known: DataFrame, plan: ex.Plan, shingle: int, si
 
     ``alone``: how many shingles no other document has; ``listed``: the others, sorted;
     ``order``: the places in ``listed`` of the prefix for k = 2, rare first.
+    A column ``sign`` of the documents passes through.
     """
+    signed = "sign" in docs.columns
+    schema = _SETS + ", sign bigint" * signed
+
     def run(own: pa.Table, known: pa.Table) -> pa.Table:
         parts = [(ex.unpack_sorted(h, n), ex.unpack(c, n, 4)) for n, h, c in ex.groups_of(known, "n", "hashes", "counts")]
         cut, total = map(np.concatenate, zip(*parts)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
         order = np.argsort(cut)
         cut, total = cut[order], total[order]
-        out = []
+        out, signs = [], []
         for batch in own.combine_chunks().to_batches():
             ids = batch.column(batch.schema.get_field_index("id")).to_numpy(zero_copy_only=False)
+            if signed:
+                signs.append(batch.column(batch.schema.get_field_index("sign")))
             for a, b, data, offsets in text_chunks(batch, "text"):
                 sets = shingle_sets(data, offsets, shingle)
                 value = plan.cut(sets.hash)
@@ -178,9 +184,10 @@ def _set_rows(docs: DataFrame, known: DataFrame, plan: ex.Plan, shingle: int, si
         columns = list(zip(*out)) if out else [[]] * 9
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.float64(), pa.float64()]
         names = [c.split()[0] for c in _SETS.split(", ")]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
+        out = pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
+        return out.append_column("sign", pa.chunked_array(signs, pa.int64())) if signed else out
 
-    return docs.groupBy("share").cogroup(known.groupBy("share")).applyInArrow(run, _SETS)
+    return docs.groupBy("share").cogroup(known.groupBy("share")).applyInArrow(run, schema)
 
 
 def choose_boundary(nodes: DataFrame) -> int:
@@ -327,22 +334,36 @@ def link_nodes(nodes: DataFrame, similar: int) -> DataFrame:
     return components(edges.unionByName(more)) if more.limit(1).count() else labels
 
 
+def signature(text: str) -> Column:
+    """Tells texts of one id, or without an id, apart."""
+    return F.xxhash64(text)
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
-                       similar: int = SIMILAR) -> DataFrame:
-    """One row per document: id, n_shingles, component_id (the smallest id that links reach)."""
+                       similar: int = SIMILAR, signed: bool = False) -> DataFrame:
+    """One row per document: id, n_shingles, component_id (the smallest id that links reach).
+
+    With ``signed`` also ``sign``, which is ``signature`` of the text, and ``component_sign``,
+    the smallest one among the rows of the component that have its smallest id.
+    """
     plan = ex.plan_for(docs, text, rest=5)
     own = docs.select(ex.known_id(id_col).alias("id"), F.col(text).alias("text"))
     by_share = own.withColumn("share", ex.share_of("id", plan))
+    sign = ["sign"] * signed
+    if signed:
+        by_share = by_share.withColumn("sign", signature("text"))
     known = _frequencies(_send_counts(own, plan, shingle), plan)
     sets = stored(_set_rows(by_share, known, plan, shingle, similar), "sets")
     # Equal sets are one node; any of their rows has its shingles.
     nodes = stored(sets.filter("listed is not null").groupBy("node").agg(F.min_by(
         F.struct("n", "alone", "listed", "n_listed", "order", "enumerate", "scan"), "id").alias("one")).select("node", "one.*"), "nodes")
     labels = link_nodes(nodes, similar)
-    placed = sets.select("id", "n", "node").join(labels, "node", "left").select(
-        "id", "n", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("label"))
-    smallest = placed.filter("label is not null").groupBy("label").agg(F.min("id").alias("component"))
+    placed = sets.select("id", "n", "node", *sign).join(labels, "node", "left").select(
+        "id", "n", *sign, F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("label"))
+    smallest = placed.filter("label is not null").groupBy("label").agg(
+        F.min("id").alias("component"), *([F.min(F.struct("id", "sign"))["sign"].alias("_least")] * signed))
     out = placed.join(smallest, "label", "left")
     return out.select(
         F.nullif("id", F.lit(ex.NO_ID)).alias(id_col), F.col("n").alias("n_shingles"),
-        F.nullif(F.coalesce("component", "id"), F.lit(ex.NO_ID)).alias("component_id"))
+        F.nullif(F.coalesce("component", "id"), F.lit(ex.NO_ID)).alias("component_id"),
+        *([F.col("sign"), F.coalesce("_least", "sign").alias("component_sign")] if signed else []))

@@ -13,7 +13,7 @@ near_copies = dict(corpus_pipeline.STAGES)["n-gram Jaccard join"]
 
 
 def frame(spark, rows):
-    return spark.createDataFrame([(i, t, "en", "s", t and len(t)) for i, t in rows], DOCS)
+    return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCS)
 
 
 def test_near_copies_share_80_percent_of_five_word_shingles(spark, monkeypatch):
@@ -25,3 +25,15 @@ def test_near_copies_share_80_percent_of_five_word_shingles(spark, monkeypatch):
     want = {d for d, (_, c) in brute.components(rows, 80).items() if c == d}
     assert 1 in want and 2 not in want
     assert {r.doc_id for r in near_copies(spark, frame(spark, rows), SF).collect()} == want
+
+
+def test_near_copies_with_repeated_and_missing_ids(spark):
+    text = lambda name, *at: " ".join("e" if i in at else f"{name}{i}" for i in range(60))
+    rows = [(1, text("a")), (2, text("a", 30)), (2, text("b")), (None, text("a", 0)), (None, text("a", 59)), (None, text("b", 0)),
+            (None, text("c")), (None, text("c", 0)), (None, text("c", 0)), (None, text("d")), (None, None), (None, ""), (3, None)]
+    got = [(r.doc_id, r.text) for r in near_copies(spark, frame(spark, rows), SF).collect()]
+    alone = [r for r in rows if r[1] in (text("c"), text("c", 0))]
+    third = [r for r in got if r in alone]
+    assert third in ([(None, text("c"))], [(None, text("c", 0))] * 2)  # copies of one text without an id are one document
+    assert sorted(map(str, (r for r in got if r not in alone))) == sorted(map(str, [
+        (1, text("a")), (2, text("b")), (None, text("d")), (None, None), (None, ""), (3, None)]))
