@@ -1,6 +1,6 @@
 """Remove boilerplate lines: lines that many distinct sites carry.
 
-For every line (by its hash, outer white space aside) a HyperLogLog sketch gathers
+For every line (by its hash, outer spaces aside) a HyperLogLog sketch gathers
 the sites it occurs on; sketches merge map-side and across the shuffle, so a line
 on a third of all documents costs one small sketch a task.  Lines whose estimate
 lies within the sketch's error of the threshold are counted exactly.  Of a line that
