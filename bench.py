@@ -1,4 +1,6 @@
-"""Time all registered queries and print one JSON line.
+"""Time all registered queries but the text operators and the pipeline, and print one JSON line.
+
+The check tool alone measures those.
 
 Each query runs twice on ``local[$BENCH_CPUS]`` over ``$BENCH_SF_DIR``; the
 second run counts, so that code generation and file listing do not.  Queries that
