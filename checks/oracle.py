@@ -578,6 +578,12 @@ STREAMS = {
     "status_update": STATUS_UPDATE,
     "stream_change_envelopes": _changes("select seq, value from envelopes"),
     "stream_latest": feed("select * from latest", LATEST_CTE),
+    "stream_status_changes_7days": feed(STATUS_CHANGES),
+    "stream_hourly_counts": _changes("""
+select date_trunc('hour', datetime) as hour, count(*) filter (status = 'operational') as operational_count,
+       count(*) filter (status = 'down') as down_count, count(*) filter (status = 'warning') as warning_count,
+       count(*) as total_readings, count(*) filter (seq % 500 = 0 and datetime < timestamp '2024-01-16') as late_readings
+from changes where datetime is not null group by all"""),
     "stream_history": feed("select *, datetime::date as event_date from machine_feed union all "
                            "select * replace (null as datetime), null from machine_feed where status = 'warning'"),
     "stream_live_floor": live("select * from live"),

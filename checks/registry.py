@@ -2,7 +2,7 @@
 
 from collections.abc import Callable
 from datetime import datetime
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +19,7 @@ from millwatch.plans import gold, kpi, machine, orders, people, tiles
 from millwatch.session import scratch_dir
 from millwatch.sources import floor, tables
 from millwatch.sources.change_feed import read_change_stream
-from millwatch.streaming import jobs
+from millwatch.streaming import jobs, stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -219,6 +219,8 @@ INGEST: dict[str, Query] = {
 
 # The streams see the events in two arrivals, before and from this time on.
 _SECOND_ARRIVAL = datetime(2024, 1, 16)
+# What came before is known as a table where a stream has an initial state.
+_STREAM_BEGIN = datetime(2024, 1, 6)
 
 
 def _arrivals(rows: DataFrame, column: str) -> list[DataFrame]:
@@ -265,21 +267,66 @@ def _messages(spark: SparkSession, sf: str) -> DataFrame:
         .unionByName(down.withColumn("value", timed('"garbage"'))).select("sent_at", "value")
 
 
-def _follow(spark: SparkSession, sf: str) -> str:
-    """Stream all messages through the fan-out job, in two arrivals; returns its root folder."""
-    root, inbox = scratch_dir(spark, "follow"), scratch_dir(spark, "inbox")
-    for arrival in _arrivals(_messages(spark, sf), "sent_at"):
+def _sent(spark: SparkSession, arrivals: list[DataFrame], purpose: str, start: Callable) -> str:
+    """Stream the messages through a job, an arrival at a time; returns its root folder."""
+    root, inbox = scratch_dir(spark, purpose), scratch_dir(spark, "inbox")
+    for arrival in arrivals:
         arrival.select("value").write.mode("append").text(inbox)
-        jobs.follow_changes(read_change_stream(spark, inbox), root, once=True).awaitTermination()
+        start(read_change_stream(spark, inbox), root).awaitTermination()
     return root
 
 
+def _follow(spark: SparkSession, sf: str) -> str:
+    """All messages through the fan-out job, in two arrivals."""
+    return _sent(spark, _arrivals(_messages(spark, sf), "sent_at"), "follow", partial(jobs.follow_changes, once=True))
+
+
 def _followed(read: Callable[[SparkSession, str], DataFrame]) -> Query:
     return lambda spark, sf: read(spark, _follow(spark, sf))
 
 
+def _stream_latest(spark: SparkSession, sf: str) -> DataFrame:
+    arrivals = _arrivals(_messages(spark, sf), "sent_at")
+    return jobs.current_snapshot(spark, _sent(spark, arrivals, "state", partial(jobs.follow_state, once=True)))
+
+
 def _stream_live_floor(spark: SparkSession, sf: str) -> DataFrame:
-    return jobs.current_floor(spark, _follow(spark, sf), floor.floor_of_feed(views.machine_feed(spark, sf)))
+    """A table of what was known at the start, then two arrivals of the stream."""
+    feed, begin = views.machine_feed(spark, sf), at(_STREAM_BEGIN)
+    arrivals = _arrivals(_messages(spark, sf).filter(F.col("sent_at").isNull() | (F.col("sent_at") >= begin)), "sent_at")
+    job = partial(jobs.follow_state, once=True, initial=feed.filter(F.col("datetime") < begin))
+    return jobs.current_floor(spark, _sent(spark, arrivals, "state", job), floor.floor_of_feed(feed))
+
+
+# A reading of no machine of the floor, long after all others: it closes what waits for the watermark.
+_LAST_READING = '{"operation":"INSERT","table":"t","timestamp":0,"new_data":{"machine_name":"Clock","datetime":"2024-03-01T00:00:00"}}'
+
+
+def _dated_messages(spark: SparkSession, sf: str) -> DataFrame:
+    return _envelopes(spark, sf).select("seq", "value", F.to_timestamp_ntz(F.col("new_data.datetime")).alias("sent_at"))
+
+
+def _ending(spark: SparkSession) -> DataFrame:
+    return spark.range(1).select(F.lit(_LAST_READING).alias("value"))
+
+
+def _stream_status_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """Readings arrive out of order within each arrival; the transitions come out as the batch report has them."""
+    arrivals = [*_arrivals(_dated_messages(spark, sf), "sent_at"), _ending(spark)]
+    root = _sent(spark, arrivals, "transitions", partial(jobs.follow_transitions, delay="1 hour", once=True))
+    rows = tables.read_table(spark, f"{root}/transitions", schemas.TRANSITIONS)
+    return machine.changes_from_transitions(rows, AS_OF)
+
+
+def _stream_hourly_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Every five-hundredth reading of the first arrival comes once more, too late to be counted."""
+    sent = _dated_messages(spark, sf)
+    first, second = _arrivals(sent, "sent_at")
+    late = first.filter("seq % 500 = 0")
+    root = _sent(spark, [first, second, late.select("value").unionByName(_ending(spark))], "hours",
+                 partial(jobs.follow_hours, delay="1 hour", once=True))
+    history = changes.readings_of(changes.parse_envelopes(sent.select("value").unionByName(late.select("value"))))
+    return stateful.late_readings(history, tables.read_table(spark, f"{root}/hours", schemas.HOURS))
 
 
 def _stream_change_envelopes(spark: SparkSession, sf: str) -> DataFrame:
@@ -308,7 +355,9 @@ STREAMS: dict[str, Query] = {
     "snapshot_diff": _snapshot_diff,
     "status_update": _both(_status_update),
     "stream_change_envelopes": _stream_change_envelopes,
-    "stream_latest": _followed(jobs.current_snapshot),
+    "stream_latest": _stream_latest,
+    "stream_status_changes_7days": _stream_status_changes,
+    "stream_hourly_counts": _stream_hourly_counts,
     "stream_history": _followed(lambda spark, root: tables.read_history(spark, f"{root}/history").drop("batch_id")),
     "stream_live_floor": _stream_live_floor,
     "stream_message_log": _followed(lambda spark, root: tables.read_table(spark, f"{root}/messages", schemas.MESSAGE)),

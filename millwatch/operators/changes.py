@@ -14,7 +14,7 @@ from millwatch.operators.neighbours import with_neighbours
 _FIELDS = ["machine_id", "machine_name", "status", "type", "datetime"]
 
 
-def _image(field) -> Column:
+def image(field) -> Column:
     """A machine row as it stands in an envelope."""
     return F.struct(
         field("machine_id").alias("machine_id"), field("machine_name").alias("machine_name"),
@@ -57,13 +57,17 @@ def change_envelopes(changes: DataFrame, known: DataFrame | None = None) -> Data
         }
         exists = inside | F.col("_known").isNotNull()
 
-    operation = F.when(F.col("deleted"), "DELETE").when(exists, "UPDATE").otherwise("INSERT")
-    old = F.when(exists, _image(lambda f: F.col("machine_name") if f == "machine_name" else before[f]))
+    old = F.when(exists, image(lambda f: F.col("machine_name") if f == "machine_name" else before[f]))
+    return envelopes_of(seen, micros(F.col("changed_at")), F.col("deleted"), exists, image(F.col), old)
+
+
+def envelopes_of(rows: DataFrame, at: Column, deleted: Column, exists: Column, new: Column, old: Column) -> DataFrame:
+    """``seq``, ``machine_name`` and the envelope columns of row changes; ``at`` in microseconds."""
+    operation = F.when(deleted, "DELETE").when(exists, "UPDATE").otherwise("INSERT")
     return (
-        seen.select("seq", "machine_name", operation.alias("operation"), exists.alias("_exists"),
-                    (micros(F.col("changed_at")).cast("decimal(20,0)") / F.lit(1_000_000)).cast("decimal(20,6)")
-                    .alias("timestamp"),
-                    F.when(~F.col("deleted"), _image(F.col)).alias("new_data"), old.alias("old_data"))
+        rows.select("seq", "machine_name", operation.alias("operation"), exists.alias("_exists"),
+                    (at.cast("decimal(20,0)") / F.lit(1_000_000)).cast("decimal(20,6)").alias("timestamp"),
+                    F.when(~deleted, new).alias("new_data"), old.alias("old_data"))
         # deleting a row that is not there changes nothing
         .filter((F.col("operation") != "DELETE") | F.col("_exists"))
         .drop("_exists")
@@ -84,8 +88,8 @@ def diff_snapshots(old: DataFrame, new: DataFrame, as_of: datetime) -> DataFrame
         F.coalesce("new_machine_name", "old_machine_name").alias("machine_name"),
         F.when(gone, "DELETE").when(born, "INSERT").otherwise("UPDATE").alias("operation"),
         F.lit(f"{seconds:.6f}").cast("decimal(20,6)").alias("timestamp"),
-        F.when(~gone, _image(lambda f: F.col(f"new_{f}"))).alias("new_data"),
-        F.when(~born, _image(lambda f: F.col(f"old_{f}"))).alias("old_data"),
+        F.when(~gone, image(lambda f: F.col(f"new_{f}"))).alias("new_data"),
+        F.when(~born, image(lambda f: F.col(f"old_{f}"))).alias("old_data"),
     )
 
 
@@ -135,11 +139,6 @@ def dead_letters(envelopes: DataFrame) -> DataFrame:
     return envelopes.filter(dead_letter()).select("value")
 
 
-def fold_variants(variants: DataFrame, readings: DataFrame) -> DataFrame:
-    """What ``newest_variants`` of all readings so far and these would give."""
-    return newest_variants(readings, variants)
-
-
 def fold_latest(snapshot: DataFrame, readings: DataFrame) -> DataFrame:
     """The snapshot after the readings; the newest event wins, whatever came last, and a reading without a time loses."""
     columns = schemas.FEED.fieldNames()

@@ -16,12 +16,14 @@ from pyspark.sql import functions as F
 _VARIANT = ["machine_name", "machine_id", "status", "type"]
 
 
-def newest_variants(feed: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """Per (machine, id, status, type): the newest time, and whether a reading came without one."""
-    rows = feed.select(*_VARIANT, F.col("datetime").alias("newest"), F.col("datetime").isNull().alias("undated"))
-    if known is not None:
-        rows = rows.unionByName(known.select(*_VARIANT, "newest", "undated"))
-    return rows.groupBy(*_VARIANT).agg(F.max("newest").alias("newest"), F.max("undated").alias("undated"))
+def newest_variants(feed: DataFrame) -> DataFrame:
+    """Per (machine, id, status, type): the newest time, and whether a reading came without one.  Works on a stream as well."""
+    return folded_variants(feed.select(*_VARIANT, F.col("datetime").alias("newest"), F.col("datetime").isNull().alias("undated")))
+
+
+def folded_variants(variants: DataFrame) -> DataFrame:
+    """What ``newest_variants`` of all readings behind these variants would give."""
+    return variants.groupBy(*_VARIANT).agg(F.max("newest").alias("newest"), F.max("undated").alias("undated"))
 
 
 def _readings(variants: DataFrame, undated_first: bool) -> DataFrame:

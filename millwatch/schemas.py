@@ -108,3 +108,12 @@ GOLD = {
     "executive_kpis": _gold("metric_category string, metric_name string, current_value double, target_value double, value_type string"),
 }
 PUBLISHED = T.StructType([T.StructField("seq", T.LongType()), T.StructField("value", T.StringType())])
+
+# A reading with the status before it, as the stream puts it out.
+TRANSITIONS = T.StructType(FEED.fields + [
+    T.StructField("prev_status", T.StringType()),
+    T.StructField("prev_datetime", T.TimestampNTZType()),
+])
+
+HOURS = T.StructType([T.StructField("hour", T.TimestampNTZType()), *[
+    T.StructField(c, T.LongType()) for c in ("operational_count", "down_count", "warning_count", "total_readings")]])

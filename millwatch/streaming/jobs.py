@@ -2,9 +2,9 @@
 
 Every job is one query with ``foreachBatch``.  Each sink replaces the output of
 its own batch, so a replay after a lost executor or driver leaves the tables as
-one run would.  All state lives in tables below ``root``, next to the
-checkpoint; nothing is kept in Python, and a hot machine is reduced on the map
-side like in a batch job.  A batch rewrites only the buckets of the machines in it.
+one run would.  What a job remembers is in the engine's state store, part of its
+checkpoint, and a batch writes no more than its own changes.  Jobs on one feed may run
+side by side on one ``root``: each has a checkpoint of its own there.
 """
 
 from datetime import date, datetime, timezone
@@ -15,30 +15,31 @@ from pyspark.sql.streaming import StreamingQuery
 
 from millwatch import schemas
 from millwatch.functions.machines import display_status
-from millwatch.operators.changes import (
-    change_envelopes, dead_letter, envelope_json, fold_variants, parse_envelopes, readings_of,
-)
+from millwatch.operators.changes import dead_letter, envelope_json, parse_envelopes, readings_of
 from millwatch.operators.ingest import ingest_work_orders
-from millwatch.operators.latest import latest_of_variants
+from millwatch.operators.latest import folded_variants, latest_of_variants, newest_variants
 from millwatch.plans.floor import live_floor
 from millwatch.session import exists
-from millwatch.sources import snapshots
+from millwatch.sources import changelog
 from millwatch.sources.tables import DEAD, append_batch, append_history, append_work_orders, read_stored_work_orders
+from millwatch.streaming import stateful
 
+# The state's changelog is folded every so many batches.
+FOLD_EVERY = 100
 # Every trigger leaves a folder per table and day until it is compacted.
 TRIGGER = "1 minute"
 
 
-def _start(stream: DataFrame, root: str, handle, once: bool, every: str = TRIGGER) -> StreamingQuery:
-    writer = stream.writeStream.option("checkpointLocation", f"{root}/checkpoint").foreachBatch(handle)
+def _start(stream: DataFrame, root: str, handle, once: bool, every: str = TRIGGER, mode: str = "append",
+           checkpoint: str = "checkpoint") -> StreamingQuery:
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/{checkpoint}").foreachBatch(handle)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
-def follow_changes(messages: DataFrame, root: str, once: bool = False, initial: DataFrame | None = None) -> StreamingQuery:
-    """Fan the change feed out: message log with its dead letters, history, state and down alerts.
+def follow_changes(messages: DataFrame, root: str, once: bool = False) -> StreamingQuery:
+    """Fan the change feed out: message log with its dead letters, history, and down alerts.
 
-    ``messages`` has the envelope text in ``value``.  ``initial``, readings known before the
-    stream starts, go into the state with the first batch.
+    ``messages`` has the envelope text in ``value``.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
         batch = parse_envelopes(batch).persist()
@@ -47,9 +48,6 @@ def follow_changes(messages: DataFrame, root: str, once: bool = False, initial:
             append_batch(log, f"{root}/messages", batch_id, DEAD)
             readings = readings_of(batch)
             append_history(readings, f"{root}/history", batch_id)
-            known = readings if batch_id or initial is None else readings.unionByName(initial.select(*readings.columns))
-            snapshots.update(known, f"{root}/state", batch_id, schemas.VARIANTS, "machine_name",
-                             lambda before, new: fold_variants(before, new))
             alerts = readings.filter(display_status(F.col("status")) == "down")
             append_batch(alerts, f"{root}/down_alerts", batch_id)
         finally:
@@ -58,9 +56,25 @@ def follow_changes(messages: DataFrame, root: str, once: bool = False, initial:
     return _start(messages, root, handle, once)
 
 
+def follow_state(messages: DataFrame, root: str, once: bool = False, initial: DataFrame | None = None) -> StreamingQuery:
+    """Keep the newest reading of each variant of a machine: a streaming aggregate in update mode.
+
+    The engine's state holds the variants; a batch puts out those that its readings have changed, and only
+    these are written.  ``initial``, readings known before the stream starts, are added with the first batch.
+    """
+    def handle(changed: DataFrame, batch_id: int) -> None:
+        if initial is not None and batch_id == 0:
+            changed = changed.unionByName(newest_variants(initial))
+        changelog.add(changed.select(*schemas.VARIANTS.fieldNames()), f"{root}/state", batch_id)
+        if batch_id % FOLD_EVERY == FOLD_EVERY - 1:
+            changelog.fold(changed.sparkSession, f"{root}/state", schemas.VARIANTS, folded_variants)
+
+    return _start(newest_variants(readings_of(parse_envelopes(messages))), root, handle, once, mode="update", checkpoint="state_checkpoint")
+
+
 def current_variants(spark: SparkSession, root: str) -> DataFrame:
     """The streamed state: the newest reading of each variant of a machine."""
-    return snapshots.read_current(spark, f"{root}/state", schemas.VARIANTS)
+    return folded_variants(changelog.read(spark, f"{root}/state", schemas.VARIANTS))
 
 
 def current_snapshot(spark: SparkSession, root: str) -> DataFrame:
@@ -76,41 +90,31 @@ def current_floor(spark: SparkSession, root: str, floor: DataFrame) -> DataFrame
 def publish_changes(changes: DataFrame, root: str, once: bool = False) -> StreamingQuery:
     """Turn a stream of row changes into change envelopes, as JSON text below ``root/envelopes``.
 
-    ``changes`` has ``seq``, ``changed_at``, the machine row and optionally ``deleted``.
-    The images before come from the batch itself or, for the first change of a
-    machine, from the images table of the batch before: the last by arrival.
+    ``changes`` has ``seq``, ``changed_at``, the machine row and optionally ``deleted``.  The image
+    before a change comes from the engine's state: the machine's last row by arrival.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        try:
-            if "deleted" not in batch.columns:
-                batch = batch.withColumn("deleted", F.lit(False))
+        append_batch(batch, f"{root}/envelopes", batch_id)
 
-            def publish(known: DataFrame, new: DataFrame) -> DataFrame:
-                envelopes = envelope_json(change_envelopes(new, known))
-                append_batch(envelopes.select("seq", "value"), f"{root}/envelopes", batch_id)
-                return _images_after(known, new)
+    return _start(envelope_json(stateful.envelopes_of_stream(changes)).select("seq", "value"), root, handle, once)
 
-            snapshots.update(batch, f"{root}/images", batch_id, schemas.FEED, "machine_name", publish)
-        finally:
-            batch.unpersist()
 
-    return _start(changes, root, handle, once)
-
-
-def _images_after(known: DataFrame, changes: DataFrame) -> DataFrame:
-    """The machine rows after a batch: the last change by arrival, deleted ones gone."""
-    columns = schemas.FEED.fieldNames()
-    row = F.struct("seq", "deleted", *columns)
-    rows = (
-        known.select(F.lit(None).cast("bigint").alias("seq"), F.lit(False).alias("deleted"), *columns)
-        .unionByName(changes.select("seq", "deleted", *columns))
-    )
-    return (
-        rows.groupBy("machine_name").agg(F.max(row).alias("last"))
-        .filter(~F.col("last.deleted"))
-        .select(*[F.col(f"last.{c}").alias(c) for c in columns])
-    )
+def follow_transitions(messages: DataFrame, root: str, delay: str, once: bool = False) -> StreamingQuery:
+    """Readings with the status before them below ``root/transitions``, in order of time however they arrive within ``delay``."""
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        append_batch(batch, f"{root}/transitions", batch_id)
+
+    stream = stateful.readings_in_order(readings_of(parse_envelopes(messages)), delay)
+    return _start(stream, root, handle, once, checkpoint="transitions_checkpoint")
+
+
+def follow_hours(messages: DataFrame, root: str, delay: str, once: bool = False) -> StreamingQuery:
+    """Counts of closed hours below ``root/hours``; readings later than ``delay`` are not in them."""
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        append_batch(batch, f"{root}/hours", batch_id)
+
+    stream = stateful.hourly_counts_of_stream(readings_of(parse_envelopes(messages)), delay)
+    return _start(stream, root, handle, once, checkpoint="hours_checkpoint")
 
 
 def follow_requests(requests: DataFrame, root: str, as_of: datetime | None = None, once: bool = False) -> StreamingQuery:

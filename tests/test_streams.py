@@ -9,11 +9,12 @@ import pytest
 from millwatch import schemas
 from millwatch.functions.times import since
 from millwatch.operators import changes
-from millwatch.operators.latest import latest_readings
+from millwatch.operators.latest import folded_variants, latest_readings
+from millwatch.plans.machine import changes_from_transitions, machine_status_changes
 from millwatch.session import scratch_dir, subfolders
-from millwatch.sources import snapshots, tables
+from millwatch.sources import changelog, tables
 from millwatch.sources.change_feed import read_change_stream
-from millwatch.streaming import jobs
+from millwatch.streaming import jobs, stateful
 
 START = datetime(2024, 1, 30)
 CHANGE = "seq bigint, changed_at timestamp_ntz, machine_id int, machine_name string, status string, type string, " \
@@ -116,6 +117,10 @@ def _follow(spark, inbox, root):
     jobs.follow_changes(read_change_stream(spark, inbox), root, once=True).awaitTermination()
 
 
+def _keep(spark, inbox, root, **more):
+    jobs.follow_state(read_change_stream(spark, inbox), root, once=True, **more).awaitTermination()
+
+
 def test_shuffled_arrival_gives_the_same_tables(spark):
     texts = _messages()
     random.Random(3).shuffle(texts)
@@ -123,6 +128,7 @@ def test_shuffled_arrival_gives_the_same_tables(spark):
     for part in (texts[:10], texts[10:45], texts[45:]):
         _send(spark, inbox, part)
         _follow(spark, inbox, root)
+        _keep(spark, inbox, root)
     whole = changes.readings_of(changes.parse_envelopes(spark.createDataFrame([(t,) for t in texts], "value string")))
     history = tables.read_history(spark, f"{root}/history")
     assert _rows(history) == _rows(whole)
@@ -139,16 +145,17 @@ def test_replayed_batch_changes_nothing(spark):
     def run_twice(stream):
         real = jobs._start
 
-        def start(stream, root, handle, once, *more):
+        def start(stream, root, handle, once, **more):
             def twice(batch, batch_id):
                 handle(batch, batch_id)
                 handle(batch, batch_id)
                 handled[batch_id] = True
-            return real(stream, root, twice, once, *more)
+            return real(stream, root, twice, once, **more)
 
         jobs._start = start
         try:
             jobs.follow_changes(stream, root, once=True).awaitTermination()
+            jobs.follow_state(stream, root, once=True).awaitTermination()
         finally:
             jobs._start = real
 
@@ -162,26 +169,33 @@ def test_replayed_batch_changes_nothing(spark):
     assert jobs.current_snapshot(spark, root).count() == 4
 
 
-def test_batches_rewrite_only_the_buckets_they_touch(spark):
+def test_batches_write_only_what_they_change(spark, monkeypatch):
     root, inbox = scratch_dir(spark, "follow"), scratch_dir(spark, "inbox")
     texts = _messages(24)
     for i in range(6):
         _send(spark, inbox, texts[4 * i:4 * i + 4] if i < 3 else texts[4 * i:4 * i + 1])  # from the fourth on, M0 only
-        _follow(spark, inbox, root)
+        _keep(spark, inbox, root)
         if i == 2:
             early = jobs.current_variants(spark, root)
             before = _sorted(early)
     sent = texts[:12] + [texts[i] for i in (12, 16, 20)]
     whole = changes.readings_of(changes.parse_envelopes(spark.createDataFrame([(t,) for t in sent], "value string")))
     assert _rows(jobs.current_snapshot(spark, root)) == _rows(latest_readings(whole))
-    versions = subfolders(spark, f"{root}/state/data")
-    assert [len(subfolders(spark, f"{root}/state/data/{v}")) for v in versions[3:]] == [1, 1, 1]
-    # a reader that began three batches ago still reads the same rows
+    names = [{r[0] for r in spark.read.parquet(f"{root}/state/batch={b}").select("machine_name").collect()} for b in range(6)]
+    assert names == [{"M0", "M1", "M2", "M3"}] * 3 + [{"M0"}] * 3
+    # a reader that began three batches ago still reads the same rows, and folding changes none
     assert _sorted(early) == before
     now = _sorted(jobs.current_variants(spark, root))
-    snapshots.drop_versions(spark, f"{root}/state", keep=1)
+    changelog.fold(spark, f"{root}/state", schemas.VARIANTS, folded_variants)
     assert _sorted(jobs.current_variants(spark, root)) == now
-    assert sum(len(subfolders(spark, f"{root}/state/data/{v}")) for v in subfolders(spark, f"{root}/state/data")) <= 4
+    changelog.clean(spark, f"{root}/state")
+    assert subfolders(spark, f"{root}/state") == ["fold=5"]
+    monkeypatch.setattr(jobs, "FOLD_EVERY", 1)  # the job folds as well, and goes on from its own state
+    _send(spark, inbox, texts[23:])
+    _keep(spark, inbox, root)
+    assert "fold=6" in subfolders(spark, f"{root}/state")
+    late = whole.unionByName(changes.readings_of(changes.parse_envelopes(spark.createDataFrame([(texts[23],)], "value string"))))
+    assert _rows(jobs.current_snapshot(spark, root)) == _rows(latest_readings(late))
 
 
 def _sorted(df):
@@ -193,7 +207,7 @@ def test_state_starts_from_initial_readings(spark, feed_of):
     initial = feed_of((1, "M1", "down", "valve", "2023-01-01 00:00"), (9, "Quiet_01", "warning", "valve", "2023-01-01 00:00"))
     floor = spark.createDataFrame([(0, "L", 0, "M1"), (0, "L", 1, "Quiet_01"), (0, "L", 2, "Never")], "line_order int, line string, position int, name string")
     _send(spark, inbox, [t for t in _messages() if '"M1"' in t])
-    jobs.follow_changes(read_change_stream(spark, inbox), root, once=True, initial=initial).awaitTermination()
+    _keep(spark, inbox, root, initial=initial)
     shown = {r["name"]: r["status"] for r in jobs.current_floor(spark, root, floor).collect()}
     last = json.loads([t for t in _messages() if '"M1"' in t][-1])["new_data"]["status"]
     assert shown == {"M1": last, "Quiet_01": "warning", "Never": "unknown"}
@@ -247,6 +261,66 @@ def test_publish_joins_batches_by_arrival(spark):
     assert got == _published(changes.envelope_json(changes.change_envelopes(spark.createDataFrame(SOME, CHANGE))))
 
 
+def test_streams_leave_no_scratch(spark):
+    """Ten batches of changes with a hot machine; the images are in the checkpoint, so a deleted machine's is gone as well."""
+    root, inbox = scratch_dir(spark, "publish"), scratch_dir(spark, "inbox")
+    rows, seq = [], 0
+    rng, before = random.Random(8), None
+    for batch in range(10):
+        part = []
+        for _ in range(30):
+            seq += 1
+            part.append(_change(seq, rng.choice(["Hot", "Hot", "Hot", None, f"M{seq % 5}"]), rng.choice(["down", "operational", None]), rng.random() < .2))
+        rng.shuffle(part)
+        rows += part
+        spark.createDataFrame(part, CHANGE).coalesce(1).write.mode("append").parquet(inbox)
+        before = before or subfolders(spark, spark.conf.get("spark.checkpoint.dir"))
+        jobs.publish_changes(spark.readStream.schema(CHANGE).parquet(inbox), root, once=True).awaitTermination()
+    assert subfolders(spark, spark.conf.get("spark.checkpoint.dir")) in (before, sorted({*before, root.rsplit("/", 1)[1]}))
+    got = _published(tables.read_table(spark, f"{root}/envelopes", schemas.PUBLISHED))
+    assert got == _published(changes.envelope_json(changes.change_envelopes(spark.createDataFrame(rows, CHANGE))))
+
+
+CLOCK = json.dumps({"operation": "INSERT", "table": "t", "timestamp": 0.0, "new_data": {"machine_name": "Clock", "datetime": "2025-01-01T00:00:00"}})
+
+
+def test_transitions_come_in_order_within_the_delay(spark):
+    """Each arrival is shuffled and reaches two hours into the one before it; a restart lies between all of them."""
+    rng, root, inbox = random.Random(4), scratch_dir(spark, "follow"), scratch_dir(spark, "inbox")
+    texts = _messages(80, seed=9) + _messages(8, seed=10)  # the second ones share times with the first
+    texts.sort(key=lambda t: json.loads(t)["new_data"]["datetime"])
+    undated = json.dumps({"operation": "UPDATE", "table": "t", "timestamp": 1.0, "new_data": {"machine_name": "M1", "status": "down"}})
+    parts = [texts[:31] + [undated], texts[31:60], texts[60:]]
+    for i in (0, 1):
+        parts[i][-1], parts[i + 1][0] = parts[i + 1][0], parts[i][-1]
+    for part in (*parts, [CLOCK]):
+        rng.shuffle(part)
+        _send(spark, inbox, part)
+        jobs.follow_transitions(read_change_stream(spark, inbox), root, "2 hours", once=True).awaitTermination()
+    whole = changes.readings_of(changes.parse_envelopes(spark.createDataFrame([(t,) for t in texts], "value string")))
+    streamed = tables.read_table(spark, f"{root}/transitions", schemas.TRANSITIONS)
+    assert streamed.count() == 88
+    now = datetime(2024, 2, 4)
+    assert _sorted(changes_from_transitions(streamed, now, 4)) == _sorted(machine_status_changes(whole, now, 4))
+
+
+def test_hours_close_with_the_watermark_and_late_readings_are_counted_apart(spark):
+    root, inbox = scratch_dir(spark, "follow"), scratch_dir(spark, "inbox")
+    texts = _messages(30)
+    parts = (texts[:20], texts[20:], texts[3:5] + [texts[29]], [CLOCK])  # two of the third part are late, one is not
+    for part in parts:
+        _send(spark, inbox, part)
+        jobs.follow_hours(read_change_stream(spark, inbox), root, "1 hour", once=True).awaitTermination()
+    sent = [(t,) for part in parts[:3] for t in part]
+    history = changes.readings_of(changes.parse_envelopes(spark.createDataFrame(sent, "value string")))
+    hours = tables.read_table(spark, f"{root}/hours", schemas.HOURS)
+    got = {r["hour"]: (r["total_readings"], r["late_readings"]) for r in stateful.late_readings(history, hours).collect()}
+    want = {START + timedelta(hours=i): (1, 0) for i in range(30)}
+    want |= {START + timedelta(hours=i): (1, 1) for i in (3, 4)} | {START + timedelta(hours=29): (2, 0)}
+    assert got == want
+    assert sum(r["operational_count"] + r["down_count"] + r["warning_count"] for r in hours.collect()) == 31
+
+
 def test_request_stream(spark):
     root, inbox = scratch_dir(spark, "orders"), scratch_dir(spark, "inbox")
     good = '{"machine_id":"V","issue_description":"leak","reporter_name":"Ann"}'
