@@ -18,14 +18,16 @@ and scanning above is least.
 
 Equal sets are one node from the start.  Among the nodes of a subset or list, all are
 first compared with its most central one; components of those links come next; only
-nodes that are still in different components are then compared with each other, so a
-large group of near copies costs one comparison a member, and no link between
-components is missed.  Two bounds keep pairs that cannot link from being made at all.  A
-set with ``alone`` shingles of its own shares at most ``n - alone``; it leaves the keys whose
-sets are all too large for that.  And what two sets of a key share lies within what each
-shares with the centre, which has been counted, or beside it.  Where the first part alone
-is too little for a link, both sets must hold the same shingle beside the centre, and
-only sets that do are paired: near copies that differ in places of their own are not.
+nodes that are still in different components go on, so a large group of near copies
+costs one comparison a member, and no link between components is missed.  A set with
+``alone`` shingles of its own shares at most ``n - alone``; it leaves the keys whose sets
+are all too large for that.
+
+Those that go on are not paired with each other.  Two sets that link, and are not both
+linked with the centre, differ from it in common places; these differences are sets in
+their turn, with a rare-first prefix each, and make smaller groups with centres of their
+own, again compared with all of the group, until no group holds two components.  Texts of
+one template with scattered edits have few differences in common and make few groups.
 
 Results for odd rows: NULL texts and texts without words have an empty set and link
 with nothing, each its own component; documents without an id come after all others
@@ -241,8 +243,11 @@ def _largest_partner(similar: int) -> Column:
     return F.expr(f"(100 * (n - alone)) div {similar}") + shared - F.col("n")
 
 
-def _compared(pairs: DataFrame, nodes: DataFrame, similar: int) -> DataFrame:
-    """The pairs (a, b): size of the overlap, the other shared shingles of b, and whether a and b reach the similarity."""
+def _compared(pairs: DataFrame, nodes: DataFrame, similar: int, beside: bool = False) -> DataFrame:
+    """The pairs (a, b): size of the overlap, and whether a and b reach the similarity.
+
+    With ``beside`` also ``delta``, the shared shingles that only one of the two has.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, last, known = [], None, None
@@ -253,15 +258,17 @@ def _compared(pairs: DataFrame, nodes: DataFrame, similar: int) -> DataFrame:
                 own = ex.unpack_sorted(lb, kb)
                 same = among(own, known)
                 both = int(same.sum())
-                out.append((a, b, both, own[~same].view(np.int64), 100 * both >= similar * (na + nb - both)))
+                delta = np.concatenate([own[~same], known[~among(known, own)]]).view(np.int64) if beside else None
+                out.append((a, b, both, 100 * both >= similar * (na + nb - both), delta))
             columns = zip(*out) if out else ((), (), (), (), ())
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], ["a", "b", "both", "others", "linked"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], ["a", "b", "both", "linked", "delta"])
 
     side = lambda s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("n_listed").alias(f"k_{s}"),
                                   F.col("listed").alias(f"l_{s}"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").select(
-        "a", "b", "n_a", "k_a", "l_a", "n_b", "k_b", "l_b").mapInArrow(run, "a bigint, b bigint, both bigint, others array<bigint>, linked boolean")
+    found = pairs.join(side("b"), "b").join(side("a"), "a").select(
+        "a", "b", "n_a", "k_a", "l_a", "n_b", "k_b", "l_b").mapInArrow(run, "a bigint, b bigint, both bigint, linked boolean, delta array<bigint>")
+    return found if beside else found.drop("delta")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -283,37 +290,66 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _labelled(keys: DataFrame, labels: DataFrame) -> DataFrame:
-    """Keys of which the nodes are in different components, with each node's component."""
-    found = keys.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed_ = found.groupBy("key").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).filter("_a != _b").select("key")
-    return found.join(mixed_, "key")
+def _open(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows (group, node, alone, n) of groups with nodes in different components, with each node's component."""
+    found = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed_ = found.groupBy("group").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).filter("_a != _b").select("group")
+    return found.join(mixed_, "group")
 
 
-def _open_pairs(keys: DataFrame, compared: DataFrame, similar: int) -> DataFrame:
-    """(a, b): pairs of different components that share a key and may link.
+def _centred(rows: DataFrame) -> DataFrame:
+    """The rows but the group's most central node, which becomes their ``centre``: most of its shingles are shared; ties by node."""
+    centre = rows.groupBy("group").agg(F.min_by("node", F.struct("alone", "node")).alias("centre"))
+    return rows.join(centre, "group").filter("node != centre")
 
-    Within a key, what each set shares with the centre bounds the overlap, but for
-    shingles that both hold beside the centre.  So pairs for which that bound is
-    enough come from the keys, all others from the shingles beside their centre.
-    """
-    seen = compared.select(F.col("a").alias("centre"), F.col("b").alias("node"), "both", "others")
-    found = stored(keys.join(seen.drop("others"), ["centre", "node"], "left").select(
-        "key", "centre", "node", "label", "n", F.coalesce("both", F.col("n") - F.col("alone")).alias("within")), "open-keys")
 
-    def paired(rows: DataFrame, on: list[str], most: Column) -> DataFrame:
-        other = rows.select(*[F.col(c).alias(f"_{c}") for c in rows.columns])
-        apart = (F.col("label") < F.col("_label")) & (100 * most >= similar * (F.col("n") + F.col("_n") - most))
-        for c in on:
-            apart = apart & (F.col(c) == F.col(f"_{c}"))
-        return rows.join(other, apart).select(F.col("node").alias("a"), F.col("_node").alias("b"))
+def _narrowed(rows: DataFrame, nodes: DataFrame, similar: int) -> DataFrame:
+    """Smaller groups (group, node, alone, n) that hold every pair of a group that may still link.
 
-    within = F.least("within", "_within")
-    inside = paired(found.drop("centre"), ["key"], within)
-    members = found.select("centre", "node", "label", "n", "within").distinct().join(seen.drop("both"), ["centre", "node"])
-    beside = members.select("centre", "node", "label", "n", "within", F.size("others").alias("others"), F.explode("others").alias("shingle"))
-    outside = paired(beside, ["centre", "shingle"], within + F.least("others", "_others"))
-    return inside.unionByName(outside).distinct()
+    ``rows`` are those of groups with their centre, which has been compared with all.  By their distance
+    to the centre, the size of what only one of the two has (delta), a and b link when
+    ``(100 + s) (|delta a| + |delta b| - 2 |both deltas|) <= (100 - s) (n a + n b)``.  Two nodes of different
+    components are not both linked with the centre, and then this needs a common member of the deltas; how many
+    follows from their ``excess``.  So, as with sets and shingles, the first members of either delta, rare ones
+    first, hold a common one.  Members that no node of another component has take a place and are not sent on.
+    Nodes linked with the centre look for others only, and have groups of their own with them.
+    """
+    wide = 100 + similar
+    pairs = rows.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    found = _compared(pairs, nodes, similar, beside=True).join(
+        nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("alone").alias("lone")), "a").withColumnsRenamed(
+        {"a": "centre", "b": "node"})
+    held = rows.join(found, ["centre", "node"]).withColumn("size", F.expr("n + n_a - 2 * both"))
+    held = stored(held.withColumn("excess", F.expr(f"{wide} * size - {100 - similar} * n")).select(
+        "group", "node", "label", "n", "alone", "lone", "linked", "size", "excess", "delta"), "deltas")
+    least = held.groupBy("group").agg(F.min(F.when(~F.col("linked"), F.col("excess"))).alias("least"),
+                                      F.min(F.when(F.col("linked"), F.col("excess"))).alias("least_linked"))
+    need = lambda other: f"greatest(1L, (excess + {other} + {2 * wide - 1}) div {2 * wide})"
+    first = lambda other: F.when(F.col(other).isNull(), F.lit(0)).otherwise(F.expr(f"size - {need(other)} + 1"))
+    placed = held.join(least, "group").withColumns({
+        "apart": F.when(F.col("linked"), F.lit(0)).otherwise(first("least")),  # with others beside the centre's own
+        "near": F.when(F.col("linked"), first("least")).otherwise(first("least_linked"))})
+    # The node's own and the centre's own shingles are members: the first come before all others, the second after all.
+    placed = placed.filter("greatest(apart, near) > alone")
+    single = placed.select("group", "node", "label", F.explode("delta").alias("member"))
+    shared = single.groupBy("group", "member").agg(F.count(F.lit(1)).alias("many"), F.min("label").alias("_a"), F.max("label").alias("_b"))
+    alive = single.drop("label").join(shared.filter("_a != _b").drop("_a", "_b"), ["group", "member"]).groupBy("group", "node").agg(
+        F.array_sort(F.collect_list(F.struct("many", "member")))["member"].alias("alive"))
+    none = F.expr("cast(array() as array<bigint>)")
+    ready = placed.drop("delta", "label").join(alive, ["group", "node"], "left").withColumn("alive", F.coalesce("alive", none))
+    dead = F.expr("size - lone - size(alive)")
+
+    def sent(count: str, kind: int):
+        left = F.greatest(F.lit(0), F.col(count) - dead).cast("int")
+        centre_own = F.when((left > F.size("alive")) & (F.col("lone") > 0), F.array(F.lit(None).cast("bigint"))).otherwise(none)
+        members = F.concat(F.slice("alive", F.lit(1), F.least(left, F.size("alive"))), centre_own)
+        return F.transform(members, lambda m: F.struct(F.xxhash64("group", m, F.lit(kind)).alias("group"), F.lit(kind).alias("kind")))
+
+    keys = ready.select(F.explode(F.concat(sent("apart", 0), sent("near", 1))).alias("to"), "node", "alone", "n", "linked").select(
+        "to.*", "node", "alone", "n", "linked").distinct()
+    useful = keys.groupBy("group").agg(F.count(F.lit(1)).alias("_n"), F.max("kind").alias("_kind"), F.min("linked").alias("_a"),
+                                       F.max("linked").alias("_b")).filter("_n > 1 and (_kind = 0 or _a != _b)").select("group")
+    return stored(keys.join(useful, "group").select("group", "node", "alone", "n"), "narrowed")
 
 
 def link_nodes(nodes: DataFrame, similar: int) -> DataFrame:
@@ -325,13 +361,22 @@ def link_nodes(nodes: DataFrame, similar: int) -> DataFrame:
     keys = stored(keys.join(centre.filter("_n > 1"), "key").filter(_largest_partner(similar) >= F.col("_least")).select(
         "key", "node", "alone", "n", "centre"), "keys")
     star = keys.filter("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    compared = stored(_compared(star, nodes, similar), "compared")
-    edges = compared.filter("linked").select("a", "b")
+    edges = stored(_compared(star, nodes, similar).filter("linked").select("a", "b"), "edges")
     labels = components(edges)
-    pairs = _open_pairs(_labelled(keys, labels), compared, similar)
-    tested = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = stored(_compared(pairs.join(tested, ["a", "b"], "left_anti"), nodes, similar).filter("linked").select("a", "b"), "edges")
-    return components(edges.unionByName(more)) if more.limit(1).count() else labels
+    # Of keys that hold several components still, those with the same centre are one group.
+    apart = _open(keys.withColumnRenamed("key", "group"), labels).filter("node != centre")
+    rows = stored(apart.select(F.col("centre").alias("group"), "centre", "node", "label", "n", "alone").distinct(), "open")
+    while rows.limit(1).count():
+        narrowed = _narrowed(rows, nodes, similar)
+        # A narrowed group lacks the centre that it was compared with, so the groups come to an end.
+        centred = stored(_centred(_open(narrowed, labels)), "centred")
+        pairs = centred.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+        more = stored(_compared(pairs, nodes, similar).filter("linked").select("a", "b"), "edges")
+        if more.limit(1).count():
+            edges = edges.unionByName(more)
+            labels = components(edges)
+        rows = stored(_open(centred.drop("label"), labels).select("group", "centre", "node", "label", "n", "alone"), "open")
+    return labels
 
 
 def signature(text: str) -> Column:

@@ -48,8 +48,8 @@ def shingles(text, k=4):
     return frozenset(tuple(w[i:i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)])
 
 
-def components(docs, similar=85):
-    sets = {doc: shingles(text) for doc, text in docs}
+def components(docs, similar=85, k=4):
+    sets = {doc: shingles(text, k) for doc, text in docs}
     parent = {d: d for d in sets}
 
     def root(d):
