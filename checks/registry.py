@@ -186,6 +186,11 @@ API: dict[str, Query] = {
     "work_order_display": _orders(orders.work_order_display),
 }
 
+# The streams see the events in two arrivals, before and from this time on.
+_SECOND_ARRIVAL = datetime(2024, 1, 16)
+# What came before is known as a table where a stream has an initial state.
+_STREAM_BEGIN = datetime(2024, 1, 6)
+
 # -- ingest ---------------------------------------------------------------------------------------
 
 
@@ -202,6 +207,20 @@ def _violations(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _violations_by_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """Two batches a table, each checked against the keys of the one before it."""
+    root = scratch_dir(spark, "constraints")
+    given = [
+        (constraints.FEED_RULES, views.machine_feed(spark, sf), F.col("datetime") >= at(_SECOND_ARRIVAL)),
+        (constraints.WORK_ORDER_RULES, views.order_candidates(spark, sf), F.hash("created_at") % 2 == 0),
+        (constraints.EMPLOYEE_RULES, views.employees(spark, sf), F.col("id") % 2 == 0),
+    ]
+    for rules, rows, second in given:
+        for batch_id, part in enumerate((rows.filter(~second), rows.filter(second))):
+            constraints.check_batch(part, rules, root, batch_id)
+    return reduce(DataFrame.unionByName, [constraints.violations_so_far(spark, rules, root) for rules, _, _ in given])
+
+
 def _violating_rows(spark: SparkSession, sf: str) -> DataFrame:
     rows = constraints.violating_rows(views.order_candidates(spark, sf), constraints.WORK_ORDER_RULES)
     return rows.select("id", "created_at", F.concat_ws(", ", "broken_rules").alias("broken_rules"))
@@ -212,15 +231,12 @@ INGEST: dict[str, Query] = {
     "ingest_rejected": lambda spark, sf: ingest.ingest_work_orders(views.requests(spark, sf), AS_OF)[1],
     "ingest_defaults": _defaults,
     "constraint_violations": _violations,
+    "constraint_violations_by_batch": _violations_by_batch,
     "constraint_violating_rows": _violating_rows,
 }
 
 # -- changes and streams --------------------------------------------------------------------------
 
-# The streams see the events in two arrivals, before and from this time on.
-_SECOND_ARRIVAL = datetime(2024, 1, 16)
-# What came before is known as a table where a stream has an initial state.
-_STREAM_BEGIN = datetime(2024, 1, 6)
 
 
 def _arrivals(rows: DataFrame, column: str) -> list[DataFrame]:

@@ -2,10 +2,12 @@
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millwatch import fixed_values as fv
+from millwatch.sources import key_index
+from millwatch.sources.tables import append_batch
 
 
 @dataclass(frozen=True)
@@ -44,13 +46,14 @@ def _row_conditions(rules: Rules) -> dict[str, object]:
     return conditions
 
 
-def check_constraints(rows: DataFrame, rules: Rules) -> DataFrame:
-    """``table, rule, key, count``: one row per broken row rule and per repeated key.
+def _keys(rules: Rules) -> list[str]:
+    return [k for k in [rules.primary_key] if k] + rules.unique
 
-    All row rules share one pass; each uniqueness rule is a map-side combined count.
-    """
+
+def _broken_rows(rows: DataFrame, rules: Rules) -> DataFrame:
+    """``rule, key, count`` of the row rules, all in one pass."""
     conditions = _row_conditions(rules)
-    broken = (
+    return (
         rows.agg(*[F.count_if(condition).alias(rule) for rule, condition in conditions.items()])
         .select(F.explode(F.array(*[
             F.struct(F.lit(rule).alias("rule"), F.lit(None).cast("string").alias("key"), F.col(rule).alias("count"))
@@ -58,20 +61,57 @@ def check_constraints(rows: DataFrame, rules: Rules) -> DataFrame:
         ])).alias("r"))
         .select("r.*")
     )
-    for c in [k for k in [rules.primary_key] if k] + rules.unique:
-        repeated = (
-            rows.filter(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("key"))
-            .agg(F.count(F.lit(1)).alias("count")).filter(F.col("count") > 1)
-            .select(F.lit(f"{c} unique").alias("rule"), "key", "count")
-        )
-        broken = broken.unionByName(repeated)
+
+
+def _repeated(counted: DataFrame, column: str) -> DataFrame:
+    return counted.filter("n > 1").select(F.lit(f"{column} unique").alias("rule"), "key", F.col("n").alias("count"))
+
+
+def check_constraints(rows: DataFrame, rules: Rules) -> DataFrame:
+    """``table, rule, key, count``: one row per broken row rule and per repeated key.
+
+    All row rules share one pass; each uniqueness rule is a map-side combined count.
+    """
+    broken = _broken_rows(rows, rules)
+    for c in _keys(rules):
+        broken = broken.unionByName(_repeated(key_index.counted(rows, c), c))
+    return broken.filter(F.col("count") > 0).select(F.lit(rules.table).alias("table"), "rule", "key", "count")
+
+
+def check_batch(rows: DataFrame, rules: Rules, root: str, batch_id: int) -> None:
+    """Check a batch by itself and its keys against all earlier batches; add its keys to the indexes.
+
+    Violations go below ``root``; a key's count is that of all batches so far.  A batch reads, of the
+    history, the index buckets that may hold its keys, and a replay leaves all as it was.
+    """
+    broken = _broken_rows(rows, rules)
+    for c in _keys(rules):
+        counted, path = key_index.counted(rows, c).persist(), f"{root}/{rules.table}/{c}"
+        try:
+            known = key_index.held(counted, path, batch_id).withColumnsRenamed({"key": "_key", "n": "_n"})
+            together = counted.join(known, F.col("key") == F.col("_key"), "left").select(
+                "key", (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"))
+            append_batch(_repeated(together, c), f"{root}/repeated/{rules.table}/{c}", batch_id)
+            key_index.add(counted, path, batch_id)
+        finally:
+            counted.unpersist()
+    append_batch(broken, f"{root}/broken/{rules.table}", batch_id)
+
+
+def violations_so_far(spark: SparkSession, rules: Rules, root: str) -> DataFrame:
+    """What ``check_constraints`` of all batches together would give."""
+    schema = "rule string, key string, count bigint"
+    broken = spark.read.schema(schema).parquet(f"{root}/broken/{rules.table}").groupBy("rule", "key").agg(F.sum("count").alias("count"))
+    for c in _keys(rules):
+        repeated = spark.read.schema(schema).parquet(f"{root}/repeated/{rules.table}/{c}")
+        broken = broken.unionByName(repeated.groupBy("rule", "key").agg(F.max("count").alias("count")))
     return broken.filter(F.col("count") > 0).select(F.lit(rules.table).alias("table"), "rule", "key", "count")
 
 
 def violating_rows(rows: DataFrame, rules: Rules) -> DataFrame:
     """The rows that break a row rule or share a unique key, with the rules they break."""
     marks = [F.when(condition, rule) for rule, condition in _row_conditions(rules).items()]
-    for i, c in enumerate([k for k in [rules.primary_key] if k] + rules.unique):
+    for i, c in enumerate(_keys(rules)):
         # rows without the key go round the join, where they would all meet in one task
         keyed, bare = rows.filter(F.col(c).isNotNull()), rows.filter(F.col(c).isNull())
         repeated = keyed.groupBy(F.col(c).alias(f"_key{i}")).count().filter(F.col("count") > 1).drop("count")

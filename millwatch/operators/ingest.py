@@ -2,12 +2,13 @@
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millwatch import fixed_values as fv
 from millwatch import schemas
 from millwatch.functions.times import at
+from millwatch.operators.neighbours import COPY_BLOCK
 
 REQUIRED = ["machine_id", "issue_description", "reporter_name"]
 
@@ -71,21 +72,32 @@ def ingest_work_orders(requests: DataFrame, as_of: datetime, existing: DataFrame
         "request_key", "raw", "_n", _first_error(row).alias("error"), work_order_id(F.col("request_key"), as_of).alias("id"),
         *[column.alias(name) for name, column in row.items()])
     good, bad = checked.filter("error is null"), checked.filter("error is not null")
-    good = good.withColumn("_rank", F.row_number().over(Window.partitionBy("id").orderBy("raw")))
+    # Which text of an id is the first is an aggregate, so an id with very many texts is no task of its own.
+    first = good.groupBy(F.col("id").alias("_id")).agg(F.min("raw").alias("_first"))
+    good = good.join(first, F.col("id") == F.col("_id"))
     if existing is not None:
         known = existing.select(F.col("id").alias("_known")).distinct()
         good = good.join(known, F.col("id") == F.col("_known"), "left")
     else:
         good = good.withColumn("_known", F.lit(None).cast("string"))
-    new = F.col("_known").isNull() & (F.col("_rank") == 1)
+    new = F.col("_known").isNull() & (F.col("raw") == F.col("_first"))
     now = at(as_of)
     accepted = good.filter(new).select(
         "id", *row, now.alias("timestamp"), now.alias("created_at"), F.lit(fv.DEFAULT_ORDER_STATUS).alias("status"))
     again = good.select("request_key", "raw", F.lit("id already exists").alias("error"),
                         (F.col("_n") - new.cast("int")).alias("_n")).filter("_n > 0")
     rejected = bad.select("request_key", "raw", "error", "_n").unionByName(again)
-    copies = F.explode(F.expr("array_repeat(1, cast(_n as int))")).alias("_copy")
-    return accepted, rejected.select("request_key", "raw", "error", copies).drop("_copy")
+    return accepted, written_out(rejected, "_n")
+
+
+def written_out(rows: DataFrame, count: str) -> DataFrame:
+    """Each row as often as ``count`` says, dealt out in blocks, so that a million copies are no single task's."""
+    kept = [c for c in rows.columns if c != count]
+    blocks = rows.select(*kept, count, F.explode(F.expr(f"sequence(0L, ({count} - 1) div {COPY_BLOCK})")).alias("_block"))
+    size = F.expr(f"int(least({COPY_BLOCK}L, {count} - _block * {COPY_BLOCK}))")
+    # A block's bytes say nothing of what it becomes: a fixed number of parts, which adaptive execution does not merge.
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return blocks.repartition(parts, "_block", *kept).select(*kept, F.explode(F.array_repeat(F.lit(1), size)).alias("_copy")).drop("_copy")
 
 
 def with_defaults(rows: DataFrame, as_of: datetime, **defaults: object) -> DataFrame:

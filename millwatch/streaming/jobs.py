@@ -7,7 +7,7 @@ checkpoint, and a batch writes no more than its own changes.  Jobs on one feed m
 side by side on one ``root``: each has a checkpoint of its own there.
 """
 
-from datetime import date, datetime, timezone
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,12 +16,11 @@ from pyspark.sql.streaming import StreamingQuery
 from millwatch import schemas
 from millwatch.functions.machines import display_status
 from millwatch.operators.changes import dead_letter, envelope_json, parse_envelopes, readings_of
-from millwatch.operators.ingest import ingest_work_orders
+from millwatch.operators.ingest import ingest_work_orders, work_order_id
 from millwatch.operators.latest import folded_variants, latest_of_variants, newest_variants
 from millwatch.plans.floor import live_floor
-from millwatch.session import exists
-from millwatch.sources import changelog
-from millwatch.sources.tables import DEAD, append_batch, append_history, append_work_orders, read_stored_work_orders
+from millwatch.sources import changelog, key_index
+from millwatch.sources.tables import DEAD, append_batch, append_history, append_work_orders
 from millwatch.streaming import stateful
 
 # The state's changelog is folded every so many batches.
@@ -121,24 +120,18 @@ def follow_requests(requests: DataFrame, root: str, as_of: datetime | None = Non
     """Validate a stream of work-order requests and append the accepted ones to ``root/work_orders``.
 
     ``requests`` has ``request_key`` and ``raw``; rejected requests go to ``root/rejected``, also
-    those whose id an earlier batch has stored.
+    those whose id any earlier batch has stored: the ids are looked up in their index, no order is read.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
-        now = as_of or datetime.now(timezone.utc).replace(tzinfo=None)
+        now, index = as_of or datetime.now(timezone.utc).replace(tzinfo=None), f"{root}/order_ids"
         batch = batch.persist()
         try:
-            accepted, rejected = ingest_work_orders(batch, now, _orders_of(batch.sparkSession, root, now.date(), batch_id))
+            ids = batch.select(work_order_id(F.col("request_key"), now).alias("key")).distinct().filter("key is not null")
+            accepted, rejected = ingest_work_orders(batch, now, key_index.held(ids, index, batch_id).select(F.col("key").alias("id")))
             append_work_orders(accepted, f"{root}/work_orders", batch_id)
             append_batch(rejected, f"{root}/rejected", batch_id)
+            key_index.add(key_index.counted(accepted, "id"), index, batch_id)
         finally:
             batch.unpersist()
 
     return _start(requests, root, handle, once)
-
-
-def _orders_of(spark: SparkSession, root: str, day: date, batch_id: int) -> DataFrame | None:
-    """Work orders of the day from earlier batches: ids carry their day, so others cannot be equal."""
-    path = f"{root}/work_orders"
-    if not exists(spark, path):
-        return None
-    return read_stored_work_orders(spark, path).filter((F.col("created_date") == F.lit(day)) & (F.col("batch_id") < batch_id))
