@@ -23,11 +23,13 @@ costs one comparison a member, and no link between components is missed.  A set
 ``alone`` shingles of its own shares at most ``n - alone``; it leaves the keys whose sets
 are all too large for that.
 
-Those that go on are not paired with each other.  Two sets that link, and are not both
-linked with the centre, differ from it in common places; these differences are sets in
-their turn, with a rare-first prefix each, and make smaller groups with centres of their
-own, again compared with all of the group, until no group holds two components.  Texts of
-one template with scattered edits have few differences in common and make few groups.
+Those that go on are not paired with each other.  A set of which too little lies in the
+centre shares shingles beside it with its partners; two sets that are near the centre, but
+not both linked with it, differ from it in common places.  What is beside the centre, and
+the differences, are sets in their turn, with a rare-first prefix each, and make smaller
+groups with centres of their own, again compared with all of the group, until no group
+holds two components.  Texts of one template with scattered edits have few differences in
+common and make few groups.
 
 Results for odd rows: NULL texts and texts without words have an empty set and link
 with nothing, each its own component; documents without an id come after all others
@@ -51,7 +53,7 @@ from millwatch.session import stored
 SHINGLE, SIMILAR = 4, 85
 _SENT = "bucket int, n int, hashes binary, shares binary, counts binary"
 _KNOWN = "share int, n int, hashes binary, counts binary"
-_SETS = "id bigint, n bigint, node bigint, alone int, listed binary, n_listed int, order binary, enumerate double, scan double"
+_SETS = "id bigint, n bigint, node bigint, alone int, listed binary, n_listed int, order binary, enumerate double, scan double, freqs binary"
 
 
 class Sets(NamedTuple):
@@ -143,7 +145,8 @@ def _set_rows(docs: DataFrame, known: DataFrame, plan: ex.Plan, shingle: int, si
     """One row per document: size, node, and for those that may have partners their shared shingles.
 
     ``alone``: how many shingles no other document has; ``listed``: the others, sorted;
-    ``order``: the places in ``listed`` of the prefix for k = 2, rare first.
+    ``order``: the places in ``listed`` of the prefix for k = 2, rare first;
+    ``freqs``: in how many documents each of ``listed`` is, in steps of an eighth of a doubling.
     A column ``sign`` of the documents passes through.
     """
     signed = "sign" in docs.columns
@@ -175,16 +178,18 @@ def _set_rows(docs: DataFrame, known: DataFrame, plan: ex.Plan, shingle: int, si
                 for k in range(b - a):
                     row = (int(ids[a + k]), int(sets.size[k]), int(nodes[k]), int(alone[k]))
                     if not sets.size[k] or alone[k] > spare[k]:  # the prefix for k = 1 is full of shingles without a partner
-                        out.append((*row, None, 0, None, 0.0, 0.0))
+                        out.append((*row, None, 0, None, 0.0, 0.0, None))
                         continue
                     i = bounds[k] + np.flatnonzero(shared[bounds[k]:bounds[k + 1]])
                     f = frequency[i]
                     rank = np.lexsort((value[i], f))[:spare[k] + 2 - alone[k]]
                     m = len(rank)
-                    out.append((*row, ex.pack_sorted(np.sort(value[i]), 8), len(i), ex.pack(np.argsort(np.argsort(value[i]))[rank].astype(np.uint64), 4),
-                                m * (m - 1) / 2, float(f[rank[:spare[k] + 1 - alone[k]]].sum())))
-        columns = list(zip(*out)) if out else [[]] * 9
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.float64(), pa.float64()]
+                    by_value = np.argsort(value[i])
+                    steps = np.minimum(np.floor(8 * np.log2(f[by_value].astype(np.float64))), 255).astype(np.uint64)
+                    out.append((*row, ex.pack_sorted(value[i][by_value], 8), len(i), ex.pack(np.argsort(by_value)[rank].astype(np.uint64), 4),
+                                m * (m - 1) / 2, float(f[rank[:spare[k] + 1 - alone[k]]].sum()), ex.pack(steps, 1)))
+        columns = list(zip(*out)) if out else [[]] * 10
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.float64(), pa.float64(), pa.binary()]
         names = [c.split()[0] for c in _SETS.split(", ")]
         out = pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
         return out.append_column("sign", pa.chunked_array(signs, pa.int64())) if signed else out
@@ -243,32 +248,27 @@ def _largest_partner(similar: int) -> Column:
     return F.expr(f"(100 * (n - alone)) div {similar}") + shared - F.col("n")
 
 
-def _compared(pairs: DataFrame, nodes: DataFrame, similar: int, beside: bool = False) -> DataFrame:
-    """The pairs (a, b): size of the overlap, and whether a and b reach the similarity.
+def _blobs(nodes: DataFrame, side: str) -> DataFrame:
+    return nodes.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", "n_listed", "listed", "freqs")])
 
-    With ``beside`` also ``delta``, the shared shingles that only one of the two has.
-    """
+
+def _compared(pairs: DataFrame, nodes: DataFrame, similar: int) -> DataFrame:
+    """The pairs (centre, node): size of the overlap, and whether both reach the similarity."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, last, known = [], None, None
             for a, b, na, ka, la, nb, kb, lb in zip(*(batch.column(c).to_pylist() for c in (
-                    "a", "b", "n_a", "k_a", "l_a", "n_b", "k_b", "l_b"))):
+                    "centre", "node", "n_centre", "n_listed_centre", "listed_centre", "n_node", "n_listed_node", "listed_node"))):
                 if a != last:
                     last, known = a, ex.unpack_sorted(la, ka)
-                own = ex.unpack_sorted(lb, kb)
-                same = among(own, known)
-                both = int(same.sum())
-                delta = np.concatenate([own[~same], known[~among(known, own)]]).view(np.int64) if beside else None
-                out.append((a, b, both, 100 * both >= similar * (na + nb - both), delta))
-            columns = zip(*out) if out else ((), (), (), (), ())
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], ["a", "b", "both", "linked", "delta"])
-
-    side = lambda s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("n_listed").alias(f"k_{s}"),
-                                  F.col("listed").alias(f"l_{s}"))
-    found = pairs.join(side("b"), "b").join(side("a"), "a").select(
-        "a", "b", "n_a", "k_a", "l_a", "n_b", "k_b", "l_b").mapInArrow(run, "a bigint, b bigint, both bigint, linked boolean, delta array<bigint>")
-    return found if beside else found.drop("delta")
+                both = int(among(ex.unpack_sorted(lb, kb), known).sum())
+                out.append((a, b, both, 100 * both >= similar * (na + nb - both)))
+            columns = zip(*out) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()))],
+                                             ["centre", "node", "both", "linked"])
+
+    return pairs.join(_blobs(nodes, "node"), "node").join(_blobs(nodes, "centre"), "centre").drop("freqs_centre", "freqs_node").mapInArrow(
+        run, "centre bigint, node bigint, both bigint, linked boolean")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -291,65 +291,117 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _open(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows (group, node, alone, n) of groups with nodes in different components, with each node's component."""
+    """Those of the rows (group, node, …) of which the group has nodes in different components, with each node's ``label``."""
     found = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed_ = found.groupBy("group").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).filter("_a != _b").select("group")
     return found.join(mixed_, "group")
 
 
-def _centred(rows: DataFrame) -> DataFrame:
-    """The rows but the group's most central node, which becomes their ``centre``: most of its shingles are shared; ties by node."""
-    centre = rows.groupBy("group").agg(F.min_by("node", F.struct("alone", "node")).alias("centre"))
-    return rows.join(centre, "group").filter("node != centre")
+def _pairs(rows: DataFrame) -> DataFrame:
+    """The distinct (centre, node) of rows with a centre."""
+    return rows.filter("node != centre").select("centre", "node").distinct()
 
 
-def _narrowed(rows: DataFrame, nodes: DataFrame, similar: int) -> DataFrame:
-    """Smaller groups (group, node, alone, n) that hold every pair of a group that may still link.
-
-    ``rows`` are those of groups with their centre, which has been compared with all.  By their distance
-    to the centre, the size of what only one of the two has (delta), a and b link when
-    ``(100 + s) (|delta a| + |delta b| - 2 |both deltas|) <= (100 - s) (n a + n b)``.  Two nodes of different
-    components are not both linked with the centre, and then this needs a common member of the deltas; how many
-    follows from their ``excess``.  So, as with sets and shingles, the first members of either delta, rare ones
-    first, hold a common one.  Members that no node of another component has take a place and are not sent on.
-    Nodes linked with the centre look for others only, and have groups of their own with them.
+def _members(placed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(group, node, kind, member): the first ``k2`` others of a node (kind 2) and, with ``whole``, its delta (kind 0); rare ones first."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("group", "b", "whole", "k2", "n_listed_a", "listed_a", "n_listed_b", "listed_b", "freqs_b")
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            for g, b, whole, k2, ka, la, kb, lb, fb in zip(*(batch.column(c).to_pylist() for c in names)):
+                theirs, own = ex.unpack_sorted(la, ka), ex.unpack_sorted(lb, kb)
+                beside = ~among(own, theirs)
+                others = own[beside]
+                found = [(2, others[np.lexsort((others, ex.unpack(fb, kb, 1)[beside]))][:k2])] if k2 else []
+                if whole:
+                    found.append((0, np.concatenate([others, theirs[~among(theirs, own)]])))
+                for kind, members in found:
+                    m = len(members)
+                    for column, value in zip(out, (np.full(m, g), np.full(m, b), np.full(m, kind, np.int32), members.view(np.int64))):
+                        column.append(value)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["group", "node", "kind", "member"])
+
+    sent = placed.select("group", F.col("centre").alias("a"), F.col("node").alias("b"), "whole", "k2")
+    return sent.join(_blobs(nodes, "b"), "b").join(_blobs(nodes, "a"), "a").mapInArrow(run, "group bigint, node bigint, kind int, member bigint")
+
+
+def _narrowed(rows: DataFrame, compared: DataFrame, nodes: DataFrame, similar: int) -> DataFrame:
+    """Smaller groups (group, parent, node) that hold every pair of a group (group, centre, node, label) that may still link.
+
+    The centre has been ``compared`` with all of its group.
+
+    A node is far if less of it lies in the centre than any link of it needs.  A far node and its partner share
+    at least what it lacks beside the centre, so the first of either's ``others``, rare ones first, hold a common
+    one (kind 2).
+
+    Of nodes that are near the centre, what only one of the two has is the ``delta``: a and b link when
+    ``(100 + s) (|delta a| + |delta b| - 2 |both deltas|) <= (100 - s) (n a + n b)``.  Nodes of different components
+    are not both linked with the centre, and then this needs a common member of the deltas; how many follows from
+    their ``excess``.  Again the first of either delta hold one: of nodes not linked with the centre among
+    themselves (kind 0), and of these and linked ones (kind 1).  The order puts first what no node of another
+    component in the group has, which is not sent on, and last what only the centre has.
     """
-    wide = 100 + similar
-    pairs = rows.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    found = _compared(pairs, nodes, similar, beside=True).join(
-        nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("alone").alias("lone")), "a").withColumnsRenamed(
-        {"a": "centre", "b": "node"})
-    held = rows.join(found, ["centre", "node"]).withColumn("size", F.expr("n + n_a - 2 * both"))
-    held = stored(held.withColumn("excess", F.expr(f"{wide} * size - {100 - similar} * n")).select(
-        "group", "node", "label", "n", "alone", "lone", "linked", "size", "excess", "delta"), "deltas")
-    least = held.groupBy("group").agg(F.min(F.when(~F.col("linked"), F.col("excess"))).alias("least"),
-                                      F.min(F.when(F.col("linked"), F.col("excess"))).alias("least_linked"))
-    need = lambda other: f"greatest(1L, (excess + {other} + {2 * wide - 1}) div {2 * wide})"
-    first = lambda other: F.when(F.col(other).isNull(), F.lit(0)).otherwise(F.expr(f"size - {need(other)} + 1"))
+    wide, narrow = 100 + similar, 100 - similar
+    size = nodes.select("node", "n", "alone")
+    held = rows.join(compared, ["centre", "node"]).join(size, "node").join(
+        size.select(F.col("node").alias("centre"), F.col("n").alias("n_c"), F.col("alone").alias("lone")), "centre")
+    held = held.withColumns({"needs": F.expr(f"(n * {similar} + 99) div 100"), "size": F.expr("n + n_c - 2 * both")})
+    held = held.withColumns({"far": F.expr("both < needs"), "excess": F.expr(f"{wide} * size - {narrow} * n")})
+    least = held.groupBy("group").agg(
+        F.min(F.when(~F.col("linked") & ~F.col("far"), F.col("excess"))).alias("least"),
+        F.min(F.when(F.col("linked"), F.col("excess"))).alias("least_linked"),
+        F.min(F.when(F.col("far"), F.col("needs") - F.col("both"))).alias("lack"))
+
+    def first(other: str):
+        need = f"greatest(1L, (excess + {other} + {2 * wide - 1}) div {2 * wide})"
+        return F.when(F.col(other).isNull() | F.col("far"), F.lit(0)).otherwise(F.expr(f"size - {need} + 1"))
+
+    beside = F.when(F.col("far"), F.expr("n - needs + 1")).otherwise(F.expr("coalesce(n - both - lack + 1, 0)"))
     placed = held.join(least, "group").withColumns({
-        "apart": F.when(F.col("linked"), F.lit(0)).otherwise(first("least")),  # with others beside the centre's own
-        "near": F.when(F.col("linked"), first("least")).otherwise(first("least_linked"))})
-    # The node's own and the centre's own shingles are members: the first come before all others, the second after all.
-    placed = placed.filter("greatest(apart, near) > alone")
-    single = placed.select("group", "node", "label", F.explode("delta").alias("member"))
-    shared = single.groupBy("group", "member").agg(F.count(F.lit(1)).alias("many"), F.min("label").alias("_a"), F.max("label").alias("_b"))
-    alive = single.drop("label").join(shared.filter("_a != _b").drop("_a", "_b"), ["group", "member"]).groupBy("group", "node").agg(
+        "k0": F.when(F.col("linked"), F.lit(0)).otherwise(first("least")),
+        "k1": F.when(F.col("linked"), first("least")).otherwise(first("least_linked")),
+        "k2": F.greatest(beside - F.col("alone"), F.lit(0))})
+    placed = placed.withColumn("whole", F.expr("greatest(k0, k1) > alone")).filter("whole or k2 > 0").select(
+        "group", "centre", "node", "label", "linked", "far", "alone", "lone", "size", "k0", "k1", "k2", "whole")
+    placed = stored(placed, "placed")
+    members = stored(_members(placed, nodes).join(placed.select("group", "node", "label", "linked", "far"), ["group", "node"]), "members")
+    # Members that nodes of two components have: kind 2 needs a far node among them.
+    shared = members.groupBy("group", "kind", "member").agg(
+        F.count(F.lit(1)).alias("many"), F.min("label").alias("_a"), F.max("label").alias("_b"), F.max("far").alias("_far")).filter(
+        "_a != _b and (kind = 0 or _far)").drop("_a", "_b", "_far")
+    alive = members.join(shared, ["group", "kind", "member"])
+    beside_keys = alive.filter("kind = 2").select(
+        F.xxhash64("group", "member", F.lit(2)).alias("to"), "group", "node", F.lit(2).alias("kind"), "linked")
+    lists = alive.filter("kind = 0").groupBy("group", "node").agg(
         F.array_sort(F.collect_list(F.struct("many", "member")))["member"].alias("alive"))
     none = F.expr("cast(array() as array<bigint>)")
-    ready = placed.drop("delta", "label").join(alive, ["group", "node"], "left").withColumn("alive", F.coalesce("alive", none))
+    ready = placed.filter("whole").join(lists, ["group", "node"], "left").withColumn("alive", F.coalesce("alive", none))
     dead = F.expr("size - lone - size(alive)")
 
     def sent(count: str, kind: int):
         left = F.greatest(F.lit(0), F.col(count) - dead).cast("int")
         centre_own = F.when((left > F.size("alive")) & (F.col("lone") > 0), F.array(F.lit(None).cast("bigint"))).otherwise(none)
-        members = F.concat(F.slice("alive", F.lit(1), F.least(left, F.size("alive"))), centre_own)
-        return F.transform(members, lambda m: F.struct(F.xxhash64("group", m, F.lit(kind)).alias("group"), F.lit(kind).alias("kind")))
+        found = F.concat(F.slice("alive", F.lit(1), F.least(left, F.size("alive"))), centre_own)
+        return F.transform(found, lambda m: F.struct(F.xxhash64("group", m, F.lit(kind)).alias("to"), F.lit(kind).alias("kind")))
 
-    keys = ready.select(F.explode(F.concat(sent("apart", 0), sent("near", 1))).alias("to"), "node", "alone", "n", "linked").select(
-        "to.*", "node", "alone", "n", "linked").distinct()
+    delta_keys = ready.select(F.explode(F.concat(sent("k0", 0), sent("k1", 1))).alias("k"), "group", "node", "linked").select(
+        "k.to", "group", "node", "k.kind", "linked")
+    keys = stored(beside_keys.unionByName(delta_keys).withColumnsRenamed({"group": "parent", "to": "group"}), "narrow")
     useful = keys.groupBy("group").agg(F.count(F.lit(1)).alias("_n"), F.max("kind").alias("_kind"), F.min("linked").alias("_a"),
-                                       F.max("linked").alias("_b")).filter("_n > 1 and (_kind = 0 or _a != _b)").select("group")
-    return stored(keys.join(useful, "group").select("group", "node", "alone", "n"), "narrowed")
+                                       F.max("linked").alias("_b")).filter("_n > 1 and (_kind != 1 or _a != _b)").select("group")
+    return keys.join(useful, "group").select("group", "parent", "node")
+
+
+def _centred(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(group, centre, node): groups with their most central node, the first by (alone, node).
+
+    The groups that come from one and have the same centre are one again, smaller by this centre, so groups
+    do not multiply and come to an end.
+    """
+    known = rows.join(nodes.select("node", "alone"), "node")
+    centre = known.groupBy("group").agg(F.min_by("node", F.struct("alone", "node")).alias("centre"))
+    return rows.join(centre, "group").filter("node != centre").select(F.xxhash64("parent", "centre").alias("group"), "centre", "node").distinct()
 
 
 def link_nodes(nodes: DataFrame, similar: int) -> DataFrame:
@@ -359,23 +411,20 @@ def link_nodes(nodes: DataFrame, similar: int) -> DataFrame:
     centre = keys.groupBy("key").agg(
         F.min_by("node", F.struct("alone", "node")).alias("centre"), F.min("n").alias("_least"), F.count(F.lit(1)).alias("_n"))
     keys = stored(keys.join(centre.filter("_n > 1"), "key").filter(_largest_partner(similar) >= F.col("_least")).select(
-        "key", "node", "alone", "n", "centre"), "keys")
-    star = keys.filter("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    edges = stored(_compared(star, nodes, similar).filter("linked").select("a", "b"), "edges")
+        F.col("key").alias("group"), "node", "centre"), "keys")
+    compared = stored(_compared(_pairs(keys), nodes, similar), "compared")
+    edges = compared.filter("linked").select(F.col("centre").alias("a"), F.col("node").alias("b"))
     labels = components(edges)
     # Of keys that hold several components still, those with the same centre are one group.
-    apart = _open(keys.withColumnRenamed("key", "group"), labels).filter("node != centre")
-    rows = stored(apart.select(F.col("centre").alias("group"), "centre", "node", "label", "n", "alone").distinct(), "open")
+    rows = stored(_open(keys, labels).filter("node != centre").select(F.col("centre").alias("group"), "centre", "node", "label").distinct(), "open")
     while rows.limit(1).count():
-        narrowed = _narrowed(rows, nodes, similar)
-        # A narrowed group lacks the centre that it was compared with, so the groups come to an end.
-        centred = stored(_centred(_open(narrowed, labels)), "centred")
-        pairs = centred.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-        more = stored(_compared(pairs, nodes, similar).filter("linked").select("a", "b"), "edges")
+        centred = stored(_centred(_open(_narrowed(rows, compared, nodes, similar), labels).drop("label"), nodes), "centred")
+        compared = stored(_compared(_pairs(centred), nodes, similar), "compared")
+        more = compared.filter("linked").select(F.col("centre").alias("a"), F.col("node").alias("b"))
         if more.limit(1).count():
-            edges = edges.unionByName(more)
+            edges = stored(edges.unionByName(more).distinct(), "all-edges")
             labels = components(edges)
-        rows = stored(_open(centred.drop("label"), labels).select("group", "centre", "node", "label", "n", "alone"), "open")
+        rows = stored(_open(centred, labels), "open")
     return labels
 
 
@@ -401,7 +450,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     sets = stored(_set_rows(by_share, known, plan, shingle, similar), "sets")
     # Equal sets are one node; any of their rows has its shingles.
     nodes = stored(sets.filter("listed is not null").groupBy("node").agg(F.min_by(
-        F.struct("n", "alone", "listed", "n_listed", "order", "enumerate", "scan"), "id").alias("one")).select("node", "one.*"), "nodes")
+        F.struct("n", "alone", "listed", "n_listed", "order", "enumerate", "scan", "freqs"), "id").alias("one")).select("node", "one.*"), "nodes")
     labels = link_nodes(nodes, similar)
     placed = sets.select("id", "n", "node", *sign).join(labels, "node", "left").select(
         "id", "n", *sign, F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("label"))
