@@ -595,3 +595,11 @@ from changes where datetime is not null group by all"""),
 
 # The batches together break what all rows break.
 INGEST["constraint_violations_by_batch"] = INGEST["constraint_violations"]
+
+# Other ways to the same rows.
+LAYOUTS = {
+    "latest_status_from_summaries": API["latest_status"],
+    **{name: GOLD[name.rsplit("_", 1)[0]] for name in (
+        "machine_uptime_7days_clustered", "problematic_machines_30days_clustered", "machine_status_changes_7days_clustered")},
+    "current_machine_status_from_summaries": GOLD["current_machine_status"],
+}

@@ -17,7 +17,7 @@ from millwatch.operators.latest import latest_readings
 from millwatch.plans import floor as floor_views
 from millwatch.plans import gold, kpi, machine, orders, people, tiles
 from millwatch.session import scratch_dir
-from millwatch.sources import floor, tables
+from millwatch.sources import clustered, floor, tables
 from millwatch.sources.change_feed import read_change_stream
 from millwatch.streaming import jobs, stateful
 
@@ -366,6 +366,35 @@ def _work_order_append(spark: SparkSession, sf: str) -> DataFrame:
     return tables.read_stored_work_orders(spark, f"{root}/work_orders").drop("created_date", "batch_id")
 
 
+def _variants(spark: SparkSession, sf: str) -> DataFrame:
+    """Summaries by day and batch, the second batch with readings that come late for days of the first."""
+    path, feed = scratch_dir(spark, "variants"), views.machine_feed(spark, sf)
+    late = F.hash("datetime") % 10 == 0
+    first, second = _arrivals(feed, "datetime")
+    for batch_id, part in enumerate((first.filter(~late), second.unionByName(first.filter(late)))):
+        tables.append_variants(part, path, batch_id)
+    return tables.read_variants(spark, path)
+
+
+def _clustered(plan: Callable[[DataFrame], DataFrame]) -> Query:
+    """A report on neighbouring readings from the history clustered in two runs."""
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        path = scratch_dir(spark, "clustered")
+        table = path.rsplit("/", 1)[1].replace("-", "_")
+        for part in _arrivals(views.machine_feed(spark, sf), "datetime"):
+            clustered.add_days(part, table, path, buckets=16)
+        return plan(machine.clustered_transitions(spark, table, AS_OF))
+    return run
+
+
+LAYOUTS: dict[str, Query] = {
+    "latest_status_from_summaries": lambda spark, sf: floor_views.latest_status_from_variants(_variants(spark, sf)),
+    "current_machine_status_from_summaries": lambda spark, sf: machine.current_status_from_variants(_variants(spark, sf), AS_OF),
+    "machine_uptime_7days_clustered": _clustered(lambda readings: machine.uptime_from_transitions(readings, AS_OF)),
+    "problematic_machines_30days_clustered": _clustered(lambda readings: machine.problems_from_transitions(readings, AS_OF)),
+    "machine_status_changes_7days_clustered": _clustered(lambda readings: machine.changes_from_transitions(readings, AS_OF)),
+}
+
 STREAMS: dict[str, Query] = {
     "change_envelopes": _change_envelopes,
     "snapshot_diff": _snapshot_diff,
@@ -384,13 +413,13 @@ STREAMS: dict[str, Query] = {
 
 QUERIES: dict[str, Query] = {
     **{name: _gold(name) for name in gold.GOLD_TABLES},
-    **SOURCES, **REPORTS, **TILES, **FLOOR, **API, **INGEST, **STREAMS,
+    **SOURCES, **REPORTS, **TILES, **FLOOR, **API, **INGEST, **LAYOUTS, **STREAMS,
     **{f"gold_roundtrip_{name}": _gold_roundtrip(name) for name in gold.GOLD_TABLES},
     "gold_refresh": _gold_refresh,
 }
 
 ORACLE: dict[str, str] = {
-    **oracle.GOLD, **oracle.SOURCES, **oracle.REPORTS, **oracle.TILES, **oracle.FLOOR, **oracle.API, **oracle.INGEST, **oracle.STREAMS,
+    **oracle.GOLD, **oracle.SOURCES, **oracle.REPORTS, **oracle.TILES, **oracle.FLOOR, **oracle.API, **oracle.INGEST, **oracle.LAYOUTS, **oracle.STREAMS,
     **{f"gold_roundtrip_{name}": sql for name, sql in oracle.GOLD.items()},
     "gold_refresh": oracle.GOLD_ROWS,
 }

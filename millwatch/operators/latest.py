@@ -16,14 +16,18 @@ from pyspark.sql import functions as F
 _VARIANT = ["machine_name", "machine_id", "status", "type"]
 
 
-def newest_variants(feed: DataFrame) -> DataFrame:
-    """Per (machine, id, status, type): the newest time, and whether a reading came without one.  Works on a stream as well."""
-    return folded_variants(feed.select(*_VARIANT, F.col("datetime").alias("newest"), F.col("datetime").isNull().alias("undated")))
+def newest_variants(feed: DataFrame, by: list[str] = ()) -> DataFrame:
+    """Per (machine, id, status, type): the newest time, and whether a reading came without one.  Works on a stream as well.
 
+    ``by`` names further columns to tell variants apart.
+    """
+    rows = feed.select(*_VARIANT, F.col("datetime").alias("newest"), F.col("datetime").isNull().alias("undated"), *by)
+    return folded_variants(rows, by)
 
-def folded_variants(variants: DataFrame) -> DataFrame:
+
+def folded_variants(variants: DataFrame, by: list[str] = ()) -> DataFrame:
     """What ``newest_variants`` of all readings behind these variants would give."""
-    return variants.groupBy(*_VARIANT).agg(F.max("newest").alias("newest"), F.max("undated").alias("undated"))
+    return variants.groupBy(*_VARIANT, *by).agg(F.max("newest").alias("newest"), F.max("undated").alias("undated"))
 
 
 def _readings(variants: DataFrame, undated_first: bool) -> DataFrame:

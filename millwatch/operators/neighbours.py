@@ -27,7 +27,14 @@ def with_neighbours(rows: DataFrame, key: str, order: list[str], before: list[st
     columns, before, after = rows.columns, list(before), list(after)
     along = [*order, *[c for c in columns if c not in (*order, key)]]
     counted = rows.filter(F.col(order[0]).isNotNull()).groupBy(*columns).agg(F.count(F.lit(1)).alias("_copies"))
-    placed = in_ranges(counted, [key, *along])
+    return neighbours_in_ranges(in_ranges(counted, [key, *along]), columns, key, along, before, after)
+
+
+def neighbours_in_ranges(placed: DataFrame, columns: list[str], key: str, along: list[str], before: list[str], after: list[str]) -> DataFrame:
+    """The same for counted rows (``_copies``) that are in ranges already.
+
+    Along a key, ranges ascend with ``along``; a range may hold any number of keys.
+    """
     inside = Window.partitionBy(RANGE, key).orderBy(*along)
     sides = [*[F.lag(c).over(inside).alias(f"prev_{c}") for c in before], *[F.lead(c).over(inside).alias(f"next_{c}") for c in after]]
     found = placed.select(*columns, "_copies", RANGE, F.lag(F.lit(True)).over(inside).isNull().alias("_opens"),

@@ -6,12 +6,17 @@ from pyspark.sql import functions as F
 from millwatch import fixed_values as fv
 from millwatch.functions.machines import display_status, machine_icon, machine_type, short_name
 from millwatch.functions.times import iso_text
-from millwatch.operators.latest import latest_readings
+from millwatch.operators.latest import latest_of_variants, latest_readings, newest_variants
 
 
 def latest_status(feed: DataFrame) -> DataFrame:
     """Newest reading of each machine: name, status, type, time."""
-    return latest_readings(feed).select("machine_name", "status", "type", "datetime")
+    return latest_status_from_variants(newest_variants(feed))
+
+
+def latest_status_from_variants(variants: DataFrame) -> DataFrame:
+    """The same from summaries of the history or from the streamed state."""
+    return latest_of_variants(variants).select("machine_name", "status", "type", "datetime")
 
 
 def latest_status_json(feed: DataFrame) -> DataFrame:

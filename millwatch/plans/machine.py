@@ -2,14 +2,15 @@
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millwatch.functions.machines import line_of
 from millwatch.functions.ratios import percent, ratio
 from millwatch.functions.times import MICROS_PER_HOUR, at, day_start, micros_between, since, sum_micros
 from millwatch.operators.latest import latest_status_by_type, newest_variants
-from millwatch.operators.neighbours import with_neighbours
+from millwatch.operators.neighbours import neighbours_in_ranges, with_neighbours
+from millwatch.sources import clustered
 
 READING_ORDER = ["datetime", "machine_id", "status"]
 
@@ -53,6 +54,13 @@ def transitions(feed: DataFrame, as_of: datetime, days: int = 30) -> DataFrame:
     )
 
 
+def clustered_transitions(spark: SparkSession, table: str, as_of: datetime, days: int = 30) -> DataFrame:
+    """The same from the clustered history: the window works in the table's buckets, no row is shuffled below it."""
+    placed = clustered.read_placed(spark, table, as_of, days)
+    columns = ["machine_name", "type", *READING_ORDER]
+    return neighbours_in_ranges(placed, columns, "machine_name", clustered.ALONG, ["datetime", "status"], ["datetime"])
+
+
 def machine_uptime(feed: DataFrame, as_of: datetime, days: int = 7) -> DataFrame:
     """Uptime by machine: each reading lasts until the next one, the last until ``as_of``.
 

@@ -81,6 +81,12 @@ VARIANTS = T.StructType([
     T.StructField("undated", T.BooleanType()),
 ])
 
+# The same by day and batch, as it is written with the history.
+DAY_VARIANTS = T.StructType(VARIANTS.fields + [
+    T.StructField("event_date", T.DateType()),
+    T.StructField("batch_id", T.LongType()),
+])
+
 
 _KINDS = {"string": T.StringType(), "bigint": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(),
           "date": T.DateType(), "timestamp_ntz": T.TimestampNTZType()}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millwatch import schemas
+from millwatch.operators.latest import folded_variants, newest_variants
 from millwatch.session import drop_scratch, exists, subfolders
 
 
@@ -111,6 +112,23 @@ def append_history(readings: DataFrame, path: str, batch_id: int) -> None:
     _append_days(rows, path, "event_date", batch_id)
 
 
+def append_variants(readings: DataFrame, path: str, batch_id: int) -> None:
+    """Add what one batch of readings shows of each variant of a machine, by day: a few rows a machine, however many readings."""
+    rows = readings.withColumn("event_date", F.to_date("datetime"))
+    _append_days(newest_variants(rows, by=["event_date"]), path, "event_date", batch_id)
+
+
+def read_variants(spark: SparkSession, path: str, until: date | None = None) -> DataFrame:
+    """The variants of the whole history, or of its days up to ``until`` and its undated readings, from the summaries alone.
+
+    Late readings are in the summary of their own batch and day, so they fold in like all others.
+    """
+    rows = spark.read.schema(schemas.DAY_VARIANTS).parquet(path)
+    if until is not None:
+        rows = rows.filter((F.col("event_date") <= F.lit(until)) | F.col("event_date").isNull())
+    return folded_variants(rows)
+
+
 def append_work_orders(orders: DataFrame, path: str, batch_id: int) -> None:
     """Add one batch of work orders."""
     rows = orders.select(*schemas.WORK_ORDERS.fieldNames()).withColumn("created_date", F.to_date("created_at"))

@@ -20,7 +20,7 @@ from millwatch.operators.ingest import ingest_work_orders, work_order_id
 from millwatch.operators.latest import folded_variants, latest_of_variants, newest_variants
 from millwatch.plans.floor import live_floor
 from millwatch.sources import changelog, key_index
-from millwatch.sources.tables import DEAD, append_batch, append_history, append_work_orders
+from millwatch.sources.tables import DEAD, append_batch, append_history, append_variants, append_work_orders
 from millwatch.streaming import stateful
 
 # The state's changelog is folded every so many batches.
@@ -36,7 +36,7 @@ def _start(stream: DataFrame, root: str, handle, once: bool, every: str = TRIGGE
 
 
 def follow_changes(messages: DataFrame, root: str, once: bool = False) -> StreamingQuery:
-    """Fan the change feed out: message log with its dead letters, history, and down alerts.
+    """Fan the change feed out: message log with its dead letters, history with its summaries by day, and down alerts.
 
     ``messages`` has the envelope text in ``value``.
     """
@@ -47,6 +47,7 @@ def follow_changes(messages: DataFrame, root: str, once: bool = False) -> Stream
             append_batch(log, f"{root}/messages", batch_id, DEAD)
             readings = readings_of(batch)
             append_history(readings, f"{root}/history", batch_id)
+            append_variants(readings, f"{root}/variants", batch_id)
             alerts = readings.filter(display_status(F.col("status")) == "down")
             append_batch(alerts, f"{root}/down_alerts", batch_id)
         finally:
