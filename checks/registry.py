@@ -16,7 +16,7 @@ from millwatch.operators import changes, constraints, ingest
 from millwatch.operators.latest import latest_readings
 from millwatch.plans import floor as floor_views
 from millwatch.plans import gold, kpi, machine, orders, people, tiles
-from millwatch.session import scratch_dir
+from millwatch.session import exists, scratch_dir
 from millwatch.sources import clustered, floor, tables
 from millwatch.sources.change_feed import read_change_stream
 from millwatch.streaming import jobs, stateful
@@ -67,7 +67,7 @@ _STORED: dict[tuple[str, str, str], str] = {}
 def _tile(name: str, tile: Callable[[DataFrame], DataFrame]) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         key = (spark.sparkContext.applicationId, sf, name)
-        if key not in _STORED:
+        if key not in _STORED or not exists(spark, _STORED[key]):  # scratch may have been cleared in between
             _STORED[key] = scratch_dir(spark, "gold")
             gold.write_gold(_gold(name)(spark, sf), _STORED[key], name)
         return tile(gold.read_gold(spark, _STORED[key], name, "single"))

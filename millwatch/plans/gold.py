@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from millwatch import schemas
 from millwatch.operators.latest import newest_variants
 from millwatch.plans import kpi, machine, orders
-from millwatch.session import stored
+from millwatch.session import scratch_dropped, stored
 
 # Gold table -> the inputs its plan takes before ``as_of``, and the plan.
 GOLD_TABLES: dict[str, tuple[tuple[str, ...], Callable[..., DataFrame]]] = {
@@ -59,19 +59,21 @@ def refresh_gold(
     tables but the current status read that instead of the whole history, and a
     lost executor costs no second shuffle.  ``variants``, the streamed state of the
     same history, spares the current status its scan and gives the same rows.  Refreshes
-    that run at the same time, or fail, leave the published version alone.
+    that run at the same time, or fail, leave the published version alone.  What a refresh stores
+    on the way goes with its end.
     """
     version = uuid.uuid4().hex
-    readings = stored(machine.transitions(feed, as_of), "transitions")
-    tables = {"feed": readings, "work_orders": work_orders}
-    current = newest_variants(feed) if variants is None else variants
-    from_readings = {
-        "current_machine_status": machine.current_status_from_variants(current, as_of),
-        "machine_uptime_7days": machine.uptime_from_transitions(readings, as_of),
-        "problematic_machines_30days": machine.problems_from_transitions(readings, as_of),
-        "machine_status_changes_7days": machine.changes_from_transitions(readings, as_of),
-    }
-    for name, (inputs, plan) in GOLD_TABLES.items():
-        write_gold(from_readings.get(name) or plan(*[tables[i] for i in inputs], as_of), root, name, version)
-    publish(spark, root, version)
+    with scratch_dropped(spark):
+        readings = stored(machine.transitions(feed, as_of), "transitions")
+        tables = {"feed": readings, "work_orders": work_orders}
+        current = newest_variants(feed) if variants is None else variants
+        from_readings = {
+            "current_machine_status": machine.current_status_from_variants(current, as_of),
+            "machine_uptime_7days": machine.uptime_from_transitions(readings, as_of),
+            "problematic_machines_30days": machine.problems_from_transitions(readings, as_of),
+            "machine_status_changes_7days": machine.changes_from_transitions(readings, as_of),
+        }
+        for name, (inputs, plan) in GOLD_TABLES.items():
+            write_gold(from_readings.get(name) or plan(*[tables[i] for i in inputs], as_of), root, name, version)
+        publish(spark, root, version)
     return version

@@ -1,10 +1,14 @@
 """Session defaults and the shared scratch folder."""
 
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_GIVEN: list[str] = []
+# The scratch folders given out, with the thread that asked.
+_GIVEN: list[tuple[int, str]] = []
 _DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -32,14 +36,26 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
     path = f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-    _GIVEN.append(path)
+    _GIVEN.append((threading.get_ident(), path))
     return path
 
 
+@contextmanager
+def scratch_dropped(spark: SparkSession) -> Iterator[None]:
+    """Remove, at the end, the scratch folders that this thread was given inside: for work whose results are written by then."""
+    before = set(_GIVEN)
+    try:
+        yield
+    finally:
+        for given in [g for g in _GIVEN if g not in before and g[0] == threading.get_ident()]:
+            _GIVEN.remove(given)
+            drop_scratch(spark, given[1])
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Remove all scratch folders given out so far; no table that reads them may be used again."""
     while _GIVEN:
-        drop_scratch(spark, _GIVEN.pop())
+        drop_scratch(spark, _GIVEN.pop()[1])
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:

@@ -2,13 +2,13 @@
 
 import pytest
 
-from checks import views
+from checks import registry, views
 from checks.compare import connect, difference
 from checks.oracle import GOLD
 from conftest import SF
 from millwatch.operators.latest import folded_variants, newest_variants
 from millwatch.plans import gold
-from millwatch.session import scratch_dir
+from millwatch.session import drop_scratch, scratch_dir, subfolders
 
 
 @pytest.fixture(scope="module")
@@ -58,3 +58,20 @@ def test_a_failed_refresh_leaves_the_published_version(spark, root, feed_of, ord
 def test_unknown_table(spark, root):
     with pytest.raises(KeyError):
         gold.read_gold(spark, root, "machine_uptime_days")
+
+
+def test_a_refresh_leaves_no_scratch(spark, root, feed_of, orders_of):
+    feed = feed_of((1, "A_01_01", "down", "valve", "2024-01-30 10:00"), (1, "A_01_01", "operational", "valve", "2024-01-30 11:00"))
+    folder = scratch_dir(spark, "gold")
+    before = subfolders(spark, spark.conf.get("spark.checkpoint.dir"))
+    gold.refresh_gold(spark, feed, orders_of({}), views.AS_OF, folder)
+    assert set(subfolders(spark, spark.conf.get("spark.checkpoint.dir"))) - {folder.rsplit("/", 1)[1]} == set(before)
+    assert gold.read_gold(spark, folder, "machine_uptime_7days").count() == 1
+
+
+def test_tiles_survive_cleared_scratch(spark):
+    tile = registry.TILES["tile_machine_count"]
+    want = tile(spark, SF).collect()
+    for path in registry._STORED.values():
+        drop_scratch(spark, path)
+    assert tile(spark, SF).collect() == want
