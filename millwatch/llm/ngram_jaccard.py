@@ -26,6 +26,12 @@ sets are all too large for that.  And what two sets of a key share lies within w
 shares with the centre, which has been counted, or beside it.  Where the first part alone
 is too little for a link, both sets must hold the same shingle beside the centre, and
 only sets that do are paired: near copies that differ in places of their own are not.
+Each set also carries ``PARITY`` bits, each the parity of how many of its shingles fall
+there.  Two sets differ in at least as many shingles as their bits differ, so the join
+that pairs sets leaves out those whose bits differ in too many for a link: of texts of
+one template with scattered edits it makes next to no pair that does not link.  The
+bits are compared within the join; sets much larger than ``PARITY`` fill them and are
+compared in full instead.
 
 Results for odd rows: NULL texts and texts without words have an empty set and link
 with nothing, each its own component; documents without an id come after all others
@@ -47,9 +53,14 @@ from millwatch.llm.substring_dedup import _batch
 from millwatch.session import stored
 
 SHINGLE, SIMILAR = 4, 85
+#: Words of 64 parity bits of a set.
+PARITY_WORDS = 8
+PARITY = 64 * PARITY_WORDS
+_PARITY = [f"parity_{i}" for i in range(PARITY_WORDS)]
 _SENT = "bucket int, n int, hashes binary, shares binary, counts binary"
 _KNOWN = "share int, n int, hashes binary, counts binary"
-_SETS = "id bigint, n bigint, node bigint, alone int, listed binary, n_listed int, order binary, enumerate double, scan double"
+_SETS = ("id bigint, n bigint, node bigint, alone int, listed binary, n_listed int, order binary, enumerate double, scan double, "
+         + ", ".join(f"{p} bigint" for p in _PARITY))
 
 
 class Sets(NamedTuple):
@@ -79,6 +90,12 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int) -> Sets:
     return Sets(row, value, np.bincount(row, minlength=n))
 
 
+def parities(hashes: np.ndarray) -> list[int]:
+    """``PARITY`` bits of a set: bit i is set where an odd number of hashes fall on i."""
+    odd = np.bincount((mixed(hashes) % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
+
+
 def needed(n: np.ndarray, similar: int) -> np.ndarray:
     """The smallest overlap of a set of n with any set it links with."""
     return -(-n * similar // 100)
@@ -173,16 +190,17 @@ def _set_rows(docs: DataFrame, known: DataFrame, plan: ex.Plan, shingle: int, si
                 for k in range(b - a):
                     row = (int(ids[a + k]), int(sets.size[k]), int(nodes[k]), int(alone[k]))
                     if not sets.size[k] or alone[k] > spare[k]:  # the prefix for k = 1 is full of shingles without a partner
-                        out.append((*row, None, 0, None, 0.0, 0.0))
+                        out.append((*row, None, 0, None, 0.0, 0.0, *[None] * PARITY_WORDS))
                         continue
                     i = bounds[k] + np.flatnonzero(shared[bounds[k]:bounds[k + 1]])
                     f = frequency[i]
                     rank = np.lexsort((value[i], f))[:spare[k] + 2 - alone[k]]
                     m = len(rank)
                     out.append((*row, ex.pack_sorted(np.sort(value[i]), 8), len(i), ex.pack(np.argsort(np.argsort(value[i]))[rank].astype(np.uint64), 4),
-                                m * (m - 1) / 2, float(f[rank[:spare[k] + 1 - alone[k]]].sum())))
-        columns = list(zip(*out)) if out else [[]] * 9
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.float64(), pa.float64()]
+                                m * (m - 1) / 2, float(f[rank[:spare[k] + 1 - alone[k]]].sum()), *parities(value[bounds[k]:bounds[k + 1]])))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.float64(), pa.float64(),
+                 *[pa.int64()] * PARITY_WORDS]
+        columns = list(zip(*out)) if out else [[]] * len(kinds)
         names = [c.split()[0] for c in _SETS.split(", ")]
         out = pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
         return out.append_column("sign", pa.chunked_array(signs, pa.int64())) if signed else out
@@ -290,28 +308,32 @@ def _labelled(keys: DataFrame, labels: DataFrame) -> DataFrame:
     return found.join(mixed_, "key")
 
 
-def _open_pairs(keys: DataFrame, compared: DataFrame, similar: int) -> DataFrame:
+def _open_pairs(keys: DataFrame, compared: DataFrame, nodes: DataFrame, similar: int) -> DataFrame:
     """(a, b): pairs of different components that share a key and may link.
 
     Within a key, what each set shares with the centre bounds the overlap, but for
     shingles that both hold beside the centre.  So pairs for which that bound is
     enough come from the keys, all others from the shingles beside their centre.
+    Either way the parity bits of the two sets must be as close as a link needs.
     """
     seen = compared.select(F.col("a").alias("centre"), F.col("b").alias("node"), "both", "others")
-    found = stored(keys.join(seen.drop("others"), ["centre", "node"], "left").select(
-        "key", "centre", "node", "label", "n", F.coalesce("both", F.col("n") - F.col("alone")).alias("within")), "open-keys")
+    found = stored(keys.join(seen.drop("others"), ["centre", "node"], "left").join(nodes.select("node", *_PARITY), "node").select(
+        "key", "centre", "node", "label", "n", F.coalesce("both", F.col("n") - F.col("alone")).alias("within"), *_PARITY), "open-keys")
+    differ = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"_{p}"))) for p in _PARITY), F.lit(0))
 
     def paired(rows: DataFrame, on: list[str], most: Column) -> DataFrame:
         other = rows.select(*[F.col(c).alias(f"_{c}") for c in rows.columns])
-        apart = (F.col("label") < F.col("_label")) & (100 * most >= similar * (F.col("n") + F.col("_n") - most))
+        both = F.col("n") + F.col("_n")
+        apart = (F.col("label") < F.col("_label")) & (100 * most >= similar * (both - most))
+        apart = apart & ((100 + similar) * differ <= (100 - similar) * both)
         for c in on:
             apart = apart & (F.col(c) == F.col(f"_{c}"))
         return rows.join(other, apart).select(F.col("node").alias("a"), F.col("_node").alias("b"))
 
     within = F.least("within", "_within")
     inside = paired(found.drop("centre"), ["key"], within)
-    members = found.select("centre", "node", "label", "n", "within").distinct().join(seen.drop("both"), ["centre", "node"])
-    beside = members.select("centre", "node", "label", "n", "within", F.size("others").alias("others"), F.explode("others").alias("shingle"))
+    members = found.drop("key").distinct().join(seen.drop("both"), ["centre", "node"])
+    beside = members.select(*[c for c in found.columns if c != "key"], F.size("others").alias("others"), F.explode("others").alias("shingle"))
     outside = paired(beside, ["centre", "shingle"], within + F.least("others", "_others"))
     return inside.unionByName(outside).distinct()
 
@@ -328,7 +350,7 @@ def link_nodes(nodes: DataFrame, similar: int) -> DataFrame:
     compared = stored(_compared(star, nodes, similar), "compared")
     edges = compared.filter("linked").select("a", "b")
     labels = components(edges)
-    pairs = _open_pairs(_labelled(keys, labels), compared, similar)
+    pairs = _open_pairs(_labelled(keys, labels), compared, nodes, similar)
     tested = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
     more = stored(_compared(pairs.join(tested, ["a", "b"], "left_anti"), nodes, similar).filter("linked").select("a", "b"), "edges")
     return components(edges.unionByName(more)) if more.limit(1).count() else labels
@@ -356,7 +378,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     sets = stored(_set_rows(by_share, known, plan, shingle, similar), "sets")
     # Equal sets are one node; any of their rows has its shingles.
     nodes = stored(sets.filter("listed is not null").groupBy("node").agg(F.min_by(
-        F.struct("n", "alone", "listed", "n_listed", "order", "enumerate", "scan"), "id").alias("one")).select("node", "one.*"), "nodes")
+        F.struct("n", "alone", "listed", "n_listed", "order", "enumerate", "scan", *_PARITY), "id").alias("one")).select("node", "one.*"), "nodes")
     labels = link_nodes(nodes, similar)
     placed = sets.select("id", "n", "node", *sign).join(labels, "node", "left").select(
         "id", "n", *sign, F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("label"))

@@ -3,6 +3,7 @@
 import random
 
 import brute
+import numpy as np
 import pytest
 
 from millwatch.llm import ngram_jaccard
@@ -31,3 +32,30 @@ def test_links_of_templates(spark, shingle, similar, edits, vocabulary, length):
     rows += [(400 + i, " ".join(t.split()[:-i])) for i, t in rows[1:30]]
     got = {r[0]: tuple(r)[1:] for r in ngram_jaccard.jaccard_components(spark.createDataFrame(rows, DOCS), shingle=shingle, similar=similar).collect()}
     assert got == brute.components(rows, similar, shingle)
+
+
+def test_pairs_do_not_grow_with_the_square(spark, monkeypatch):
+    """Texts of one template: candidates beside the comparisons with the centre stay below one a text."""
+    made, open_pairs = [], ngram_jaccard._open_pairs
+
+    def counted(*args):
+        pairs = open_pairs(*args)
+        made.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(ngram_jaccard, "_open_pairs", counted)
+    for n in (200, 400, 800):
+        rows = template_texts(n)
+        got = ngram_jaccard.jaccard_components(spark.createDataFrame(rows, DOCS), shingle=5, similar=80)
+        assert {r[0]: tuple(r)[1:] for r in got.collect()} == brute.components(rows, 80, 5)
+        assert made[-1] <= n // 10
+
+
+def test_parity_bits_never_exceed_the_difference():
+    rnd = random.Random(5)
+    for size in (4, 20, 300, 5000):
+        a = {rnd.getrandbits(64) for _ in range(size)}
+        b = set(list(a)[size // 3:]) | {rnd.getrandbits(64) for _ in range(size // 4)}
+        bits = [ngram_jaccard.parities(np.array(sorted(s), np.uint64)) for s in (a, b)]
+        differ = sum(bin((x ^ y) & (2 ** 64 - 1)).count("1") for x, y in zip(*bits))
+        assert 0 < differ <= len(a ^ b)
