@@ -15,7 +15,7 @@ from millwatch.functions.times import at, day_start
 from millwatch.operators import changes, constraints, ingest
 from millwatch.operators.latest import latest_readings
 from millwatch.plans import floor as floor_views
-from millwatch.plans import gold, kpi, machine, orders, people, tiles
+from millwatch.plans import gold, increments, kpi, machine, orders, people, tiles
 from millwatch.session import exists, scratch_dir
 from millwatch.sources import clustered, floor, tables
 from millwatch.sources.change_feed import read_change_stream
@@ -78,6 +78,22 @@ def _gold_refresh(spark: SparkSession, sf: str) -> DataFrame:
     """Refresh all gold tables together; every row of each, as text."""
     root = scratch_dir(spark, "gold")
     gold.refresh_gold(spark, views.machine_feed(spark, sf), views.work_orders(spark, sf), AS_OF, root)
+    return _gold_rows(spark, root)
+
+
+def _gold_refresh_incremental(spark: SparkSession, sf: str) -> DataFrame:
+    """Two batches of history, the second with readings that come late for days of the first, and a refresh after each."""
+    root, lake = scratch_dir(spark, "gold"), scratch_dir(spark, "lake")
+    for batch_id, part in enumerate(_late_parts(views.machine_feed(spark, sf))):
+        tables.append_history(part, f"{lake}/history", batch_id)
+        tables.append_variants(part, f"{lake}/variants", batch_id)
+        increments.refresh_gold_incremental(
+            spark, tables.read_history(spark, f"{lake}/history"), views.work_orders(spark, sf), AS_OF, root, f"{lake}/parts",
+            tables.read_variants(spark, f"{lake}/variants"))
+    return _gold_rows(spark, root)
+
+
+def _gold_rows(spark: SparkSession, root: str) -> DataFrame:
     texts = [
         gold.read_gold(spark, root, name).select(F.lit(name).alias("table_name"), F.expr(views.row_text(schema)).alias("row"))
         for name, schema in schemas.GOLD.items()
@@ -366,12 +382,17 @@ def _work_order_append(spark: SparkSession, sf: str) -> DataFrame:
     return tables.read_stored_work_orders(spark, f"{root}/work_orders").drop("created_date", "batch_id")
 
 
-def _variants(spark: SparkSession, sf: str) -> DataFrame:
-    """Summaries by day and batch, the second batch with readings that come late for days of the first."""
-    path, feed = scratch_dir(spark, "variants"), views.machine_feed(spark, sf)
+def _late_parts(feed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two arrivals; a tenth of the first, undated readings apart, comes with the second."""
     late = F.hash("datetime") % 10 == 0
     first, second = _arrivals(feed, "datetime")
-    for batch_id, part in enumerate((first.filter(~late), second.unionByName(first.filter(late)))):
+    return first.filter(~late), second.unionByName(first.filter(late))
+
+
+def _variants(spark: SparkSession, sf: str) -> DataFrame:
+    """Summaries by day and batch, the second batch with readings that come late for days of the first."""
+    path = scratch_dir(spark, "variants")
+    for batch_id, part in enumerate(_late_parts(views.machine_feed(spark, sf))):
         tables.append_variants(part, path, batch_id)
     return tables.read_variants(spark, path)
 
@@ -416,10 +437,12 @@ QUERIES: dict[str, Query] = {
     **SOURCES, **REPORTS, **TILES, **FLOOR, **API, **INGEST, **LAYOUTS, **STREAMS,
     **{f"gold_roundtrip_{name}": _gold_roundtrip(name) for name in gold.GOLD_TABLES},
     "gold_refresh": _gold_refresh,
+    "gold_refresh_incremental": _gold_refresh_incremental,
 }
 
 ORACLE: dict[str, str] = {
     **oracle.GOLD, **oracle.SOURCES, **oracle.REPORTS, **oracle.TILES, **oracle.FLOOR, **oracle.API, **oracle.INGEST, **oracle.LAYOUTS, **oracle.STREAMS,
     **{f"gold_roundtrip_{name}": sql for name, sql in oracle.GOLD.items()},
     "gold_refresh": oracle.GOLD_ROWS,
+    "gold_refresh_incremental": oracle.GOLD_ROWS,
 }

@@ -73,7 +73,12 @@ def refresh_gold(
             "problematic_machines_30days": machine.problems_from_transitions(readings, as_of),
             "machine_status_changes_7days": machine.changes_from_transitions(readings, as_of),
         }
-        for name, (inputs, plan) in GOLD_TABLES.items():
-            write_gold(from_readings.get(name) or plan(*[tables[i] for i in inputs], as_of), root, name, version)
-        publish(spark, root, version)
+        write_version(spark, tables, from_readings, as_of, root, version)
     return version
+
+
+def write_version(spark: SparkSession, tables: dict[str, DataFrame], given: dict[str, DataFrame], as_of: datetime, root: str, version: str) -> None:
+    """Write all tables, those of ``given`` as they are and the others from ``tables``, and publish them together."""
+    for name, (inputs, plan) in GOLD_TABLES.items():
+        write_gold(given[name] if name in given else plan(*[tables[i] for i in inputs], as_of), root, name, version)
+    publish(spark, root, version)

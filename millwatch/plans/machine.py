@@ -75,18 +75,22 @@ def machine_uptime(feed: DataFrame, as_of: datetime, days: int = 7) -> DataFrame
 
 def uptime_from_transitions(readings: DataFrame, as_of: datetime, days: int = 7) -> DataFrame:
     lasted = micros_between(F.col("datetime"), F.coalesce(F.col("next_datetime"), at(as_of)))
-    return (
+    return uptime_of_sums(
         since(readings, "datetime", as_of, days)
         .select("machine_name", "type", "status", lasted.alias("lasted"))
         .groupBy("machine_name", "type")
-        .agg(sum_micros("if(status = 'operational', lasted, 0)").alias("running"), sum_micros("lasted").alias("total"))
-        .select(
-            _line(), "machine_name", "type",
-            percent("running", "total").alias("uptime_percentage"),
-            ratio("running", MICROS_PER_HOUR).alias("operational_hours"),
-            ratio("(total - running)", MICROS_PER_HOUR).alias("downtime_hours"),
-            at(as_of).alias("last_updated"),
-        )
+        .agg(sum_micros("if(status = 'operational', lasted, 0)").alias("running"), sum_micros("lasted").alias("total")),
+        as_of)
+
+
+def uptime_of_sums(sums: DataFrame, as_of: datetime) -> DataFrame:
+    """The report from the microseconds ``running`` and ``total`` by machine and type."""
+    return sums.select(
+        _line(), "machine_name", "type",
+        percent("running", "total").alias("uptime_percentage"),
+        ratio("running", MICROS_PER_HOUR).alias("operational_hours"),
+        ratio("(total - running)", MICROS_PER_HOUR).alias("downtime_hours"),
+        at(as_of).alias("last_updated"),
     )
 
 
@@ -110,25 +114,36 @@ def problems_from_transitions(readings: DataFrame, as_of: datetime) -> DataFrame
             F.min("datetime").alias("first_incident"),
             F.max("datetime").alias("last_incident"),
         )
-        .select(_line(), "machine_name", "type", "downtime_incidents", "days_with_issues",
-                "first_incident", "last_incident", at(as_of).alias("last_updated"))
+        .select(*problem_columns(as_of))
     )
 
 
+def problem_columns(as_of: datetime) -> list:
+    return [_line(), "machine_name", "type", "downtime_incidents", "days_with_issues", "first_incident", "last_incident",
+            at(as_of).alias("last_updated")]
+
+
 def hourly_status_patterns(feed: DataFrame, as_of: datetime, days: int = 30) -> DataFrame:
     """Readings by hour of the day, with the share of each status."""
-    counts = (
-        since(feed, "datetime", as_of, days)
-        .groupBy(F.hour("datetime").alias("hour_of_day"))
-        .agg(
-            _count_status("operational").alias("operational_count"),
-            _count_status("down").alias("down_count"),
-            _count_status("warning").alias("warning_count"),
-            F.count(F.lit(1)).alias("total_readings"),
-        )
+    return patterns_of_counts(counts_by_hour(since(feed, "datetime", as_of, days)), as_of)
+
+
+HOUR_COUNTS = ["operational_count", "down_count", "warning_count", "total_readings"]
+
+
+def counts_by_hour(readings: DataFrame, *by: str) -> DataFrame:
+    return readings.groupBy(*by, F.hour("datetime").alias("hour_of_day")).agg(
+        _count_status("operational").alias("operational_count"),
+        _count_status("down").alias("down_count"),
+        _count_status("warning").alias("warning_count"),
+        F.count(F.lit(1)).alias("total_readings"),
     )
+
+
+def patterns_of_counts(counts: DataFrame, as_of: datetime) -> DataFrame:
+    """The report from the counts by hour of the day."""
     return counts.select(
-        "*",
+        "hour_of_day", *HOUR_COUNTS,
         percent("down_count", "total_readings").alias("downtime_percentage"),
         percent("operational_count", "total_readings").alias("uptime_percentage"),
         percent("warning_count", "total_readings").alias("warning_percentage"),

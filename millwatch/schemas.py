@@ -123,3 +123,14 @@ TRANSITIONS = T.StructType(FEED.fields + [
 
 HOURS = T.StructType([T.StructField("hour", T.TimestampNTZType()), *[
     T.StructField(c, T.LongType()) for c in ("operational_count", "down_count", "warning_count", "total_readings")]])
+
+# What the incremental refresh keeps of a day.
+_EDGE = "struct<datetime: timestamp_ntz, type: string, status: string, there: boolean>"
+DAY_PARTS = {
+    "hours": "hour_of_day int, operational_count bigint, down_count bigint, warning_count bigint, total_readings bigint, event_date date",
+    "machines": "machine_name string, type string, running decimal(38,0), total decimal(38,0), incidents bigint, "
+                "first_incident timestamp_ntz, last_incident timestamp_ntz, event_date date",
+    "edges": f"machine_name string, first_reading {_EDGE}, last_reading {_EDGE}, event_date date",
+    "changes": "machine_name string, type string, datetime timestamp_ntz, status string, prev_datetime timestamp_ntz, "
+               "prev_status string, event_date date",
+}
