@@ -12,11 +12,13 @@ in between.  All but the last return the columns of ``documents``.
    result with 0 taken where the budget of their source leaves them out.
 
 A table without any of the columns ``lang``, ``source`` or ``n_chars`` is not accepted;
-extra columns pass through the first four stages.  NULL and empty texts are kept by
+extra columns pass through the first four stages unchanged, whatever their names: they
+travel in one struct that no stage looks into.  NULL and empty texts are kept by
 all stages: they are not toxic, have no lines, no copies and no test passages.
 """
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +29,26 @@ from millwatch.session import scratch_dir
 #: Near copies of the pipeline: words a shingle, and the percentage of shingles in common.
 SHINGLE, SIMILAR = 5, 80
 
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+_EXTRA = "extra_columns"
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def passing_extras(stage: Stage) -> Stage:
+    """The stage, for tables with columns of any name beside those of ``documents``."""
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = docs.columns
+        if set(names) <= set(COLUMNS):
+            return stage(spark, docs, sf_dir)
+        plain = [c if c in COLUMNS else f"{_EXTRA}_{i}" for i, c in enumerate(names)]
+        extra = [c for c in plain if c not in COLUMNS]
+        out = stage(spark, docs.toDF(*plain).select(*COLUMNS, F.struct(*extra).alias(_EXTRA)), sf_dir)
+        return out.select(*[c if c in COLUMNS else F.col(_EXTRA)[c] for c in plain]).toDF(*names)
+    return run
 
+
+@passing_extras
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row is scored where it is: no join, no shuffle."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -36,6 +57,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.filter(F.col("score") < toxicity.PREDICT_FROM).select(*docs.columns)
 
 
+@passing_extras
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(docs)
     changed = F.col("n_removed") > 0
@@ -43,6 +65,7 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
         "n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
+@passing_extras
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the rows whose id is their component's, and of those without any id the text with the smallest signature.
 
@@ -56,6 +79,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return docs.join(gone, same, "left_anti").select(*docs.columns)
 
 
+@passing_extras
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontamination.find_contamination(docs, items).filter(~F.col("contaminated")).select(*docs.columns)
@@ -65,7 +89,6 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
-Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 STAGES: list[tuple[str, Stage]] = [
     ("toxicity", drop_toxic),
     ("line dedup", drop_boilerplate),

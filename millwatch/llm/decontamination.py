@@ -11,13 +11,15 @@ Results for odd rows: a NULL or empty document has no words and no hits; an item
 without words (NULL, empty) occurs nowhere; items without an id count for hit words but
 are not listed; items with equal ids are one item; documents are told apart by id and
 text, so repeated rows all come back with equal results; empty tables give no hits, or
-no rows.
+no rows.  Texts of any length are read whole; equally rare terms follow their place in
+the phrase.  Other columns pass unchanged; one that has the name of a result comes back as
+``<name>_of_table``.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millwatch.llm.text import plain_words
+from millwatch.llm.text import plain_words, put_back, set_apart
 from millwatch.session import stored
 
 WINDOW = 10
@@ -118,7 +120,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     grouped = candidates(postings, anchors).join(listed, "phrase").groupBy(
         F.col("doc").alias("_doc"), F.col("text_hash").alias("_hash")).agg(
         F.collect_set(F.struct("start", "phrase", "of")).alias("_found"))
-    out = docs.withColumn("_key", document_key(text)).join(
+    out = set_apart(docs, id_col, text).withColumn("_key", document_key(text)).join(
         grouped, F.col(id_col).eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_hash")), "left")
     out = out.withColumn("_words", F.when(F.col("_found").isNotNull(), plain_words(F.col(text))))
     length = lambda c: F.size(F.split(c["phrase"], " "))
@@ -128,10 +130,11 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     hit = F.size(F.array_distinct(F.flatten(F.transform("_true", lambda c: F.sequence(
         c["start"], c["start"] + length(c) - 1)))))
     items = F.array_sort(F.array_distinct(F.flatten(F.transform("_true", lambda c: c["of"]))))
-    return out.withColumns({
+    out = out.withColumns({
         "n_words": F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(_WORD)).cast("long"),
         "n_hit": F.when(F.size("_true") > 0, hit).otherwise(0).cast("long"),
         "items": F.coalesce(items, F.array().cast("array<string>")),
     }).withColumns({
         "n_items": F.size("items").cast("long"), "contaminated": F.col("n_hit") > 0,
-    }).drop("_doc", "_hash", "_key", "_found", "_words", "_true")
+    })
+    return put_back(out, docs.columns, [id_col, text], ["n_words", "n_hit", "items", "n_items", "contaminated"])

@@ -10,12 +10,15 @@ disappears from the corpus altogether; all others lose it.
 Results for odd rows: a NULL or empty text has no lines and stays as it is; blank
 lines are never removed nor counted; a NULL site counts as one more site; a line
 that only documents without an id carry stays; rows that share an id lose the same
-lines; an empty table gives an empty result.  Other columns pass unchanged.
+lines; an empty table gives an empty result; texts of any length are read whole.  Other
+columns pass unchanged; one named ``n_lines`` or ``n_removed`` comes back as ``<name>_of_table``.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millwatch.llm.text import put_back, set_apart
+
 #: The sketch has 2 ** LG_K registers; three times its relative error bounds "near the threshold".
 LG_K = 12
 NEAR = 3 * 1.04 / 2 ** (LG_K / 2)
@@ -60,12 +63,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sit
     owned = lines.join(boilerplate(lines, min_sites), "line").filter(~F.col("doc").eqNullSafe(F.col("owner")))
     # A document's own set of lines: no larger than the document.
     drop = owned.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("line").alias("_drop"))
-    out = docs.join(drop, F.col(id_col).eqNullSafe(F.col("_doc")), "left").withColumn("_lines", _lines(F.col(text)))
+    out = set_apart(docs, id_col, text, site).join(drop, F.col(id_col).eqNullSafe(F.col("_doc")), "left").withColumn("_lines", _lines(F.col(text)))
     kept = F.filter("_lines", lambda line: ~(_has_word(line) & F.array_contains("_drop", _line(line))))
     words = lambda lines: F.size(F.filter(lines, _has_word)).cast("long")
     out = out.withColumn("_kept", F.when(F.col("_drop").isNotNull(), kept).otherwise(F.col("_lines")))
-    return out.withColumns({
+    out = out.withColumns({
         "n_lines": words("_lines"),
         "n_removed": (F.size("_lines") - F.size("_kept")).cast("long"),
         text: F.when(F.col("_drop").isNotNull(), F.array_join("_kept", "\n")).otherwise(F.col(text)),
-    }).drop("_doc", "_drop", "_lines", "_kept")
+    })
+    return put_back(out, docs.columns, [id_col, text, site], ["n_lines", "n_removed"])
