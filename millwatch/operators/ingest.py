@@ -74,13 +74,16 @@ def ingest_work_orders(requests: DataFrame, as_of: datetime, existing: DataFrame
     good, bad = checked.filter("error is null"), checked.filter("error is not null")
     # Which text of an id is the first is an aggregate, so an id with very many texts is no task of its own.
     first = good.groupBy(F.col("id").alias("_id")).agg(F.min("raw").alias("_first"))
-    good = good.join(first, F.col("id") == F.col("_id"))
+    # Both sides hold a row per request.  The planner takes the parsed rows for a few bytes (a generator counts for
+    # nothing in its estimate) and would broadcast them, which adaptive execution does not take back.
+    good = good.join(first.hint("merge"), F.col("id") == F.col("_id"))
     if existing is not None:
         known = existing.select(F.col("id").alias("_known")).distinct()
         good = good.join(known, F.col("id") == F.col("_known"), "left")
     else:
         good = good.withColumn("_known", F.lit(None).cast("string"))
-    new = F.col("_known").isNull() & (F.col("raw") == F.col("_first"))
+    # Not ``==``, which would become a join key: ids alone deal both sides out as ``first`` already is.
+    new = F.col("_known").isNull() & (F.col("raw") <= F.col("_first"))
     now = at(as_of)
     accepted = good.filter(new).select(
         "id", *row, now.alias("timestamp"), now.alias("created_at"), F.lit(fv.DEFAULT_ORDER_STATUS).alias("status"))

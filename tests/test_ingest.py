@@ -75,6 +75,19 @@ def test_repeated_ids_are_rejected(spark):
     assert again.count() == 0 and refused.count() == 6
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("part", ["accepted"])
+def test_requests_are_not_broadcast(spark, part):
+    """Both sides of the join on ids grow with the requests, whatever the planner makes of the parsed rows' size."""
+    requests = spark.createDataFrame([(1, "{%s}" % GOOD)], "request_key bigint, raw string")
+    accepted, rejected = ingest_work_orders(requests, NOW)
+    plan = _plan({"accepted": accepted, "rejected": rejected}[part])
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_accepted_and_rejected_are_all_requests(spark):
     raws = [*CASES, "{%s}" % GOOD]
     requests = spark.createDataFrame(list(enumerate(raws)), "request_key bigint, raw string")
