@@ -79,7 +79,7 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("part", ["accepted"])
+@pytest.mark.parametrize("part", ["accepted", "rejected"])
 def test_requests_are_not_broadcast(spark, part):
     """Both sides of the join on ids grow with the requests, whatever the planner makes of the parsed rows' size."""
     requests = spark.createDataFrame([(1, "{%s}" % GOOD)], "request_key bigint, raw string")
