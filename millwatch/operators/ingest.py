@@ -79,7 +79,7 @@ def ingest_work_orders(requests: DataFrame, as_of: datetime, existing: DataFrame
     good = good.join(first.hint("merge"), F.col("id") == F.col("_id"))
     if existing is not None:
         known = existing.select(F.col("id").alias("_known")).distinct()
-        good = good.join(known, F.col("id") == F.col("_known"), "left")
+        good = good.join(known.hint("merge"), F.col("id") == F.col("_known"), "left")
     else:
         good = good.withColumn("_known", F.lit(None).cast("string"))
     # Not ``==``, which would become a join key: ids alone deal both sides out as ``first`` already is.

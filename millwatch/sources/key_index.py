@@ -68,7 +68,8 @@ def may_hold(keys: DataFrame, path: str, batch_id: int) -> DataFrame:
     asked = _placed(keys.select("key"))
     filters = _before(keys.sparkSession, f"{path}/filters", batch_id, "segment int, bits binary", _touched(asked)) \
         .groupBy("bucket", "segment").agg(F.bitmap_or_agg("bits").alias("bits"))
-    tested = asked.withColumns({f"_bit{s}": _bits(s) for s in _SEEDS}).join(filters, ["bucket", "segment"])
+    # Bitmaps are large for their number: all of them, broadcast, are over 100 MB of the driver.
+    tested = asked.withColumns({f"_bit{s}": _bits(s) for s in _SEEDS}).join(filters.hint("merge"), ["bucket", "segment"])
     for seed in _SEEDS:
         tested = tested.filter(_is_set(seed))
     return tested.select("key", "bucket")

@@ -88,6 +88,14 @@ def test_requests_are_not_broadcast(spark, part):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_known_ids_are_not_broadcast(spark):
+    """Known ids that come from parsed requests are as many as those, and taken for as small."""
+    requests = spark.createDataFrame([(1, "{%s}" % GOOD)], "request_key bigint, raw string")
+    accepted, _ = ingest_work_orders(requests, NOW)
+    again, refused = ingest_work_orders(requests, NOW, existing=accepted)
+    assert "Broadcast" not in _plan(again) and "Broadcast" not in _plan(refused)
+
+
 def test_accepted_and_rejected_are_all_requests(spark):
     raws = [*CASES, "{%s}" % GOOD]
     requests = spark.createDataFrame(list(enumerate(raws)), "request_key bigint, raw string")
