@@ -1,10 +1,12 @@
-"""Streams whose memory is the engine's own state store, by machine.
+"""Streams whose memory is the engine's own state store, by buckets of machines.
 
 The state lies in the streaming checkpoint, versioned by batch: a restart or a lost
 executor goes on from the last committed one, and nothing is stored beside it.  Outputs
 go through ``append_batch`` like those of the other jobs, so a replayed batch replaces
-its own rows.  A machine's rows of one trigger are put in order by one task; the source's
-admission limit (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``) bounds them.
+its own rows.  A call of Python and its state serve all machines of one of ``BUCKETS`` buckets:
+a call costs some milliseconds however few rows it gets, and a machine has few rows a trigger.
+A bucket's rows of one trigger are put in order by one task; the source's admission limit
+(``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``) bounds them.
 """
 
 import json
@@ -19,6 +21,8 @@ from millwatch import schemas
 from millwatch.functions.times import micros
 from millwatch.operators.changes import NO_KEY, envelopes_of, image
 
+#: Calls a trigger at most; a checkpoint belongs to the number it began with.
+BUCKETS = 1024
 _ORDERED = "machine_id int, machine_name string, type string, status string, at bigint, prev_status string, prev_at bigint"
 
 
@@ -26,6 +30,10 @@ def _key() -> Column:
     return F.coalesce("machine_name", F.lit(NO_KEY)).alias("key")
 
 
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int")
+
+
 # -- images before a change -----------------------------------------------------------------------
 
 
@@ -64,22 +72,22 @@ def envelopes_of_stream(changes: DataFrame) -> DataFrame:
 
 
 def _in_order(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Readings up to the watermark, in order, each with the one before it; later ones wait in the state."""
-    last, waiting = (json.loads(state.get[0]), json.loads(state.get[1])) if state.exists else ([None, None], [])
+    """Readings up to the watermark, in order by machine, each with the one before it; later ones wait in the state."""
+    last, waiting = (json.loads(state.get[0]), json.loads(state.get[1])) if state.exists else ({}, [])
     for frame in frames:
-        waiting += [[int(at), None if pd.isna(machine) else int(machine), status, name, kind] for at, machine, status, name, kind in zip(
-            frame["at"], frame["machine_id"], frame["status"], frame["machine_name"], frame["type"])]
+        ids = [None if gone else int(machine) for machine, gone in zip(frame["machine_id"], frame["machine_id"].isna())]
+        waiting += map(list, zip(frame["key"], frame["at"].tolist(), ids, frame["status"], frame["machine_name"], frame["type"]))
     until = state.getCurrentWatermarkMs() * 1000
     blank_first = lambda r: tuple((v is not None, v if v is not None else 0) for v in r)
-    ready = sorted((r for r in waiting if r[0] <= until), key=blank_first)
-    waiting = [r for r in waiting if r[0] > until]
+    ready = sorted((r for r in waiting if r[1] <= until), key=blank_first)
+    waiting = [r for r in waiting if r[1] > until]
     out = []
-    for at, machine, status, name, kind in ready:
-        out.append((machine, name, kind, status, at, *last))
-        last = [status, at]
+    for one, at, machine, status, name, kind in ready:
+        out.append((machine, name, kind, status, at, *last.get(one, (None, None))))
+        last[one] = [status, at]
     state.update((json.dumps(last), json.dumps(waiting)))
     if waiting:
-        state.setTimeoutTimestamp(min(r[0] for r in waiting) // 1000 + 1)
+        state.setTimeoutTimestamp(min(r[1] for r in waiting) // 1000 + 1)
     columns = [c.split()[0] for c in _ORDERED.split(", ")]
     yield pd.DataFrame({c: pd.Series([r[i] for r in out], dtype=object) for i, c in enumerate(columns)})
 
@@ -93,7 +101,7 @@ def readings_in_order(readings: DataFrame, delay: str) -> DataFrame:
     rows = readings.filter(F.col("datetime").isNotNull()).select(
         _key(), "machine_id", "machine_name", "type", "status", micros(F.col("datetime")).alias("at"),
         F.col("datetime").cast("timestamp").alias("event")).withWatermark("event", delay)
-    ordered = rows.groupBy("key").applyInPandasWithState(
+    ordered = rows.withColumn("bucket", _bucket()).groupBy("bucket").applyInPandasWithState(
         _in_order, _ORDERED, "last string, waiting string", "append", GroupStateTimeout.EventTimeTimeout)
     time = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
     return ordered.select("machine_id", "machine_name", "type", "status", time("at").alias("datetime"), "prev_status",

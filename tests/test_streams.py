@@ -284,6 +284,25 @@ def test_streams_leave_no_scratch(spark):
 CLOCK = json.dumps({"operation": "INSERT", "table": "t", "timestamp": 0.0, "new_data": {"machine_name": "Clock", "datetime": "2025-01-01T00:00:00"}})
 
 
+def _state_rows(query):
+    query.awaitTermination()
+    return max(o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"])
+
+
+def test_machines_in_order_share_calls_and_state(spark, monkeypatch):
+    monkeypatch.setattr(stateful, "BUCKETS", 2, raising=False)
+    root, inbox = scratch_dir(spark, "follow"), scratch_dir(spark, "inbox")
+    texts = [t.replace('"M', f'"{line}') for t in _messages(40) for line in "XYZ"]
+    random.Random(6).shuffle(texts)
+    for part in (texts, [CLOCK]):
+        _send(spark, inbox, part)
+        assert _state_rows(jobs.follow_transitions(read_change_stream(spark, inbox), root, "40 hours", once=True)) <= 2
+    whole = changes.readings_of(changes.parse_envelopes(spark.createDataFrame([(t,) for t in texts], "value string")))
+    streamed, now = tables.read_table(spark, f"{root}/transitions", schemas.TRANSITIONS), datetime(2024, 2, 4)
+    assert streamed.count() == 120
+    assert _sorted(changes_from_transitions(streamed, now, 5)) == _sorted(machine_status_changes(whole, now, 5))
+
+
 def test_transitions_come_in_order_within_the_delay(spark):
     """Each arrival is shuffled and reaches two hours into the one before it; a restart lies between all of them."""
     rng, root, inbox = random.Random(4), scratch_dir(spark, "follow"), scratch_dir(spark, "inbox")
