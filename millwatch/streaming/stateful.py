@@ -39,15 +39,16 @@ def _bucket() -> Column:
 
 def _with_before(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     rows = pd.concat(list(frames)).sort_values(["seq", "image"], ignore_index=True)
-    before, last = [], state.get[0] if state.exists else None
-    for now, deleted in zip(rows["image"], rows["deleted"]):
-        before.append(last)
-        last = None if deleted else now
-    if last is not None:
-        state.update((last,))
+    before, last = [], json.loads(state.get[0]) if state.exists else {}
+    for machine, now, deleted in zip(rows["key"], rows["image"], rows["deleted"]):
+        before.append(last.pop(machine, None))
+        if not deleted:
+            last[machine] = now
+    if last:
+        state.update((json.dumps(last),))
     elif state.exists:
         state.remove()
-    yield rows.assign(before=pd.Series(before, dtype=object))
+    yield rows.drop(columns="bucket").assign(before=pd.Series(before, dtype=object))
 
 
 def envelopes_of_stream(changes: DataFrame) -> DataFrame:
@@ -61,8 +62,8 @@ def envelopes_of_stream(changes: DataFrame) -> DataFrame:
         _key(), "seq", "machine_name", micros(F.col("changed_at")).alias("at"), F.coalesce("deleted", F.lit(False)).alias("deleted"),
         F.to_json(image(F.col), {"ignoreNullFields": "false"}).alias("image"))
     kept = "key string, seq bigint, machine_name string, at bigint, deleted boolean, image string"
-    seen = rows.groupBy("key").applyInPandasWithState(
-        _with_before, f"{kept}, before string", "image string", "append", GroupStateTimeout.NoTimeout)
+    seen = rows.withColumn("bucket", _bucket()).groupBy("bucket").applyInPandasWithState(
+        _with_before, f"{kept}, before string", "images string", "append", GroupStateTimeout.NoTimeout)
     parsed = seen.select("seq", "machine_name", "at", "deleted", F.from_json("image", schemas.IMAGE).alias("image"),
                          F.from_json("before", schemas.IMAGE).alias("before"))
     return envelopes_of(parsed, F.col("at"), F.col("deleted"), F.col("before").isNotNull(), F.col("image"), F.col("before"))

@@ -289,6 +289,19 @@ def _state_rows(query):
     return max(o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"])
 
 
+def test_published_machines_share_calls_and_state(spark, monkeypatch):
+    """A call and a state for each bucket that has rows, however many machines; each machine keeps its own image."""
+    monkeypatch.setattr(stateful, "BUCKETS", 3, raising=False)
+    root, inbox, rng = scratch_dir(spark, "publish"), scratch_dir(spark, "inbox"), random.Random(5)
+    rows = [_change(i, rng.choice([None, *(f"M{m}" for m in range(12))]), rng.choice(["down", None]), rng.random() < .2) for i in range(120)]
+    rows += [_change(200 + m, f"M{m}", "down") for m in range(12)]
+    for part in (rows[:60], rows[60:]):
+        spark.createDataFrame(rng.sample(part, len(part)), CHANGE).coalesce(1).write.mode("append").parquet(inbox)
+        assert _state_rows(jobs.publish_changes(spark.readStream.schema(CHANGE).parquet(inbox), root, once=True)) <= 3
+    got = _published(tables.read_table(spark, f"{root}/envelopes", schemas.PUBLISHED))
+    assert got == _published(changes.envelope_json(changes.change_envelopes(spark.createDataFrame(rows, CHANGE))))
+
+
 def test_machines_in_order_share_calls_and_state(spark, monkeypatch):
     monkeypatch.setattr(stateful, "BUCKETS", 2, raising=False)
     root, inbox = scratch_dir(spark, "follow"), scratch_dir(spark, "inbox")
