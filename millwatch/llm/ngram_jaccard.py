@@ -14,7 +14,10 @@ The order is by document frequency, rare first; frequencies are counted over all
 documents.  A shingle of frequency one cannot be shared: it takes a place in the
 prefix and is never sent on, and a document whose prefix is full of such shingles has
 no partner.  The boundary is the size at which the counted cost of enumerating below
-and scanning above is least.
+and scanning above is least.  Either way the cost is in rows of keys, which are shuffled and
+sorted; the pairs within a list are compared by bits in a join and cost a small part of
+a row each, so one large group of variants does not make all smaller sets light, with
+many times the rows.
 
 Equal sets are one node from the start.  Among the nodes of a subset or list, all are
 first compared with its most central one; components of those links come next; only
@@ -57,6 +60,10 @@ SHINGLE, SIMILAR = 4, 85
 PARITY_WORDS = 8
 PARITY = 64 * PARITY_WORDS
 _PARITY = [f"parity_{i}" for i in range(PARITY_WORDS)]
+#: What a scanned key costs in enumerated ones, which seldom meet another set and are not looked at again.
+SCANNED = 4
+#: So many comparisons of two sets' bits within a list cost as much as an enumerated key.
+COMPARISONS = 64
 _SENT = "bucket int, n int, hashes binary, shares binary, counts binary"
 _KNOWN = "share int, n int, hashes binary, counts binary"
 _SETS = ("id bigint, n bigint, node bigint, alone int, listed binary, n_listed int, order binary, enumerate double, scan double, "
@@ -195,9 +202,9 @@ def _set_rows(docs: DataFrame, known: DataFrame, plan: ex.Plan, shingle: int, si
                     i = bounds[k] + np.flatnonzero(shared[bounds[k]:bounds[k + 1]])
                     f = frequency[i]
                     rank = np.lexsort((value[i], f))[:spare[k] + 2 - alone[k]]
-                    m = len(rank)
+                    m, scanned = len(rank), f[rank[:spare[k] + 1 - alone[k]]]
                     out.append((*row, ex.pack_sorted(np.sort(value[i]), 8), len(i), ex.pack(np.argsort(np.argsort(value[i]))[rank].astype(np.uint64), 4),
-                                m * (m - 1) / 2, float(f[rank[:spare[k] + 1 - alone[k]]].sum()), *parities(value[bounds[k]:bounds[k + 1]])))
+                                m * (m - 1) / 2, float(SCANNED * len(scanned) + scanned.sum() / COMPARISONS), *parities(value[bounds[k]:bounds[k + 1]])))
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.float64(), pa.float64(),
                  *[pa.int64()] * PARITY_WORDS]
         columns = list(zip(*out)) if out else [[]] * len(kinds)
@@ -225,7 +232,7 @@ def choose_boundary(nodes: DataFrame) -> int:
 
 
 def _keys(nodes: DataFrame, boundary: int, similar: int) -> DataFrame:
-    """(key, node, alone, n): subsets of two for light sets, single shingles for heavy ones and those near them."""
+    """(key, node, alone, n), each once: subsets of two for light sets, single shingles for heavy ones and those near them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, owners, lone, sizes = [], [], [], []
@@ -241,7 +248,7 @@ def _keys(nodes: DataFrame, boundary: int, similar: int) -> DataFrame:
                     found.append(mixed(mixed(x) * np.uint64(3) + y))
                 if n >= boundary or 100 * n >= similar * boundary:
                     found.append(mixed(prefix[:spare + 1 - alone] + np.uint64(1)))
-                keys.append(np.concatenate(found))
+                keys.append(np.unique(np.concatenate(found)))
                 owners.append(np.full(len(keys[-1]), node))
                 lone.append(np.full(len(keys[-1]), alone))
                 sizes.append(np.full(len(keys[-1]), n))
@@ -340,7 +347,7 @@ def _open_pairs(keys: DataFrame, compared: DataFrame, nodes: DataFrame, similar:
 
 def link_nodes(nodes: DataFrame, similar: int) -> DataFrame:
     """(node, label) of all nodes with a link; ``nodes``: distinct sets with their shared shingles."""
-    keys = _keys(nodes, choose_boundary(nodes), similar).distinct()
+    keys = _keys(nodes, choose_boundary(nodes), similar)
     # The centre of a key: most of its shingles are shared; ties by node.
     centre = keys.groupBy("key").agg(
         F.min_by("node", F.struct("alone", "node")).alias("centre"), F.min("n").alias("_least"), F.count(F.lit(1)).alias("_n"))

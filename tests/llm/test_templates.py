@@ -51,6 +51,23 @@ def test_pairs_do_not_grow_with_the_square(spark, monkeypatch):
         assert made[-1] <= n // 10
 
 
+def test_keys_grow_with_the_texts(spark, monkeypatch):
+    """A group of variants that grows does not change how its sets are looked up, so eight times the texts make about eight times the keys."""
+    made, keys_of = [], ngram_jaccard._keys
+
+    def counted(*args):
+        keys = keys_of(*args)
+        made.append(keys.count())
+        return keys
+
+    monkeypatch.setattr(ngram_jaccard, "_keys", counted)
+    for n in (10, 80):
+        rows = template_texts(n, edits=(1, 2), length=250)
+        got = ngram_jaccard.jaccard_components(spark.createDataFrame(rows, DOCS))
+        assert {r[0]: tuple(r)[1:] for r in got.collect()} == brute.components(rows)
+    assert 0 < made[1] <= 12 * made[0]
+
+
 def test_parity_bits_never_exceed_the_difference():
     rnd = random.Random(5)
     for size in (4, 20, 300, 5000):
